@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, packing, quality, sharding, simhash, toxicity, warc
+from corpusloom.llm import bpe, exact_dedup, packing, quality, repeats, sharding, simhash, toxicity, warc
 from corpusloom.llm.common import documents, scratch
 
 
@@ -46,6 +46,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("__keep_id").alias("keep_id"), F.col("__group_size").alias("group_size"), F.col("__kept").alias("kept"), F.col("__sha").alias("text_sha256"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.mark_repeats(documents(spark, sf_dir), repeats.WORD_PASSAGES)
+    return found.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(warc.records(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
@@ -55,6 +60,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(number("record_id").alias("page_id"), size.alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.mark_repeats(documents(spark, sf_dir), repeats.BYTE_PASSAGES)
+    return found.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -62,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("__severity").alias("severity"), F.col("__grade").alias("grade"), F.col("__p_toxic").alias("p_toxic"), F.col("__rejected").alias("rejected"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_hilbert_sharding, op4_simhash, op5_packing, op6_exact_dedup, op8_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_hilbert_sharding, op4_simhash, op5_packing, op6_exact_dedup, op7_substring_dedup, op8_warc, op9_suffix_array_dedup, op10_toxicity)}
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": """
 select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,

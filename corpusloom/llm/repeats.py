@@ -1,0 +1,558 @@
+"""Repeated windows of a fixed number of units, found across documents without shuffling texts.
+
+Units are bytes or words. A window's identifier is made by doubling: identifiers of q-grams are
+combined with those of later offsets until they cover the window, each round reusing the last
+(the bucket-pointer idea, with 64-bit content hashes as global bucket identifiers).
+
+Every window has one anchor, its leftmost least k-gram, so equal windows have equal anchors. A
+run of neighbouring windows with one anchor is a segment; a segment's content is a hash of its
+first and last window. Documents are packed into compressed chunks. Then:
+
+1. Each chunk sends every anchor once, with the content if all its segments of that anchor share
+   one. An anchor that other chunks have too comes back as "same" or as "mixed".
+2. For mixed anchors each chunk sends every window once; those that other chunks have come back.
+3. A chunk joins both answers with what repeats inside itself and marks the covered units.
+
+So a hot passage costs one entry per chunk, not one per document, and unique text costs
+its anchors only. Equality rests on identifiers of 48 bits for anchors together with 48
+(contents) or 64 (windows) more.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.llm.common import cut
+
+_P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_POS = np.uint64((1 << 28) - 1)
+NO_ID = np.iinfo(np.int64).min
+
+
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Combine two identifiers in order."""
+    z = a * _P1 + (b ^ (b >> np.uint64(29))) * _P2
+    z ^= z >> np.uint64(32)
+    z *= _P3
+    z ^= z >> np.uint64(29)
+    return z
+
+
+def refine(bucket: np.ndarray, depth: int, *targets: int) -> list[np.ndarray]:
+    """Identifiers of the windows of each target length (ascending), from those of q-grams (q = depth)."""
+    out = []
+    for target in targets:
+        while 2 * depth <= target:
+            bucket, depth = mix(bucket[:-depth], bucket[depth:]), 2 * depth
+        rest = target - depth
+        out.append(mix(bucket[:-rest], bucket[rest:]) if rest else bucket)
+    return out
+
+
+def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the leftmost least value in each run of ``width``."""
+    key = (values & ~_POS) | np.arange(len(values), dtype=np.uint64)
+    span = 1
+    low = key
+    while 2 * span <= width:
+        low, span = np.minimum(low[:-span], low[span:]), 2 * span
+    if span < width:
+        low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
+    return (low & _POS).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """unit: "byte" or "word"; a window has ``length`` units, an anchor ``anchor``. ``earlier``: a window counts as
+    repeated only if it starts in a document with a smaller id, else if it starts anywhere else. ``step`` units are
+    hashed at once; ``chunk_bytes`` of text make a chunk, ``bucket_bytes`` a bucket of anchors."""
+
+    unit: str
+    length: int
+    anchor: int
+    earlier: bool
+    step: int = 1 << 18
+    chunk_bytes: int = 2 << 20
+    bucket_bytes: int = 4 << 20
+
+
+#: Passages of 35 words found anywhere else, and of 50 bytes found in a document with a smaller id.
+WORD_PASSAGES = Rule("word", 35, 10, earlier=False)
+BYTE_PASSAGES = Rule("byte", 50, 20, earlier=True)
+
+
+class Words(dict):
+    def __missing__(self, word):
+        if len(self) > 400_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_words = Words()
+
+
+def units_of(rule: Rule, data: bytes) -> tuple[np.ndarray, int]:
+    """Identifiers of the q-grams of a text, and its number of units."""
+    if rule.unit == "byte":
+        n = len(data)
+        grams = np.ndarray((max(n - 7, 0),), "<u8", data, strides=(1,)).copy() if n >= 8 else np.empty(0, np.uint64)
+        return grams, n
+    words = data.split()
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)), len(words)
+
+
+@dataclass
+class Chunk:
+    ids: np.ndarray
+    null: np.ndarray
+    texts: list[bytes]
+    starts: np.ndarray = field(default=None)  # of each document's units in the chunk's
+    sizes: np.ndarray = field(default=None)
+
+
+def pack_chunk(ids: list[int | None], texts: list[bytes]) -> bytes:
+    head = np.array([len(ids)], "<i8").tobytes() + np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes() + np.array([i is None for i in ids], "u1").tobytes() + np.array([len(t) for t in texts], "<i8").tobytes()
+    return zstandard.ZstdCompressor(3).compress(head + b"".join(texts))
+
+
+def unpack_chunk(blob: bytes) -> Chunk:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    ids, null, sizes = np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "u1", n, 8 + 8 * n).astype(bool), np.frombuffer(data, "<i8", n, 8 + 9 * n)
+    ends = 8 + 17 * n + np.cumsum(sizes)
+    return Chunk(ids, null, [data[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)])
+
+
+def chunked(df: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """(chunk, bytes, docs): runs of an input partition with some ``chunk_bytes`` of text. No row is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, size, n = [], [], 0, TaskContext.get().partitionId() << 32
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([size], pa.int64()), pa.array([pack_chunk(ids, texts)], pa.binary())], names=["chunk", "bytes", "docs"])
+
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                for i, t in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+                    ids.append(i)
+                    texts.append(t or b"")
+                    size += len(texts[-1])
+                    if size >= rule.chunk_bytes:
+                        yield out()
+                        ids, texts, size, n = [], [], 0, n + 1
+        if ids:
+            yield out()
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return cut(rows.mapInArrow(run, "chunk long, bytes long, docs binary"))
+
+
+@dataclass
+class Segments:
+    doc: np.ndarray  # index in the chunk
+    low: np.ndarray  # first window, in the document
+    high: np.ndarray  # last window
+    anchor: np.ndarray  # 48 bits
+    content: np.ndarray  # 48 bits, never 0
+
+
+def _pieces(rule: Rule, chunk: Chunk) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(document, first unit, q-gram identifiers) of runs of ``step`` windows."""
+    q = 8 if rule.unit == "byte" else 1
+    sizes = []
+    for d, text in enumerate(chunk.texts):
+        grams, n = units_of(rule, text)
+        sizes.append(n)
+        windows = n - rule.length + 1
+        for s in range(0, max(windows, 0), rule.step):
+            yield d, s, grams[s : min(s + rule.step, windows) + rule.length - q]
+    chunk.sizes = np.array(sizes, np.int64)
+    chunk.starts = np.cumsum(chunk.sizes) - chunk.sizes
+
+
+def _joined(rule: Rule, chunk: Chunk) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces put together to some ``step`` units: (q-grams, valid starts of windows, their documents, their windows in these)."""
+    q = 8 if rule.unit == "byte" else 1
+    held, size = [], 0
+
+    def out():
+        lengths = np.array([len(g) for *_, g in held])
+        windows = lengths - (rule.length - q)
+        at = np.cumsum(lengths) - lengths
+        index = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        docs = np.repeat(np.array([d for d, *_ in held]), windows)
+        return np.concatenate([g for *_, g in held]), index + np.repeat(at, windows), docs, index + np.repeat(np.array([s for _, s, _ in held]), windows)
+
+    for piece in _pieces(rule, chunk):
+        held.append(piece)
+        size += len(piece[2])
+        if size >= rule.step:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
+def segments(rule: Rule, chunk: Chunk) -> Segments:
+    q = 8 if rule.unit == "byte" else 1
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    for grams, start, doc, window in _joined(rule, chunk):
+        anchors, whole = refine(grams, q, rule.anchor, rule.length)
+        place = sliding_argmin(anchors, rule.length - rule.anchor + 1)[start]
+        begin = np.ones(len(start), bool)
+        begin[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+        low = np.flatnonzero(begin)
+        high = np.append(low[1:], len(start)) - 1
+        content = mix(mix(whole[start[low]], whole[start[high]]), (high - low).astype(np.uint64)) >> np.uint64(16)
+        for x, y in zip(out, (doc[low], window[low], window[high], anchors[place[low]] >> np.uint64(16), np.maximum(content, np.uint64(1))), strict=True):
+            x.append(y)
+    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
+    return Segments(*[np.concatenate(x).astype(k) if x else np.empty(0, k) for x, k in zip(out, kinds, strict=True)])
+
+
+def windows_of(rule: Rule, chunk: Chunk, seg: Segments, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment index, window in its document, identifier) for every window of the chosen segments, which are in order."""
+    q = 8 if rule.unit == "byte" else 1
+    if not len(chosen):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    count = seg.high[chosen] - seg.low[chosen] + 1
+    of = np.repeat(chosen, count)
+    window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(seg.low[chosen], count)
+    docs = seg.doc[of]
+    ids = np.empty(len(of), np.uint64)
+    at, n = 0, len(of)
+    for grams, start, doc, win in _joined(rule, chunk):
+        # windows of a run are all in it and in the order of (document, window)
+        last_doc, last_win = doc[-1], win[-1]
+        end = at + int(np.searchsorted(docs[at:], last_doc, "left"))
+        stop = at + int(np.searchsorted(docs[at:], last_doc, "right"))
+        end += int(np.searchsorted(window[end:stop], last_win, "right"))
+        if end > at:
+            (whole,) = refine(grams, q, rule.length)
+            first = np.searchsorted(doc, docs[at:end], "left")
+            ids[at:end] = whole[start[first + window[at:end] - win[first]]]
+            at = end
+        if at == n:
+            break
+    # _joined sets sizes only when it has run to its end
+    return of, window, ids
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of 64-bit numbers, byte by byte, so that equal bytes stand together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unplanes(data: bytes, at: int, n: int, width: int) -> tuple[np.ndarray, int]:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+    return out.reshape(-1).view(np.uint64), at + n * width
+
+
+def freeze(columns: list[tuple[np.ndarray, int]]) -> bytes:
+    """Columns of 64-bit numbers (the first ascending, kept as differences) as one compressed blob."""
+    (first, width), *rest = columns
+    gaps = np.diff(first, prepend=np.uint64(0))
+    data = np.array([len(first)], "<i8").tobytes() + _planes(gaps, width) + b"".join(_planes(x.view(np.uint64), w) for x, w in rest)
+    return zstandard.ZstdCompressor(1).compress(data)
+
+
+def thaw(blob: bytes, *widths: int) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n, at, out = int(np.frombuffer(data, "<i8", 1)[0]), 8, []
+    for w in widths:
+        x, at = _unplanes(data, at, n, w)
+        out.append(x)
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    return out
+
+
+def _batch(names: str, *columns) -> pa.RecordBatch:
+    kinds = [pa.binary() if len(x) and isinstance(x[0], bytes) else pa.int64() for x in columns]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=names.split())
+
+
+def _each(df: DataFrame, schema: str, make: Callable[..., pa.RecordBatch | None]) -> DataFrame:
+    """``make`` on each row's values; it gives a batch of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                made = make(*[c[i].as_py() for c in b.columns])
+                if made is not None and made.num_rows:
+                    yield made
+
+    return df.mapInArrow(run, schema)
+
+
+def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted values: where each run of equals starts, and how many there are."""
+    start = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
+    return start, np.diff(np.append(start, len(values)))
+
+
+def _rank(chunk: Chunk) -> np.ndarray:
+    """Ids as unsigned numbers in their order; a null id comes last and is before none."""
+    up = (chunk.ids.view(np.uint64) ^ np.uint64(1 << 63)).copy()
+    up[chunk.null] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    return up
+
+
+def _deal(number: int, buckets: int, sort_by: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
+    """Rows (bucket, chunk, entries) of entries sorted by their first column."""
+    bucket = (mix(sort_by, sort_by) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    start, count = _groups(bucket[order])
+    parts = [order[s : s + c] for s, c in zip(start.tolist(), count.tolist(), strict=True)]
+    return _batch("bucket chunk entries", bucket[order][start].tolist(), [number] * len(parts), [freeze([(x[p], w) for x, w in columns]) for p in parts])
+
+
+ENTRIES = "bucket long, chunk long, entries binary"
+ANSWERS = "chunk long, answer binary"
+#: Answers to anchors.
+SAME, MIXED = 1, 2
+
+
+def _resolve(entries: DataFrame, widths: tuple[int, ...], answer) -> DataFrame:
+    """Bring each bucket's entries together; ``answer`` sees them sorted by key and says which rows to send back, with what."""
+
+    def run(table: pa.Table) -> pa.Table:
+        chunks = table.column("chunk").to_numpy()
+        parts = [thaw(x.as_py(), *widths) for x in table.column("entries")]
+        source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        send, back = answer(*columns)
+        source, order = source[send], np.argsort(source[send], kind="stable")
+        start, count = _groups(source[order])
+        rows = [order[s : s + c] for s, c in zip(start.tolist(), count.tolist(), strict=True)]
+        blobs = []
+        for r in rows:
+            r = r[np.argsort(back[0][0][r], kind="stable")]
+            blobs.append(freeze([(x[r], w) for x, w in back]))
+        return pa.table({"chunk": pa.array(chunks[source[order][start]], pa.int64()), "answer": pa.array(blobs, pa.binary())})
+
+    return entries.groupBy("bucket").applyInArrow(run, ANSWERS)
+
+
+def _answer_anchors(anchor: np.ndarray, content: np.ndarray, least: np.ndarray):
+    """Anchors that several chunks have: the same content everywhere (with the least id that has it), or mixed."""
+    order = np.argsort(anchor, kind="stable")
+    a, c, m = anchor[order], content[order], least[order]
+    start, count = _groups(a)
+    if not len(a):
+        return order, [(a, 6), (c, 1), (m, 8)]
+    same = (np.minimum.reduceat(c, start) == np.maximum.reduceat(c, start)) & (c[start] != 0)
+    first = np.minimum.reduceat(m, start)
+    keep = np.repeat(count > 1, count)
+    status = np.repeat(np.where(same, SAME, MIXED).astype(np.uint64), count)[keep]
+    return order[keep], [(a[keep], 6), (status, 1), (np.repeat(first, count)[keep], 8)]
+
+
+def _answer_windows(window: np.ndarray, tag: np.ndarray, least: np.ndarray):
+    """Windows that several chunks have, with the least id that has each."""
+    order = np.lexsort((tag, window))
+    w, t, m = window[order], tag[order], least[order]
+    if not len(w):
+        return order, [(w, 8), (t, 2), (m, 8)]
+    start = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (t[1:] != t[:-1])))
+    count = np.diff(np.append(start, len(w)))
+    keep = np.repeat(count > 1, count)
+    return order[keep], [(w[keep], 8), (t[keep], 2), (np.repeat(np.minimum.reduceat(m, start), count)[keep], 8)]
+
+
+@dataclass
+class _Local:
+    """A chunk's segments in the order of anchors, with what repeats among them."""
+
+    seg: Segments
+    order: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    uniform: np.ndarray  # per anchor: one content
+    group: np.ndarray  # of each segment
+
+
+def _local(rule: Rule, chunk: Chunk) -> _Local:
+    seg = segments(rule, chunk)
+    order = np.argsort(seg.anchor, kind="stable")
+    start, count = _groups(seg.anchor[order])
+    c = seg.content[order]
+    uniform = np.minimum.reduceat(c, start) == np.maximum.reduceat(c, start) if len(start) else np.empty(0, bool)
+    group = np.empty(len(order), np.int64)
+    group[order] = np.repeat(np.arange(len(start)), count)
+    return _Local(seg, order, start, count, uniform, group)
+
+
+def _anchors_of_answers(answers: list[bytes] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [thaw(x, 6, 1, 8) for x in answers or []]
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    a, s, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(a, kind="stable")
+    return a[order], s[order], m[order]
+
+
+def _lookup(keys: np.ndarray, values: np.ndarray, at: np.ndarray, missing) -> np.ndarray:
+    """values[i] where keys[i] == at, for sorted unique keys."""
+    out = np.full(len(at), missing, values.dtype)
+    if len(keys):
+        i = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+        hit = keys[i] == at
+        out[hit] = values[i[hit]]
+    return out
+
+
+_TAG = np.uint64(0xFFFF)
+
+
+def _whole_characters(text: bytes, gone: np.ndarray) -> np.ndarray:
+    """Covered bytes and the rest of the characters they belong to."""
+    data = np.frombuffer(text, np.uint8)
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    return np.repeat(np.add.reduceat(gone, first) > 0, np.diff(np.append(first, len(data))))
+
+
+def mark_repeats(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", characters: bool = False) -> DataFrame:
+    """One row per row of ``df``: doc_id, text_hash (XXH64 of the whole text, seed 42), n_units, n_removed, starts and
+    ends (unit offsets of the maximal covered runs, ascending, ends exclusive) and kept (the bytes of the units left; words
+    joined by one space).
+
+    A null text counts as empty; texts shorter than a window have no run. Rows that repeat an id are documents of their own
+    (none has the smaller id). A null id is larger than any other. ``characters``: of bytes, those of a character stay or go together.
+    """
+    chunks = chunked(df, rule, id_col, text_col)
+    total = chunks.agg(F.sum("bytes")).first()[0] or 0
+    buckets = max(1, -(-total // rule.bucket_bytes))
+
+    def send_anchors(number: int, docs: bytes) -> pa.RecordBatch:
+        chunk = unpack_chunk(docs)
+        local = _local(rule, chunk)
+        if not len(local.start):
+            return None
+        seg, first = local.seg, local.order[local.start]
+        least = np.minimum.reduceat(_rank(chunk)[seg.doc[local.order]], local.start)
+        content = np.where(local.uniform, seg.content[first], np.uint64(0))
+        return _deal(number, buckets, seg.anchor[first], [(seg.anchor[first], 6), (content, 6), (least, 8)])
+
+    def gathered(answers: DataFrame, name: str) -> DataFrame:
+        return answers.groupBy("chunk").agg(F.collect_list("answer").alias(name))
+
+    sent = _each(chunks.select("chunk", "docs"), ENTRIES, send_anchors)
+    anchors = cut(gathered(_resolve(sent, (6, 6, 8), _answer_anchors), "anchors"))
+
+    def send_windows(number: int, docs: bytes, answers: list[bytes]) -> pa.RecordBatch:
+        a, s, _ = _anchors_of_answers(answers)
+        if not (s == MIXED).any():
+            return None
+        chunk = unpack_chunk(docs)
+        local = _local(rule, chunk)
+        seg = local.seg
+        mixed = np.flatnonzero(_lookup(a, s, seg.anchor, 0) == MIXED)
+        of, _, ids = windows_of(rule, chunk, seg, mixed)
+        tag, rank = seg.anchor[of] & _TAG, _rank(chunk)[seg.doc[of]]
+        order = np.lexsort((rank, tag, ids))
+        w, t = ids[order], tag[order]
+        first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (t[1:] != t[:-1])))
+        return _deal(number, buckets, w[first], [(w[first], 8), (t[first], 2), (rank[order][first], 8)])
+
+    sent = _each(chunks.select("chunk", "docs").join(anchors, "chunk"), ENTRIES, send_windows)
+    windows = gathered(_resolve(sent, (8, 2, 8), _answer_windows), "windows")
+    answers = cut(anchors.join(windows, "chunk", "left"))
+
+    def finish(number: int, docs: bytes, anchors: list[bytes] | None, windows: list[bytes] | None) -> pa.RecordBatch:
+        chunk = unpack_chunk(docs)
+        local = _local(rule, chunk)
+        seg, rank = local.seg, _rank(chunk)
+        own = rank[seg.doc] if len(seg.doc) else np.empty(0, np.uint64)
+        a, s, m = _anchors_of_answers(anchors)
+        status, least = _lookup(a, s, seg.anchor, 0), _lookup(a, m, seg.anchor, 0xFFFFFFFFFFFFFFFF)
+        several, uniform = (local.count > 1)[local.group], local.uniform[local.group] if len(local.uniform) else np.empty(0, bool)
+        whole = status == SAME
+        if rule.earlier:
+            inside = np.minimum.reduceat(own[local.order], local.start)[local.group] if len(own) else own
+            whole = (whole & (least < own)) | (uniform & (inside < own))
+        else:
+            whole = whole | (several & uniform)
+        units = int(chunk.sizes.sum()) if chunk.sizes is not None else 0
+        edge = np.zeros(units + 1, np.int32)
+        base = chunk.starts[seg.doc] if len(seg.doc) else np.empty(0, np.int64)
+        np.add.at(edge, (base + seg.low)[whole], 1)
+        np.add.at(edge, (base + seg.high + rule.length)[whole], -1)
+
+        single = np.flatnonzero(~whole & ((status == MIXED) | (several & ~uniform)))
+        of, window, ids = windows_of(rule, chunk, seg, single_or_all(single, seg, local, status, uniform, several))
+        if len(of):
+            tag, mine = seg.anchor[of] & _TAG, own[of]
+            order = np.lexsort((mine, tag, ids))
+            w, t = ids[order], tag[order]
+            first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (t[1:] != t[:-1])))
+            count = np.diff(np.append(first, len(w)))
+            hit = np.repeat(mine[order][first], count) < mine[order] if rule.earlier else np.repeat(count > 1, count)
+            for blob in windows or []:
+                aw, at, am = thaw(blob, 8, 2, 8)
+                # of equal windows under several tags each is tried in turn
+                lo, hi = np.searchsorted(aw, w, "left"), np.searchsorted(aw, w, "right")
+                for k in range(int((hi - lo).max()) if len(w) else 0):
+                    i = np.minimum(lo + k, len(aw) - 1)
+                    found = (lo + k < hi) & (at[i] == t)
+                    hit |= found & (am[i] < mine[order]) if rule.earlier else found
+            starts = (chunk.starts[seg.doc[of]] + window)[order][hit]
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, starts + rule.length, -1)
+        covered = np.cumsum(edge[:-1]) > 0
+        out: list[list] = [[] for _ in range(7)]
+        for d, text in enumerate(chunk.texts):
+            size = int(chunk.sizes[d])
+            gone = covered[chunk.starts[d] : chunk.starts[d] + size]
+            if characters and gone.any() and rule.unit == "byte":
+                gone = _whole_characters(text, gone)
+            turn = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
+            if rule.unit == "byte":
+                kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if gone.any() else text
+            else:
+                words = text.split()
+                kept = b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()] if gone.any() else words)
+            for x, y in zip(out, (None if chunk.null[d] else int(chunk.ids[d]), _signed(xxhash.xxh64_intdigest(text, 42)), size, int(gone.sum()), np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), kept), strict=True):
+                x.append(y)
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "text_hash", "n_units", "n_removed", "starts", "ends", "kept"])
+
+    rows = chunks.select("chunk", "docs").join(answers, "chunk", "left")
+    return _each(rows, "doc_id long, text_hash long, n_units long, n_removed long, starts array<long>, ends array<long>, kept binary", finish)
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def drop_passages(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df``, in its own columns, with texts less their covered units; a character goes if any of its bytes does.
+
+    No row goes, an emptied text is left empty and a null one null. Rows that repeat both id and text should be deduplicated before.
+    """
+    found = mark_repeats(df, rule, id_col, text_col, characters=True).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "kept")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = df.select(*[f"`{c}`" for c in df.columns if c != text_col], F.col(text_col).isNull().alias("__null"), F.xxhash64(text).alias("__own"))
+    rows = rows.join(found, rows[id_col].eqNullSafe(found["__id"]) & (F.col("__own") == F.col("__hash")))
+    return rows.withColumn(text_col, F.when(~F.col("__null"), F.col("kept").cast("string"))).select(*[f"`{c}`" for c in df.columns])
+
+
+def single_or_all(single: np.ndarray, seg: Segments, local: _Local, status: np.ndarray, uniform: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """Segments to compare window by window: those not settled whole and, for comparison, all others of their anchors."""
+    if not len(single):
+        return single
+    groups = np.zeros(len(local.start), bool)
+    groups[local.group[single]] = True
+    return np.flatnonzero(groups[local.group])
