@@ -1 +1 @@
-
+"""Column functions: paths, text, ids, tokens and scores."""

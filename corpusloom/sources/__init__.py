@@ -1 +1 @@
-
+"""Schemas, scans and sinks."""

@@ -1 +1 @@
-
+"""Row-local stages on streams of files."""
