@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+_TYPES = {"string": StringType(), "int": IntegerType(), "long": LongType(), "double": DoubleType(), "boolean": BooleanType(), "array<int>": ArrayType(IntegerType())}
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+
+def _schema(columns: str) -> StructType:
+    """Of "name type, name type, ..."; unlike DDL this needs no session."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
 
 
 REPOSITORY = _schema("repository_url string, requested_revision string, resolved_commit string, commit_date string, fetched_at_utc string, target_directory string")
