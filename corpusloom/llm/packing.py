@@ -14,8 +14,12 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +28,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Tokens of a block, but for its last document.
 BLOCK_TOKENS = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+def _little(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def _letters(word: str) -> bool:
+    """Whether a word is letters alone, and stays so when composed and lower-cased."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
+def _marked(word: str) -> bool:
+    return word[-1] in ".,;:!?" and _letters(word[:-1])
+
+
 class WordTokens:
     """Ids of a tokenizer that drops white space and looks at each run of other characters by itself."""
 
@@ -40,12 +60,39 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.odd = re.compile(r"[\x1c-\x1f]")  # white space to Python, not to the tokenizer
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for e in run(texts, add_special_tokens=False)]
+        return [_little(e.ids) for e in run(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember the ids of words not met before.
+
+        Words of letters alone are encoded many to a text and told apart by the tokens that end a word; a mark
+        after such a word is a word of its own. All others go one by one.
+        """
+        known = self.known
+        stems, rest = {w for w in new if _letters(w)}, []
+        marked = [w for w in new if _marked(w)]
+        stems.update(w[:-1] for w in marked)
+        plain = list(stems.difference(known))
+        groups = [plain[s : s + 256] for s in range(0, len(plain), 256)]
+        for words, ids in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
+            ends = (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1) * 4
+            if len(ends) == len(words):  # else some letter turned into something else
+                known.update(zip(words, [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)], strict=True))
+            else:
+                rest += words
+        rest += set(new).difference(stems, marked)
+        rest += {w[-1] for w in marked}.difference(known)
+        for s in range(0, len(rest), 10_000):
+            known.update(zip(rest[s : s + 10_000], self._ids(rest[s : s + 10_000]), strict=True))
+        known.update((w, known[w[:-1]] + known[w[-1]]) for w in marked)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -54,9 +101,7 @@ class WordTokens:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({w for x in words for w in x}.difference(known))
-        for s in range(0, len(new), 10_000):
-            known.update(zip(new[s : s + 10_000], self._ids(new[s : s + 10_000]), strict=True))
+        self._learn(list(set(chain.from_iterable(words)).difference(known)))
         return [self._ids([t])[0] if i in whole else b"".join(map(known.__getitem__, x)) for i, (t, x) in enumerate(zip(texts, words, strict=True))]
 
 
