@@ -8,13 +8,15 @@ Every window has one anchor, its leftmost least k-gram, so equal windows have eq
 run of neighbouring windows with one anchor is a segment; a segment's content is a hash of its
 first and last window. Documents are packed into compressed chunks. Then:
 
-1. Each chunk sends every anchor once, with the content if all its segments of that anchor share
-   one. An anchor that other chunks have too comes back as "same" or as "mixed".
-2. For mixed anchors each chunk sends every window once; those that other chunks have come back.
-3. A chunk joins both answers with what repeats inside itself and marks the covered units.
-
-So a hot passage costs one entry per chunk, not one per document, and unique text costs
-its anchors only. Equality rests on identifiers of 48 bits for anchors together with 48
+1. Each chunk sends every anchor once and learns which of them other chunks have.
+2. Of those it sends the content, if all its segments of that anchor share one, and learns which
+   anchors have one content everywhere (their segments are settled as a whole) and which are mixed.
+3. Of mixed anchors it sends every content once; what another chunk has is settled.
+4. Of what is left it sends every window once.
+5. It joins the answers with what repeats inside itself and marks the covered units.
+
+Answers are a code per entry in the order sent, so they are small. A hot passage costs one entry per chunk,
+not one per document, and unique text costs its anchors only. Equality rests on identifiers of 48 bits for anchors together with 48
 (contents) or 64 (windows) more.
 """
 
@@ -81,8 +83,8 @@ class Rule:
     anchor: int
     earlier: bool
     step: int = 1 << 18
-    chunk_bytes: int = 2 << 20
-    bucket_bytes: int = 4 << 20
+    chunk_bytes: int = 4 << 20
+    bucket_bytes: int = 16 << 20
 
 
 #: Passages of 35 words found anywhere else, and of 50 bytes found in a document with a smaller id.
@@ -156,7 +158,9 @@ def chunked(df: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
             yield out()
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return cut(rows.mapInArrow(run, "chunk long, bytes long, docs binary"))
+    made = rows.mapInArrow(run, "chunk long, bytes long, docs binary")
+    # dealt by chunk once, so that no later round moves them again
+    return cut(made.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk"))
 
 
 @dataclass
@@ -310,108 +314,203 @@ def _rank(chunk: Chunk) -> np.ndarray:
     return up
 
 
-def _deal(number: int, buckets: int, sort_by: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
-    """Rows (bucket, chunk, entries) of entries sorted by their first column."""
-    bucket = (mix(sort_by, sort_by) % np.uint64(buckets)).astype(np.int64)
+def _deal(number: int, buckets: int, key: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Buckets of ascending keys that have any, and the places of their entries."""
+    bucket = (mix(key, key) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     start, count = _groups(bucket[order])
-    parts = [order[s : s + c] for s, c in zip(start.tolist(), count.tolist(), strict=True)]
-    return _batch("bucket chunk entries", bucket[order][start].tolist(), [number] * len(parts), [freeze([(x[p], w) for x, w in columns]) for p in parts])
+    return bucket[order][start], [order[s : s + c] for s, c in zip(start.tolist(), count.tolist(), strict=True)]
+
+
+def _sent(number: int, buckets: int, columns: list[tuple[np.ndarray, int]]) -> pa.RecordBatch | None:
+    """Rows (bucket, chunk, entries); the first column is the key, in ascending order."""
+    if not len(columns[0][0]):
+        return None
+    bucket, places = _deal(number, buckets, columns[0][0])
+    return _batch("bucket chunk entries", bucket.tolist(), [number] * len(places), [freeze([(x[p], w) for x, w in columns]) for p in places])
+
+
+def _said(number: int, buckets: int, key: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
+    """One code per key: 0, or what the round's answers say of it."""
+    out = np.zeros(len(key), np.uint8)
+    if len(key) and answers:
+        for bucket, p in zip(*_deal(number, buckets, key), strict=True):
+            if int(bucket) in answers:
+                out[p] = np.frombuffer(zstandard.ZstdDecompressor().decompress(answers[int(bucket)]), np.uint8)
+    return out
 
 
 ENTRIES = "bucket long, chunk long, entries binary"
-ANSWERS = "chunk long, answer binary"
-#: Answers to anchors.
-SAME, MIXED = 1, 2
+#: Rounds, and codes of their answers.
+SHARED, CONTENT, COPIES, WINDOWS = range(4)
+COVERED, MIXED, SPEAKER = 1, 2, 2
+_WIDTHS = {SHARED: (6,), CONTENT: (6, 6, 8), COPIES: (8, 2, 8), WINDOWS: (8, 2, 8)}
 
 
-def _resolve(entries: DataFrame, widths: tuple[int, ...], answer) -> DataFrame:
-    """Bring each bucket's entries together; ``answer`` sees them sorted by key and says which rows to send back, with what."""
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of keys sorted together: where each run of equals starts, and how many there are."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    start = np.flatnonzero(new)
+    return start, np.diff(np.append(start, len(new)))
 
-    def run(table: pa.Table) -> pa.Table:
-        chunks = table.column("chunk").to_numpy()
-        parts = [thaw(x.as_py(), *widths) for x in table.column("entries")]
-        source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        send, back = answer(*columns)
-        source, order = source[send], np.argsort(source[send], kind="stable")
-        start, count = _groups(source[order])
-        rows = [order[s : s + c] for s, c in zip(start.tolist(), count.tolist(), strict=True)]
-        blobs = []
-        for r in rows:
-            r = r[np.argsort(back[0][0][r], kind="stable")]
-            blobs.append(freeze([(x[r], w) for x, w in back]))
-        return pa.table({"chunk": pa.array(chunks[source[order][start]], pa.int64()), "answer": pa.array(blobs, pa.binary())})
-
-    return entries.groupBy("bucket").applyInArrow(run, ANSWERS)
-
-
-def _answer_anchors(anchor: np.ndarray, content: np.ndarray, least: np.ndarray):
-    """Anchors that several chunks have: the same content everywhere (with the least id that has it), or mixed."""
-    order = np.argsort(anchor, kind="stable")
-    a, c, m = anchor[order], content[order], least[order]
-    start, count = _groups(a)
-    if not len(a):
-        return order, [(a, 6), (c, 1), (m, 8)]
-    same = (np.minimum.reduceat(c, start) == np.maximum.reduceat(c, start)) & (c[start] != 0)
-    first = np.minimum.reduceat(m, start)
-    keep = np.repeat(count > 1, count)
-    status = np.repeat(np.where(same, SAME, MIXED).astype(np.uint64), count)[keep]
-    return order[keep], [(a[keep], 6), (status, 1), (np.repeat(first, count)[keep], 8)]
-
-
-def _answer_windows(window: np.ndarray, tag: np.ndarray, least: np.ndarray):
-    """Windows that several chunks have, with the least id that has each."""
-    order = np.lexsort((tag, window))
-    w, t, m = window[order], tag[order], least[order]
-    if not len(w):
-        return order, [(w, 8), (t, 2), (m, 8)]
-    start = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (t[1:] != t[:-1])))
-    count = np.diff(np.append(start, len(w)))
-    keep = np.repeat(count > 1, count)
-    return order[keep], [(w[keep], 8), (t[keep], 2), (np.repeat(np.minimum.reduceat(m, start), count)[keep], 8)]
 
+def _answer(rule: Rule, kind: int, source: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """A code for each entry of a bucket; the entries of one chunk differ in their keys.
 
-@dataclass
-class _Local:
-    """A chunk's segments in the order of anchors, with what repeats among them."""
-
-    seg: Segments
-    order: np.ndarray
-    start: np.ndarray
-    count: np.ndarray
-    uniform: np.ndarray  # per anchor: one content
-    group: np.ndarray  # of each segment
-
-
-def _local(rule: Rule, chunk: Chunk) -> _Local:
-    seg = segments(rule, chunk)
-    order = np.argsort(seg.anchor, kind="stable")
-    start, count = _groups(seg.anchor[order])
-    c = seg.content[order]
-    uniform = np.minimum.reduceat(c, start) == np.maximum.reduceat(c, start) if len(start) else np.empty(0, bool)
-    group = np.empty(len(order), np.int64)
-    group[order] = np.repeat(np.arange(len(start)), count)
-    return _Local(seg, order, start, count, uniform, group)
-
-
-def _anchors_of_answers(answers: list[bytes] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts = [thaw(x, 6, 1, 8) for x in answers or []]
-    if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    a, s, m = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(a, kind="stable")
-    return a[order], s[order], m[order]
-
-
-def _lookup(keys: np.ndarray, values: np.ndarray, at: np.ndarray, missing) -> np.ndarray:
-    """values[i] where keys[i] == at, for sorted unique keys."""
-    out = np.full(len(at), missing, values.dtype)
-    if len(keys):
-        i = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
-        hit = keys[i] == at
-        out[hit] = values[i[hit]]
-    return out
+    SHARED: 1 if another chunk has the anchor. CONTENT: MIXED unless all chunks have the same content, else COVERED
+    if that settles it for the chunk. COPIES and WINDOWS: COVERED if another chunk settles it. Something is settled, where
+    only earlier documents count, if another chunk's least id is smaller; else if another chunk has it at all (of
+    COPIES one chunk then is SPEAKER, which stands for all in the next round).
+    """
+    order = np.lexsort((source, *columns[1:2][::-1], columns[0])) if kind in (COPIES, WINDOWS) else np.lexsort((source, columns[0]))
+    keys = columns[:2] if kind in (COPIES, WINDOWS) else columns[:1]
+    start, count = _runs(*[k[order] for k in keys])
+    code = np.zeros(len(order), np.uint8)
+    several = np.repeat(count > 1, count)
+    if kind == SHARED:
+        found = several.astype(np.uint8)
+    else:
+        least = columns[2][order]
+        smaller = np.repeat(np.minimum.reduceat(least, start), count) < least
+        found = (several & smaller if rule.earlier else several).astype(np.uint8) * COVERED
+        if kind == CONTENT:
+            c = columns[1][order]
+            same = np.repeat((np.minimum.reduceat(c, start) == np.maximum.reduceat(c, start)) & (c[start] != 0), count)
+            found[several & ~same] = MIXED
+        elif kind == COPIES and not rule.earlier:
+            found[start[count > 1]] = SPEAKER
+    code[order] = found
+    return code
+
+
+def _resolve(rule: Rule, kind: int, entries: DataFrame) -> DataFrame:
+    """Bring each bucket's entries together and send every chunk a code per entry, in the order it sent them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [thaw(x.as_py(), *_WIDTHS[kind]) for x in table.column("entries")]
+        sizes = np.array([len(p[0]) for p in parts])
+        code = _answer(rule, kind, np.repeat(table.column("chunk").to_numpy(), sizes), [np.concatenate(x) for x in zip(*parts, strict=True)])
+        ends = np.cumsum(sizes)
+        some = [i for i, (s, e) in enumerate(zip(ends - sizes, ends, strict=True)) if code[s:e].any()]
+        pack = zstandard.ZstdCompressor(1).compress
+        return pa.table(
+            {
+                "chunk": table.column("chunk").take(pa.array(some, pa.int64())),
+                "kind": pa.array([kind] * len(some), pa.int32()),
+                "bucket": table.column("bucket").take(pa.array(some, pa.int64())),
+                "codes": pa.array([pack(code[ends[i] - sizes[i] : ends[i]].tobytes()) for i in some], pa.binary()),
+            }
+        )
+
+    return entries.groupBy("bucket").applyInArrow(run, "chunk long, kind int, bucket long, codes binary")
+
+
+class _View:
+    """A chunk, its segments, and what the rounds have said so far."""
+
+    def __init__(self, rule: Rule, buckets: int, number: int, docs: bytes, answers: list[dict] | None):
+        self.rule, self.buckets, self.number = rule, buckets, number
+        self.said: dict[int, dict[int, bytes]] = {k: {} for k in _WIDTHS}
+        for a in answers or []:
+            self.said[a["kind"]][a["bucket"]] = a["codes"]
+        self.chunk = unpack_chunk(docs)
+        self.seg = segments(rule, self.chunk)
+        self.rank = _rank(self.chunk)
+        self.order = np.argsort(self.seg.anchor, kind="stable")
+        self.start, self.count = _groups(self.seg.anchor[self.order])
+        self.group = np.empty(len(self.order), np.int64)
+        self.group[self.order] = np.repeat(np.arange(len(self.start)), self.count)
+        self.key = self.seg.anchor[self.order][self.start]
+        if len(self.start):
+            c = self.seg.content[self.order]
+            self.uniform = np.minimum.reduceat(c, self.start) == np.maximum.reduceat(c, self.start)
+            self.least = np.minimum.reduceat(self.rank[self.seg.doc[self.order]], self.start)
+        else:
+            self.uniform, self.least = np.empty(0, bool), np.empty(0, np.uint64)
+
+    def _codes(self, kind: int, key: np.ndarray) -> np.ndarray:
+        return _said(self.number, self.buckets, key, self.said[kind])
+
+    def shared(self) -> list[tuple[np.ndarray, int]]:
+        return [(self.key, 6)]
+
+    def content(self) -> list[tuple[np.ndarray, int]]:
+        self.is_shared = np.flatnonzero(self._codes(SHARED, self.key) > 0)
+        at = self.is_shared
+        content = np.where(self.uniform[at], self.seg.content[self.order[self.start[at]]], np.uint64(0))
+        return [(self.key[at], 6), (content, 6), (self.least[at], 8)]
+
+    def copies(self) -> list[tuple[np.ndarray, int]]:
+        keys = self.content()[0][0]
+        self.status = np.zeros(len(self.key), np.uint8)  # of groups
+        self.status[self.is_shared] = self._codes(CONTENT, keys)
+        self.mixed = np.flatnonzero(self.status[self.group] == MIXED) if len(self.group) else self.group
+        seg = self.seg
+        name, tag, rank = mix(seg.anchor[self.mixed], seg.content[self.mixed]), seg.content[self.mixed] & _TAG, self.rank[seg.doc[self.mixed]]
+        self.copy_order = np.lexsort((rank, tag, name))
+        name, tag = name[self.copy_order], tag[self.copy_order]
+        self.copy_start, self.copy_count = _runs(name, tag) if len(name) else (np.empty(0, np.int64),) * 2
+        first = self.copy_start
+        return [(name[first], 8), (tag[first], 2), (rank[self.copy_order][first], 8)]
+
+    def speaking(self) -> np.ndarray:
+        """Segments whose windows are sent; ``self.copied`` says of each segment what the copies round said."""
+        keys = self.copies()[0][0]
+        self.copied = np.zeros(len(self.seg.doc), np.uint8)
+        self.copied[self.mixed[self.copy_order]] = np.repeat(self._codes(COPIES, keys), self.copy_count)
+        return np.sort(self.mixed[self.copied[self.mixed] != COVERED])
+
+    def entries_of(self, of: np.ndarray, ids: np.ndarray) -> tuple[list[tuple[np.ndarray, int]], np.ndarray, np.ndarray]:
+        """Different windows to send; the order they come from, and how often each occurs."""
+        tag, rank = self.seg.anchor[of] & _TAG, self.rank[self.seg.doc[of]]
+        order = np.lexsort((rank, tag, ids))
+        start, count = _runs(ids[order], tag[order]) if len(order) else (np.empty(0, np.int64),) * 2
+        first = order[start]
+        return [(ids[first], 8), (tag[first], 2), (rank[first], 8)], order, count
+
+    def windows(self) -> list[tuple[np.ndarray, int]]:
+        of, _, ids = windows_of(self.rule, self.chunk, self.seg, self.speaking())
+        return self.entries_of(of, ids)[0]
+
+    def covered(self) -> np.ndarray:
+        """Whether each unit of the chunk is in a repeated window."""
+        rule, seg = self.rule, self.seg
+        speaking = self.speaking()
+        units = int(self.chunk.sizes.sum())
+        edge = np.zeros(units + 1, np.int32)
+        if not len(seg.doc):
+            return np.zeros(units, bool)
+        own, status = self.rank[seg.doc], self.status[self.group]
+        uniform, several = self.uniform[self.group], (self.count > 1)[self.group]
+        whole = (status == COVERED) | (self.copied > 0)
+        whole |= uniform & (self.least[self.group] < own) if rule.earlier else uniform & several
+        base = self.chunk.starts[seg.doc]
+        np.add.at(edge, (base + seg.low)[whole], 1)
+        np.add.at(edge, (base + seg.high + rule.length)[whole], -1)
+
+        # window by window: what is not settled, all else of its anchors to compare with, and what was sent
+        open_ = ~whole & ((status == MIXED) | (several & ~uniform))
+        groups = np.zeros(len(self.start), bool)
+        groups[self.group[open_]] = True
+        chosen = groups[self.group]
+        chosen[speaking] = True
+        of, window, ids = windows_of(rule, self.chunk, seg, np.flatnonzero(chosen))
+        hit = np.zeros(len(of), bool)
+        columns, order, count = self.entries_of(of, ids)
+        if len(of):
+            least = np.repeat(columns[2][0], count)
+            hit[order] = least < own[of[order]] if rule.earlier else np.repeat(count > 1, count)
+        sent = np.isin(of, speaking)
+        part = np.flatnonzero(sent)
+        columns, order, count = self.entries_of(of[part], ids[part])
+        told = np.repeat(self._codes(WINDOWS, columns[0][0]) > 0, count)
+        # what another chunk says of a window holds for all of this chunk's occurrences
+        hit[part[order]] |= told
+        starts = (self.chunk.starts[seg.doc[of]] + window)[hit]
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + rule.length, -1)
+        return np.cumsum(edge[:-1]) > 0
 
 
 _TAG = np.uint64(0xFFFF)
@@ -435,83 +534,26 @@ def mark_repeats(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: st
     chunks = chunked(df, rule, id_col, text_col)
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(1, -(-total // rule.bucket_bytes))
+    chunks = chunks.select("chunk", "docs")
 
-    def send_anchors(number: int, docs: bytes) -> pa.RecordBatch:
-        chunk = unpack_chunk(docs)
-        local = _local(rule, chunk)
-        if not len(local.start):
-            return None
-        seg, first = local.seg, local.order[local.start]
-        least = np.minimum.reduceat(_rank(chunk)[seg.doc[local.order]], local.start)
-        content = np.where(local.uniform, seg.content[first], np.uint64(0))
-        return _deal(number, buckets, seg.anchor[first], [(seg.anchor[first], 6), (content, 6), (least, 8)])
-
-    def gathered(answers: DataFrame, name: str) -> DataFrame:
-        return answers.groupBy("chunk").agg(F.collect_list("answer").alias(name))
-
-    sent = _each(chunks.select("chunk", "docs"), ENTRIES, send_anchors)
-    anchors = cut(gathered(_resolve(sent, (6, 6, 8), _answer_anchors), "anchors"))
-
-    def send_windows(number: int, docs: bytes, answers: list[bytes]) -> pa.RecordBatch:
-        a, s, _ = _anchors_of_answers(answers)
-        if not (s == MIXED).any():
-            return None
-        chunk = unpack_chunk(docs)
-        local = _local(rule, chunk)
-        seg = local.seg
-        mixed = np.flatnonzero(_lookup(a, s, seg.anchor, 0) == MIXED)
-        of, _, ids = windows_of(rule, chunk, seg, mixed)
-        tag, rank = seg.anchor[of] & _TAG, _rank(chunk)[seg.doc[of]]
-        order = np.lexsort((rank, tag, ids))
-        w, t = ids[order], tag[order]
-        first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (t[1:] != t[:-1])))
-        return _deal(number, buckets, w[first], [(w[first], 8), (t[first], 2), (rank[order][first], 8)])
-
-    sent = _each(chunks.select("chunk", "docs").join(anchors, "chunk"), ENTRIES, send_windows)
-    windows = gathered(_resolve(sent, (8, 2, 8), _answer_windows), "windows")
-    answers = cut(anchors.join(windows, "chunk", "left"))
-
-    def finish(number: int, docs: bytes, anchors: list[bytes] | None, windows: list[bytes] | None) -> pa.RecordBatch:
-        chunk = unpack_chunk(docs)
-        local = _local(rule, chunk)
-        seg, rank = local.seg, _rank(chunk)
-        own = rank[seg.doc] if len(seg.doc) else np.empty(0, np.uint64)
-        a, s, m = _anchors_of_answers(anchors)
-        status, least = _lookup(a, s, seg.anchor, 0), _lookup(a, m, seg.anchor, 0xFFFFFFFFFFFFFFFF)
-        several, uniform = (local.count > 1)[local.group], local.uniform[local.group] if len(local.uniform) else np.empty(0, bool)
-        whole = status == SAME
-        if rule.earlier:
-            inside = np.minimum.reduceat(own[local.order], local.start)[local.group] if len(own) else own
-            whole = (whole & (least < own)) | (uniform & (inside < own))
-        else:
-            whole = whole | (several & uniform)
-        units = int(chunk.sizes.sum()) if chunk.sizes is not None else 0
-        edge = np.zeros(units + 1, np.int32)
-        base = chunk.starts[seg.doc] if len(seg.doc) else np.empty(0, np.int64)
-        np.add.at(edge, (base + seg.low)[whole], 1)
-        np.add.at(edge, (base + seg.high + rule.length)[whole], -1)
+    def with_answers(answers: DataFrame | None) -> DataFrame:
+        if answers is None:
+            return chunks.withColumn("answers", F.lit(None).cast("array<struct<kind:int,bucket:bigint,codes:binary>>"))
+        told = answers.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "codes")).alias("answers"))
+        return chunks.join(told, "chunk", "left")
 
-        single = np.flatnonzero(~whole & ((status == MIXED) | (several & ~uniform)))
-        of, window, ids = windows_of(rule, chunk, seg, single_or_all(single, seg, local, status, uniform, several))
-        if len(of):
-            tag, mine = seg.anchor[of] & _TAG, own[of]
-            order = np.lexsort((mine, tag, ids))
-            w, t = ids[order], tag[order]
-            first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]) | (t[1:] != t[:-1])))
-            count = np.diff(np.append(first, len(w)))
-            hit = np.repeat(mine[order][first], count) < mine[order] if rule.earlier else np.repeat(count > 1, count)
-            for blob in windows or []:
-                aw, at, am = thaw(blob, 8, 2, 8)
-                # of equal windows under several tags each is tried in turn
-                lo, hi = np.searchsorted(aw, w, "left"), np.searchsorted(aw, w, "right")
-                for k in range(int((hi - lo).max()) if len(w) else 0):
-                    i = np.minimum(lo + k, len(aw) - 1)
-                    found = (lo + k < hi) & (at[i] == t)
-                    hit |= found & (am[i] < mine[order]) if rule.earlier else found
-            starts = (chunk.starts[seg.doc[of]] + window)[order][hit]
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + rule.length, -1)
-        covered = np.cumsum(edge[:-1]) > 0
+    answers = None
+    for kind, send in ((SHARED, _View.shared), (CONTENT, _View.content), (COPIES, _View.copies), (WINDOWS, _View.windows)):
+
+        def entries(number: int, docs: bytes, told: list[dict] | None, send=send) -> pa.RecordBatch | None:
+            return _sent(number, buckets, send(_View(rule, buckets, number, docs, told)))
+
+        said = cut(_resolve(rule, kind, _each(with_answers(answers), ENTRIES, entries)))
+        answers = said if answers is None else answers.unionByName(said)
+
+    def finish(number: int, docs: bytes, told: list[dict] | None) -> pa.RecordBatch:
+        view = _View(rule, buckets, number, docs, told)
+        chunk, covered = view.chunk, view.covered()
         out: list[list] = [[] for _ in range(7)]
         for d, text in enumerate(chunk.texts):
             size = int(chunk.sizes[d])
@@ -524,13 +566,13 @@ def mark_repeats(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: st
             else:
                 words = text.split()
                 kept = b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()] if gone.any() else words)
-            for x, y in zip(out, (None if chunk.null[d] else int(chunk.ids[d]), _signed(xxhash.xxh64_intdigest(text, 42)), size, int(gone.sum()), np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), kept), strict=True):
+            row = (None if chunk.null[d] else int(chunk.ids[d]), _signed(xxhash.xxh64_intdigest(text, 42)), size, int(gone.sum()), np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), kept)
+            for x, y in zip(out, row, strict=True):
                 x.append(y)
         kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "text_hash", "n_units", "n_removed", "starts", "ends", "kept"])
 
-    rows = chunks.select("chunk", "docs").join(answers, "chunk", "left")
-    return _each(rows, "doc_id long, text_hash long, n_units long, n_removed long, starts array<long>, ends array<long>, kept binary", finish)
+    return _each(with_answers(answers), "doc_id long, text_hash long, n_units long, n_removed long, starts array<long>, ends array<long>, kept binary", finish)
 
 
 def _signed(h: int) -> int:
@@ -547,12 +589,3 @@ def drop_passages(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: s
     rows = df.select(*[f"`{c}`" for c in df.columns if c != text_col], F.col(text_col).isNull().alias("__null"), F.xxhash64(text).alias("__own"))
     rows = rows.join(found, rows[id_col].eqNullSafe(found["__id"]) & (F.col("__own") == F.col("__hash")))
     return rows.withColumn(text_col, F.when(~F.col("__null"), F.col("kept").cast("string"))).select(*[f"`{c}`" for c in df.columns])
-
-
-def single_or_all(single: np.ndarray, seg: Segments, local: _Local, status: np.ndarray, uniform: np.ndarray, several: np.ndarray) -> np.ndarray:
-    """Segments to compare window by window: those not settled whole and, for comparison, all others of their anchors."""
-    if not len(single):
-        return single
-    groups = np.zeros(len(local.start), bool)
-    groups[local.group[single]] = True
-    return np.flatnonzero(groups[local.group])
