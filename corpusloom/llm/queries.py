@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, exact_dedup, packing, quality, repeats, sharding, simhash, toxicity, warc
 from corpusloom.llm.common import documents, scratch
+from corpusloom.llm.oracles import ORACLES
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +74,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality_rules, op3_hilbert_sharding, op4_simhash, op5_packing, op6_exact_dedup, op7_substring_dedup, op8_warc, op9_suffix_array_dedup, op10_toxicity)}
-ORACLES: dict[str, str] = {
-    "op6_exact_dedup": """
-select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
-       doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
-from documents window w as (partition by coalesce(text, ''))
-""",
-}
+
+__all__ = ["ORACLES", "QUERIES"]
