@@ -34,6 +34,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written once as a table bucketed by ``key`` in the shared folder; joins on the key then move only the other side."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", scratch(spark, name)).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"drop table {table}")  # of the catalog; the files are the folder's
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 

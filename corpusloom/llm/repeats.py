@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut
+from corpusloom.llm.common import bucketed, cut
 
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _POS = np.uint64((1 << 28) - 1)
@@ -159,8 +159,7 @@ def chunked(df: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     made = rows.mapInArrow(run, "chunk long, bytes long, docs binary")
-    # dealt by chunk once, so that no later round moves them again
-    return cut(made.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk"))
+    return bucketed(made, "chunk", "chunks")
 
 
 @dataclass
@@ -584,8 +583,8 @@ def drop_passages(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: s
 
     No row goes, an emptied text is left empty and a null one null. Rows that repeat both id and text should be deduplicated before.
     """
-    found = mark_repeats(df, rule, id_col, text_col, characters=True).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "kept")
+    found = mark_repeats(df, rule, id_col, text_col, characters=True).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("kept").alias("__left"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(*[f"`{c}`" for c in df.columns if c != text_col], F.col(text_col).isNull().alias("__null"), F.xxhash64(text).alias("__own"))
     rows = rows.join(found, rows[id_col].eqNullSafe(found["__id"]) & (F.col("__own") == F.col("__hash")))
-    return rows.withColumn(text_col, F.when(~F.col("__null"), F.col("kept").cast("string"))).select(*[f"`{c}`" for c in df.columns])
+    return rows.withColumn(text_col, F.when(~F.col("__null"), F.col("__left").cast("string"))).select(*[f"`{c}`" for c in df.columns])
