@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.binding import let
 from corpusloom.functions.text import first_substantive_line, normalize_code
 
 
@@ -16,16 +17,20 @@ def common_prefix(left: Column, right: Column) -> Column:
 
 
 def edit_distance(left: Column, right: Column) -> Column:
-    """Levenshtein distance of two arrays, row by row of the usual table."""
+    """Levenshtein distance of two arrays that have at most 40,000 different items.
 
-    def row(above: Column, item: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            change = F.get(above, j) + F.when(F.get(right, j) == item, 0).otherwise(1)
-            return F.concat(acc, F.array(F.least(change, F.get(above, j + 1) + 1, F.get(acc, j) + 1)))
+    Each item is written as the letter of its place among both arrays' items, and the strings are compared.
+    """
+    first = 0x3400  # letters from here to the surrogates
 
-        return F.aggregate(F.when(F.size(right) > 0, F.sequence(F.lit(0), F.size(right) - 1)).otherwise(F.array().cast("array<int>")), F.array(F.get(above, F.lit(0)) + 1), cell)
+    def compared(items: Column) -> Column:
+        def letter(x: Column) -> Column:
+            return F.lpad(F.hex(F.array_position(items, x) + first), 4, "0")
 
-    return F.aggregate(left, F.sequence(F.lit(0), F.size(right)), row, lambda last: F.get(last, F.size(right))).cast("long")
+        word = lambda a: F.decode(F.unhex(F.array_join(F.transform(a, letter), "")), "UTF-16BE")
+        return F.levenshtein(word(left), word(right))
+
+    return let(F.array_distinct(F.concat(left, right)), compared).cast("long")
 
 
 def score_generation(ids: Column, reference_ids: Column, text: Column, reference: Column) -> list[Column]:

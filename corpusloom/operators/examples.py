@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.functions import ids, text, tokens
+from corpusloom.functions.binding import let
 from corpusloom.operators.sampling import even_places, evenly_capped
 
 
@@ -31,11 +32,6 @@ def training_repeat(split: Column, priority: Column, repeats: dict[str, int]) ->
     return F.when(split == "train", F.coalesce(table[priority], F.lit(1))).otherwise(1)
 
 
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once for many uses in ``body``; as a column it might be made anew for each."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _capped(items: Column, split: Column, rules: ExampleRules) -> Column:
     """The evenly spaced examples of a file, by its split's limit."""
     out = F.slice(items, 1, 0)

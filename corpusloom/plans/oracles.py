@@ -198,6 +198,23 @@ replies as (
 coded as (
   select *, list_transform(string_split(replace(generated_text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: regexp_replace(x, '\\s+$', '')) as ls from replies)"""
 
+_SCORED = f"""{_TURNS},
+cut as (
+  select conv_id, turn, list_slice(regexp_extract_all(generated_text, '\\w+|[^\\w\\s]+|\\s+'), 1, 48) as g, list_slice(regexp_extract_all(reference_text, '\\w+|[^\\w\\s]+|\\s+'), 1, 48) as r from replies),
+pairs as (select *, array_to_string(g, '') as gt, array_to_string(r, '') as rt, list_distinct(g || r) as vocabulary from cut),
+lined as (
+  select *, list_transform(string_split(gt, chr(10)), lambda x: regexp_replace(x, '\\s+$', '')) as gl, list_transform(string_split(rt, chr(10)), lambda x: regexp_replace(x, '\\s+$', '')) as rl,
+    cast(levenshtein(array_to_string(list_transform(g, lambda t: chr(cast(30 + list_position(vocabulary, t) as integer))), ''), array_to_string(list_transform(r, lambda t: chr(cast(30 + list_position(vocabulary, t) as integer))), '')) as bigint) as d,
+    coalesce(list_position(list_transform(range(1, least(len(g), len(r)) + 1), lambda i: list_extract(g, i) = list_extract(r, i)), false) - 1, least(len(g), len(r))) as p
+  from pairs),
+scored as (
+  select conv_id, turn, gt = rt as exact_match,
+    regexp_replace(regexp_replace(array_to_string(gl, chr(10)), '^\\n+', ''), '\\n+$', '') = regexp_replace(regexp_replace(array_to_string(rl, chr(10)), '^\\n+', ''), '\\n+$', '') as normalized_exact_match,
+    coalesce(list_extract(list_filter(list_transform(gl, lambda x: trim(x, ' ' || chr(9))), lambda x: x <> ''), 1), '') = coalesce(list_extract(list_filter(list_transform(rl, lambda x: trim(x, ' ' || chr(9))), lambda x: x <> ''), 1), '') as first_line_exact_match,
+    cast(p as bigint) as matching_prefix_tokens, p::double / greatest(len(r), 1)::double as matching_prefix_ratio, d as token_edit_distance,
+    case when greatest(len(g), len(r)) = 0 then 1.0::double else 1.0::double - d::double / greatest(len(g), len(r))::double end as token_edit_similarity, cast(len(g) as bigint) as generated_tokens, cast(len(r) as bigint) as reference_tokens
+  from lined)"""
+
 _ADAPTERS = """
 adapter_files as (
   select 'out/' || case when doc_id = 0 then 'final_adapter' else 'checkpoint-' || doc_id end as folder, f
@@ -328,6 +345,12 @@ order by case when cpp_training_priority = 'high' and not contains(completion, c
     "tokenized_stats": _examples("select cast(max(least(prompt_tokens, 256 - completion_tokens) + completion_tokens + 1) as integer) as longest, avg(completion_tokens + 1) as mean_supervised, true as aligned from kept"),
     "roundtrip_check": _with(_RAW, "select count(*) filter (array_to_string(regexp_extract_all(text, '\\w+|[^\\w\\s]+|\\s+'), '') <> text) as mismatches, cast(sum(len(regexp_extract_all(text, '\\w+|[^\\w\\s]+|\\s+'))) as bigint) as tokens from raw"),
     "generation_budgets": _examples("select id, cast(least(128, completion_tokens) as integer) as budget, cast(least(128, greatest(8, ceil(least(128, completion_tokens) / 16.0) * 16)) as integer) as bucket from kept"),
+    "generation_scores": _with(_SCORED, "select * from scored"),
+    "macro_generation_metrics": _with(
+        _SCORED,
+        """select count(*) as examples, avg(exact_match::integer) as exact_match, avg(normalized_exact_match::integer) as normalized_exact_match, avg(first_line_exact_match::integer) as first_line_exact_match,
+  round(sum(matching_prefix_ratio::decimal(18, 12))::double / count(*), 9) as matching_prefix_ratio, round(sum(token_edit_similarity::decimal(18, 12))::double / count(*), 9) as token_edit_similarity from scored""",
+    ),
     "normalized_replies": _with(
         _TURNS,
         """select conv_id, turn, sha256(regexp_replace(regexp_replace(array_to_string(ls, chr(10)), '^\\n+', ''), '\\n+$', '')) as normalized,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import clean, examples, inventory, split, weights
 from corpusloom.operators.clean import CANONICAL_ORDER
+from corpusloom.sources import files
 
 COMMIT = "0123456789abcdef"
 #: The prose of the test tables has no code in it, so the patterns are of words.
@@ -31,7 +32,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content) of ``documents``: source and language make the directory, the id the name and suffix."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = files.spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     top = F.element_at(F.array(*[F.lit(x) for x in CANONICAL_ORDER]), F.pmod(F.substr("source", F.lit(4)).cast("int"), F.lit(len(CANONICAL_ORDER))) + 1)
     k = F.pmod(F.floor(F.col("doc_id") / 20), F.lit(10))
     ext = F.when(k == 0, ".cpp").when(k == 1, ".hpp").when(k <= 4, ".h").otherwise(".c")

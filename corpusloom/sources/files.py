@@ -89,3 +89,12 @@ def tracked(spark: SparkSession, target: str) -> DataFrame:
     """(path) of the files git tracks in a checkout."""
     names = command(["git", "ls-files", "-z"], target).split("\0")
     return spark.createDataFrame([(n,) for n in names if n], "path string")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it is read from fewer files than there are, as a small table in one row group is.
+
+    A table of many files is left as it is, and nothing shuffles.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

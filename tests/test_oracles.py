@@ -5,7 +5,7 @@ import pytest
 from corpusloom.plans.oracles import ORACLES
 from corpusloom.plans.queries import QUERIES
 
-WITHOUT_SQL = {"generation_scores", "macro_generation_metrics"}
+WITHOUT_SQL: set[str] = set()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
