@@ -122,7 +122,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(prints: DataFrame, group: int = 4096) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints (fp) as all those within BITS bits would."""
-    held = prints.select("fp", F.explode(_signatures(F.col("fp"))).alias("key"))
+    # few bytes become 64 times as many, so the tasks are set by number and not by today's size
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = prints.select("fp").repartition(parts, "fp").select("fp", F.explode(_signatures(F.col("fp"))).alias("key"))
     shared = cut(held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
     pairs = shared.filter((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).select("a", "b")
     more = skew_join(held, shared.filter("n > 2").select("key", "n"), ["key"])
