@@ -25,9 +25,14 @@ from corpusloom.llm.common import cut
 _SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
+#: Bytes of a word's beginnings that are features of their own.
+STEMS = (5,)
+
+
 def words_of(text: str | None) -> set[bytes]:
-    """Different words: runs of letters, digits and characters beyond ASCII, A-Z lower-cased."""
-    return set((text or "").encode().lower().translate(_SPACES).split())
+    """Different words (runs of letters, digits and characters beyond ASCII, A-Z lower-cased), and the beginnings of longer ones with a hyphen."""
+    words = set((text or "").encode().lower().translate(_SPACES).split())
+    return words.union(*({w[:n] + b"-" for w in words if len(w) > n} for n in STEMS))
 
 
 @dataclass
@@ -44,7 +49,7 @@ class OrdinalModel:
         return [0.5 * (1 + math.tanh((score - t) / 2)) for t in self.thresholds]
 
 
-def fit_ordinal(rows: list[list[int]], grades: np.ndarray, features: int, grade_count: int, l2: float = 1.0, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[list[int]], grades: np.ndarray, features: int, grade_count: int, l2: float = 0.1, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds that maximise the penalised likelihood; rows: features present in each text."""
     n = len(rows)
     row = np.repeat(np.arange(n), [len(r) for r in rows])
