@@ -134,7 +134,7 @@ class ByteBpe:
                 key = before << 20 | token
                 ok = fits.get(key)
                 if ok is None:
-                    if len(fits) > 2_000_000:
+                    if len(fits) > 500_000:
                         fits.clear()
                     ok = fits[key] = self._neighbours_until(before, token) == NEVER
                 if not ok:
@@ -146,6 +146,10 @@ class ByteBpe:
             at = begins[at]
         return out[::-1]
 
+    def forget(self) -> None:
+        self.first.clear()
+        self.spaced.clear()
+
     def _unit(self, text: str) -> bytes:
         out: list[int] = []
         for word in self.words.findall(text):
@@ -156,8 +160,7 @@ class ByteBpe:
         if not text:
             return b""
         if len(self.first) + len(self.spaced) > REMEMBERED:
-            self.first.clear()
-            self.spaced.clear()
+            self.forget()
         if self.gaps.search(text):
             return b"".join(map(self.first.__getitem__, self.words.findall(text)))
         # no two white spaces meet: a line end is a word, a blank belongs to what follows it
@@ -190,7 +193,7 @@ def vocabulary(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: pa.DataType, sql_kind: str, make) -> DataFrame:
+def _mapped(df: DataFrame, source: str, target: str, kind: pa.DataType, sql_kind: str, make, path: str) -> DataFrame:
     """``df`` with a column ``target`` made row by row of ``source``, in Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +202,7 @@ def _mapped(df: DataFrame, source: str, target: str, kind: pa.DataType, sql_kind
             for s in range(0, b.num_rows, step):
                 part = b.slice(s, step)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(map(make, part.column(part.num_columns - 1).to_pylist()), kind)], names=[*part.schema.names[:-1], target])
+        vocabulary(path).forget()  # a worker that waits for its next task holds no words
 
     kept = [f for f in df.schema.fields if f.name != target]
     rows = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(source).alias("__in"))
@@ -211,9 +215,9 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
 
     A null text counts as empty and has no ids. A column of that name is replaced.
     """
-    return _mapped(df, text_col, ids_col, pa.binary(), "binary", lambda t: vocabulary(path).encode(t or ""))
+    return _mapped(df, text_col, ids_col, pa.binary(), "binary", lambda t: vocabulary(path).encode(t or ""), path)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with ``text_col``: the text of the ids; bytes that are no UTF-8 become U+FFFD; null ids give an empty text."""
-    return _mapped(df, ids_col, text_col, pa.string(), "string", lambda i: vocabulary(path).decode(i or b""))
+    return _mapped(df, ids_col, text_col, pa.string(), "string", lambda i: vocabulary(path).decode(i or b""), path)

@@ -173,6 +173,7 @@ def pack(
                         ids, data, held = [], [], 0
         if ids:
             yield block(ids, data)
+        vocabulary.known.clear()  # a worker that waits for its next task holds no words
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)

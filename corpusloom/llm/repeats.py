@@ -103,14 +103,14 @@ class Words(dict):
 _words = Words()
 
 
-def units_of(rule: Rule, data: bytes) -> tuple[np.ndarray, int]:
-    """Identifiers of the q-grams of a text, and its number of units."""
+def units_of(rule: Rule, data: bytes) -> tuple[np.ndarray, list[bytes] | bytes]:
+    """Identifiers of the q-grams of a text, and its units."""
     if rule.unit == "byte":
         n = len(data)
         grams = np.ndarray((max(n - 7, 0),), "<u8", data, strides=(1,)).copy() if n >= 8 else np.empty(0, np.uint64)
-        return grams, n
+        return grams, data
     words = data.split()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)), len(words)
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)), words
 
 
 @dataclass
@@ -120,6 +120,8 @@ class Chunk:
     texts: list[bytes]
     starts: np.ndarray = field(default=None)  # of each document's units in the chunk's
     sizes: np.ndarray = field(default=None)
+    grams: list[np.ndarray] = field(default=None)
+    units: list = field(default=None)
 
 
 def pack_chunk(ids: list[int | None], texts: list[bytes]) -> bytes:
@@ -174,15 +176,15 @@ class Segments:
 def _pieces(rule: Rule, chunk: Chunk) -> Iterator[tuple[int, int, np.ndarray]]:
     """(document, first unit, q-gram identifiers) of runs of ``step`` windows."""
     q = 8 if rule.unit == "byte" else 1
-    sizes = []
-    for d, text in enumerate(chunk.texts):
-        grams, n = units_of(rule, text)
-        sizes.append(n)
+    if chunk.grams is None:
+        made = [units_of(rule, t) for t in chunk.texts]
+        chunk.grams, chunk.units = [g for g, _ in made], [u for _, u in made]
+        chunk.sizes = np.array([len(u) for u in chunk.units], np.int64)
+        chunk.starts = np.cumsum(chunk.sizes) - chunk.sizes
+    for d, (grams, n) in enumerate(zip(chunk.grams, chunk.sizes.tolist(), strict=True)):
         windows = n - rule.length + 1
         for s in range(0, max(windows, 0), rule.step):
             yield d, s, grams[s : min(s + rule.step, windows) + rule.length - q]
-    chunk.sizes = np.array(sizes, np.int64)
-    chunk.starts = np.cumsum(chunk.sizes) - chunk.sizes
 
 
 def _joined(rule: Rule, chunk: Chunk) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -249,7 +251,6 @@ def windows_of(rule: Rule, chunk: Chunk, seg: Segments, chosen: np.ndarray) -> t
             at = end
         if at == n:
             break
-    # _joined sets sizes only when it has run to its end
     return of, window, ids
 
 
@@ -296,6 +297,7 @@ def _each(df: DataFrame, schema: str, make: Callable[..., pa.RecordBatch | None]
                 made = make(*[c[i].as_py() for c in b.columns])
                 if made is not None and made.num_rows:
                     yield made
+        _words.clear()  # a worker that waits for its next task holds no words
 
     return df.mapInArrow(run, schema)
 
@@ -563,7 +565,7 @@ def mark_repeats(df: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: st
             if rule.unit == "byte":
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if gone.any() else text
             else:
-                words = text.split()
+                words = chunk.units[d]
                 kept = b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()] if gone.any() else words)
             row = (None if chunk.null[d] else int(chunk.ids[d]), _signed(xxhash.xxh64_intdigest(text, 42)), size, int(gone.sum()), np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), kept)
             for x, y in zip(out, row, strict=True):
