@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, components, exact_dedup, packing, quality, queries, repeats, sharding, simhash, toxicity, warc
+from corpusloom.llm import bpe, components, exact_dedup, minhash, packing, quality, queries, repeats, sharding, simhash, toxicity, warc
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -514,6 +514,52 @@ def test_toxicity_odd_rows(spark, odd, empty):
 # pipeline
 
 
+def _five(t):
+    w = t.encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {b" ".join(w)}
+
+
+def test_near_copies(spark):
+    """Near copies of five-word similarity 0.8 or more go, whatever their fingerprints; others stay."""
+    import corpus_pipeline as P
+
+    random.seed(7)
+    text = {}
+    for base in range(0, 400, 10):
+        words = [f"w{random.randrange(10**6)}" for _ in range(random.choice([104, 204, 404]))]
+        text[base] = " ".join(words)
+        for k in range(1, 6):
+            changed = list(words)
+            for at in random.sample(range(len(words)), random.randrange(1, len(words) // 35 + 2)):
+                changed[at] = "other"
+            text[base + k] = " ".join(changed)
+    text |= {1000: "Two words", 1001: "two  WORDS", 1002: "two other", 1003: "", 1004: " "}
+    ids = sorted(text)
+    sets, parent = {i: _five(t) for i, t in text.items()}, {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    far = 0
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if sets[i] & sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                far += (_fingerprint(text[i]) ^ _fingerprint(text[j])).bit_count() > 3
+                low, high = sorted((find(i), find(j)))
+                parent[high] = low
+    assert far > 50
+    docs = spark.createDataFrame(sorted(text.items()), "doc_id long, text string")
+    assert {r.doc_id for r in P.drop_near_copies(spark, docs, DATA).collect()} == {i for i in ids if find(i) == i}
+
+
+def test_near_copies_odd_rows(odd, empty):
+    kept = minhash.drop_near(odd)
+    assert kept.columns == odd.columns and sum(r.doc_id is None for r in kept.collect()) == sum(r.doc_id is None for r in odd.collect())
+    assert minhash.drop_near(empty).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
