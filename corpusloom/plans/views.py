@@ -13,7 +13,6 @@ COMMIT = "0123456789abcdef"
 #: The prose of the test tables has no code in it, so the patterns are of words.
 RULES = clean.CleaningRules(
     project="corpus",
-    max_file_bytes=8000,
     exclude_path_prefixes=("doc/",),
     exclude_exact_paths=("drivers/en/src3/43.c", "kernel/en/src5/45.c", "drivers/en/src3/123.h"),
     data_pattern=r"[0-9]{3,}",

@@ -192,3 +192,11 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("arrived_files").count() == 1
+
+
+def test_views_keep_long_documents(spark):
+    """Documents over 8,000 bytes, but under the reference's limit, are not left out for their size."""
+    from corpusloom.plans import views
+
+    rows = views.classified(spark, "/root/testdata/sf0.001").filter("size_bytes > 8000").select("size_bytes", "exclusion_reason").collect()
+    assert rows and all(r.size_bytes <= 409_600 and r.exclusion_reason != "over-maximum-size" for r in rows)
