@@ -16,10 +16,24 @@ def common_prefix(left: Column, right: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(n).cast("long")
 
 
+def _edit_table(left: Column, right: Column) -> Column:
+    """Levenshtein distance of two arrays, row by row of the usual table."""
+
+    def row(above: Column, item: Column) -> Column:
+        def cell(acc: Column, j: Column) -> Column:
+            change = F.get(above, j) + F.when(F.get(right, j) == item, 0).otherwise(1)
+            return F.concat(acc, F.array(F.least(change, F.get(above, j + 1) + 1, F.get(acc, j) + 1)))
+
+        return F.aggregate(F.when(F.size(right) > 0, F.sequence(F.lit(0), F.size(right) - 1)).otherwise(F.array().cast("array<int>")), F.array(F.get(above, F.lit(0)) + 1), cell)
+
+    return F.aggregate(left, F.sequence(F.lit(0), F.size(right)), row, lambda last: F.get(last, F.size(right)))
+
+
 def edit_distance(left: Column, right: Column) -> Column:
-    """Levenshtein distance of two arrays that have at most 40,000 different items.
+    """Levenshtein distance of two arrays.
 
     Each item is written as the letter of its place among both arrays' items, and the strings are compared.
+    Where there are more than 40,000 different items letters run out, and the table is filled row by row.
     """
     first = 0x3400  # letters from here to the surrogates
 
@@ -28,7 +42,7 @@ def edit_distance(left: Column, right: Column) -> Column:
             return F.lpad(F.hex(F.array_position(items, x) + first), 4, "0")
 
         word = lambda a: F.decode(F.unhex(F.array_join(F.transform(a, letter), "")), "UTF-16BE")
-        return F.levenshtein(word(left), word(right))
+        return F.when(F.size(items) <= 40_000, F.levenshtein(word(left), word(right))).otherwise(_edit_table(left, right))
 
     return let(F.array_distinct(F.concat(left, right)), compared).cast("long")
 

@@ -147,3 +147,11 @@ def test_text_rules_equal_python(spark):
         assert r.l == r.t.splitlines(keepends=True), repr(r.t)
         assert r.b == (not r.t.strip()), repr(r.t)
         assert r.s == licence(r.t), repr(r.t)
+
+
+def test_edit_distance_beyond_the_letters(spark):
+    """Items past 40,000 different ones are still told apart."""
+    row = spark.range(1).select(scores.edit_distance(F.array(F.lit(45_000)), F.sequence(F.lit(1), F.lit(45_000))).alias("d")).first()
+    assert row.d == 44_999
+    row = spark.range(1).select(scores.edit_distance(F.concat(F.sequence(F.lit(1), F.lit(45_000)), F.array(F.lit(45_001))), F.array(F.lit(45_002))).alias("d")).first()
+    assert row.d == 45_001
