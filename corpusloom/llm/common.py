@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Vocabulary(dict):
+    """word -> ``make(word)``, made on demand; forgets all past ``most`` words or ``most_bytes`` of them."""
+
+    def __init__(self, make: Callable[[bytes], object], most: int = 400_000, most_bytes: int = 32 << 20):
+        super().__init__()
+        self.make, self.most, self.most_bytes, self.held = make, most, most_bytes, 0
+
+    def __missing__(self, word):
+        if len(self) >= self.most or self.held > self.most_bytes:
+            self.clear()
+        value = self.make(word)
+        if len(word) <= 1 << 12:
+            self[word] = value
+            self.held += len(word)
+        return value
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -1,20 +1,28 @@
 """SimHash near-dedup with deletion-variant signatures.
 
-A text's 64-bit fingerprint takes each bit by majority over the XXH64 of its word shingles.
-Two fingerprints within 3 bits have a 32-bit half that differs in one bit at most, so each
-distinct fingerprint is indexed under 2 x 32 signatures: a half with one bit wildcarded. An
-equality join brings together all that share a signature and the distance is verified.
-
-Only distinct fingerprints are indexed. A signature held by two is checked directly. One held
-by more is searched outwards from each member over those not reached yet, which yields the
-links that connect it and never all of its pairs. Those held by more than ``group`` are cut
-once more by the same rule on the other half (2 x 16 signatures), after which a group holds
-at most 2**18 fingerprints, whatever the corpus. No link is lost.
+A text's fingerprint takes each bit by majority over the hashes of its word shingles. It is cut into
+fewer segments than one would need for equal ones: so few that of two near texts one segment differs in
+a single bit at most. Each segment is indexed under its variants with one bit wildcarded; an equality
+join brings together all that share a variant, and what it brings is verified.
+
+Two uses:
+
+* ``near_duplicates``: 64-bit fingerprints of three-word shingles, two segments of 32 bits. Fingerprints within 3 bits have a
+  segment that differs in one bit at most, so no link is lost. A signature's members are streamed in their order; those of
+  one with more than ``group`` are cut once more by the same rule on the other half (2 x 16 variants), after which a
+  group holds at most 2**18 fingerprints, whatever the corpus.
+* ``drop_near``: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Their fingerprints (of
+  two-word shingles, which an edit changes less) differ in a tenth of the bits, so there are more and longer segments.
+  Members of a signature are compared by their whole fingerprints, what is left by the shingles themselves.
+
+A group is searched outwards from each member over those not reached yet, which yields the links that
+connect it and never all of its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +30,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, skew_join
+from corpusloom.llm.common import Vocabulary, cut, skew_join
 from corpusloom.llm.components import components
 
 BITS = 3
-BLOCK = 1 << 16
+BLOCK = 1 << 14
+_P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def majority(hashes: list[np.ndarray]) -> np.ndarray:
+    """Of rows of 64-bit words the bits that are set in over half of them, as words."""
+    total = sum(map(len, hashes))
+    ones = sum(np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1).sum(0, dtype=np.int64) for h in hashes)
+    return np.packbits(2 * ones > total).view(">u8").astype(np.uint64)
 
 
 def fingerprint(data: bytes, size: int = 3) -> int:
@@ -37,100 +53,153 @@ def fingerprint(data: bytes, size: int = 3) -> int:
         return 0
     if n < size:
         words, n, size = [b" ".join(words)], 1, 1
-    ones, total = np.zeros(64, np.int64), n - size + 1
+    made, total = [], n - size + 1
     for at in range(0, total, BLOCK):
         part = words[at : at + BLOCK + size - 1]
         joined = b" ".join(part)
         length = np.fromiter(map(len, part), np.int64, len(part))
         end = np.cumsum(length + 1) - 1
         start = end - length
-        hashes = [xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(start[: len(part) - size + 1].tolist(), end[size - 1 :].tolist(), strict=True)]
-        ones += np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total).view(">u8")[0])
+        made.append(np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(start[: len(part) - size + 1].tolist(), end[size - 1 :].tolist(), strict=True)], np.uint64))
+    return int(majority(made)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """(doc_id, fp: the fingerprint as a signed long) for every row; a null text has no word."""
+def _per_text(df: DataFrame, value: Callable[[bytes], object], name: str, kind: pa.DataType, sql: str) -> DataFrame:
+    """(doc_id, ``value`` of the text's bytes) for rows (doc_id, text); a null text has no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.large_binary()).to_pylist()
-            fp = np.array([fingerprint(t or b"", size) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            for s in range(0, b.num_rows, 512):
+                part = b.slice(s, 512)
+                made = pa.array([value(t.as_py() or b"") for t in part.column(1).cast(pa.large_binary())], kind)
+                yield pa.RecordBatch.from_arrays([part.column(0), made], names=["doc_id", name])
+
+    return df.mapInArrow(run, f"doc_id long, {name} {sql}")
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))
+
+
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+    """(doc_id, fp: the fingerprint as a signed long) for every row; a null text has no word."""
+    signed = lambda t: int(np.uint64(fingerprint(t, size)).view(np.int64))
+    return _per_text(_rows(df, id_col, text_col), signed, "fp", pa.int64(), "long")
+
+
+def signatures(segments: Column, width: int) -> Column:
+    """Longs: place of the segment, wildcarded bit (5 bits), the segment's low ``width`` bits (32 at most) with that bit cleared."""
+    bits = F.sequence(F.lit(0), F.lit(width - 1))
+    whole = F.lit((1 << width) - 1)
+
+    def variants(segment: Column, place: Column) -> Column:
+        head = F.shiftleft(place.cast("long"), 37)
+        return F.transform(bits, lambda j: head.bitwiseOR(F.shiftleft(j.cast("long"), 32)).bitwiseOR(segment.bitwiseAND(whole).bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), j)))))
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return F.flatten(F.transform(segments, variants))
 
 
-def _signatures(fp: Column) -> Column:
-    """64 longs: half (1 bit), wildcard (5 bits), the half's 32 bits with the wildcard cleared."""
-    low = F.lit((1 << 32) - 1)
-    halves = [fp.bitwiseAND(low), F.shiftrightunsigned(fp, 32)]
-    return F.array(*[F.lit((h << 37) | (j << 32)).cast("long").bitwiseOR(halves[h].bitwiseAND(F.lit(((1 << 32) - 1) ^ (1 << j)))) for h in range(2) for j in range(32)])
+def _halves(fp: Column) -> Column:
+    return F.array(fp.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(fp, 32))
 
 
 def _finer(key: Column, fp: Column) -> Column:
-    """32 longs that cut a signature's group on the other half: quarter, wildcard, 16 bits."""
+    """32 longs that cut a signature's group on the other half."""
     other = F.when(F.shiftright(key, 37) == 0, F.shiftrightunsigned(fp, 32)).otherwise(fp.bitwiseAND(F.lit((1 << 32) - 1)))
-    quarters = [other.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(other, 16)]
-    return F.array(*[F.lit((q << 20) | (j << 16)).cast("long").bitwiseOR(quarters[q].bitwiseAND(F.lit(0xFFFF ^ (1 << j)))) for q in range(2) for j in range(16)])
+    return signatures(F.array(other.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(other, 16)), 16)
 
 
-def _connect(members: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """Links that connect the members as all their links of at most BITS bits would."""
-    found, rest = [], members
+def connect(members: np.ndarray, bits: int) -> list[tuple[np.ndarray, int]]:
+    """Places of members and of one that each of them is near: links that connect the rows of 64-bit words as all those within ``bits`` bits would."""
+    found, rest = [], np.arange(len(members))
     while rest.size:
-        front, rest = [rest[0]], rest[1:]
+        front, rest = [int(rest[0])], rest[1:]
         while front and rest.size:
             x = front.pop()
-            near = np.bitwise_count(rest ^ x) <= BITS
+            near = np.bitwise_count(members[rest] ^ members[x]).sum(1, dtype=np.int64) <= bits
             if near.any():
                 reached = rest[near]
                 found.append((reached, x))
                 rest = rest[~near]
-                front.extend(reached)
+                front.extend(reached.tolist())
     return found
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, sub, fp) sorted by these; a group may span batches, never tasks."""
-    left = [np.empty(0, np.int64)] * 3
-
-    def links(cols: list[np.ndarray]) -> pa.RecordBatch:
-        edge = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
-        at = np.concatenate([[0], edge, [len(cols[0])]])
-        a, b = [], []
-        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if e - s > 1:
-                for reached, x in _connect(cols[2][s:e].view(np.uint64)):
-                    a.append(reached)
-                    b.append(np.full(len(reached), x))
-        ab = [np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in (a, b)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in ab], names=["a", "b"])
-
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[tuple[list[np.ndarray], np.ndarray, bool]]:
+    """Of rows sorted by the first ``keys`` columns: columns, starts of groups in them (and the end), and whether it is a part of one group that holds
+    over ``most`` rows. A group may span batches, never tasks."""
+    left, large = None, None
     for batch in batches:
-        cols = [np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(left)]
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if left is not None:
+            cols = [np.concatenate(x) for x in zip(left, cols, strict=True)]
         if not len(cols[0]):
             continue
-        last = int(np.flatnonzero((cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]))[0])
-        left = [x[last:] for x in cols]
+        new = np.zeros(len(cols[0]), bool)
+        for c in cols[:keys]:
+            new[1:] |= c[1:] != c[:-1]
+        at = np.flatnonzero(new)
+        if large is not None:  # the group in hand is one that is passed on in parts
+            first = int(at[0]) if len(at) else len(new)
+            if tuple(c[0] for c in cols[:keys]) == large:
+                yield [c[:first] for c in cols], np.array([0, first]), True
+                cols, at = [c[first:] for c in cols], at[1:] - first
+            if not len(cols[0]):
+                left = None
+                continue
+            large = None
+        last = int(at[-1]) if len(at) else 0
         if last:
-            yield links([x[:last] for x in cols])
-    if len(left[0]):
-        yield links(left)
+            yield [c[:last] for c in cols], np.concatenate([[0], at]), False
+        left = [c[last:] for c in cols]
+        if most is not None and len(left[0]) > most:
+            large = tuple(c[0] for c in left[:keys])
+            yield left, np.array([0, len(left[0])]), True
+            left = None
+    if left is not None and len(left[0]):
+        yield left, np.array([0, len(left[0])]), False
+
+
+def _fp_links(keys: int, group: int | None) -> Callable:
+    """Links (a, b) of rows (key, ..., fp) sorted by these; members of larger groups than ``group`` come back as (fp, null, key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, at, large in _grouped(batches, keys, group):
+            fp, size = cols[keys], np.diff(at)
+            a, b, k = [], [], []
+            if large or group is not None and (size > group).any():
+                over = np.ones(len(fp), bool) if large else np.repeat(size > group, size)
+                a, b, k = [fp[over]], [None] * int(over.sum()), [cols[0][over]]
+            else:
+                over = np.zeros(0, bool)
+            two = at[:-1][size == 2] if not large else at[:0]
+            near = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= BITS
+            x, y = [fp[two][near]], [fp[two + 1][near]]
+            for s, e in zip(at[:-1][size > 2].tolist(), at[1:][size > 2].tolist(), strict=True) if not large else ():
+                if group is None or e - s <= group:
+                    for reached, one in connect(fp[s:e].view(np.uint64)[:, None], BITS):
+                        x.append(fp[s:e][reached])
+                        y.append(np.full(len(reached), fp[s + one]))
+            link = [np.concatenate(v) for v in (x, y)]
+            n, m = len(link[0]), len(b)
+            if n + m:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([link[0], *a])), pa.array([*link[1].tolist(), *b], pa.int64()), pa.array([*[None] * n, *(k[0].tolist() if k else [])], pa.int64())],
+                    names=["a", "b", "large"],
+                )
+
+    return run
 
 
 def links(prints: DataFrame, group: int = 4096) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints (fp) as all those within BITS bits would."""
-    # few bytes become 64 times as many, so the tasks are set by number and not by today's size
+    # a few bytes become 64 times as many: the tasks are set by number, dealt by an expression of their own so that no earlier exchange can stand in
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = prints.select("fp").repartition(parts, "fp").select("fp", F.explode(_signatures(F.col("fp"))).alias("key"))
-    shared = cut(held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
-    pairs = shared.filter((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).select("a", "b")
-    more = skew_join(held, shared.filter("n > 2").select("key", "n"), ["key"])
-    subs = F.when(F.col("n") > group, _finer(F.col("key"), F.col("fp"))).otherwise(F.array(F.lit(-1).cast("long")))
-    more = more.select("key", F.explode(subs).alias("sub"), "fp").repartition("key", "sub").sortWithinPartitions("key", "sub", "fp")
-    return pairs.unionByName(more.mapInArrow(_links, "a long, b long")).distinct()
+    held = prints.select("fp").repartition(parts, F.xxhash64("fp", F.lit(1))).select(F.explode(signatures(_halves(F.col("fp")), 32)).alias("key"), "fp")
+    found = cut(held.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_fp_links(1, group), "a long, b long, large long"))
+    finer = found.filter("large is not null").select(F.col("large").alias("key"), F.explode(_finer(F.col("large"), F.col("a"))).alias("sub"), F.col("a").alias("fp"))
+    finer = finer.repartition(parts, "key", "sub").sortWithinPartitions("key", "sub", "fp").mapInArrow(_fp_links(2, None), "a long, b long, large long")
+    return found.filter("large is null").select("a", "b").unionByName(finer.select("a", "b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, group: int = 4096) -> DataFrame:
@@ -138,20 +207,185 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The component is the set of rows reachable over links of at most 3 bits; its id is the
     smallest id in it (null only if all its ids are null). Texts without words (null, empty,
-    blank) share fingerprint 0 and link like any other. Repeated rows share a component.
+    blank) share fingerprint 0 and link like any other. Repeated rows share a component. Malformed
+    UTF-8 is replaced. Other columns are not looked at. An empty table gives an empty one.
     """
     docs = cut(fingerprints(df, id_col, text_col, size))
     prints = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(prints.select("fp"), group)).withColumnRenamed("node", "fp")
-    placed = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = cut(placed)
+    placed = cut(prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = skew_join(placed, names, ["root"]).select("fp", "component_id")
     return skew_join(docs, named, ["fp"]).select("doc_id", "fp", "component_id")
 
 
+@dataclass(frozen=True)
+class Likeness:
+    """Near copies by Jaccard similarity of at least ``alike`` (a fraction) of sets of ``shingle``-word shingles.
+
+    Fingerprints have ``words`` words of 64 bits, made of ``grain``-word shingles; each half of a word gives a segment of ``width`` bits. Two
+    fingerprints are compared by their shingles if at most ``share`` of their bits differ. Past some 10**8 texts ``width`` should be 32.
+    """
+
+    alike: tuple[int, int] = (4, 5)
+    shingle: int = 5
+    grain: int = 2
+    words: int = 6
+    width: int = 28
+    share: float = 0.2
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    z = a * _P1 + (b ^ (b >> np.uint64(29))) * _P2
+    z ^= z >> np.uint64(32)
+    return z * _P1 ^ z >> np.uint64(29)
+
+
+_words = Vocabulary(xxhash.xxh3_64_intdigest)
+
+
+def shingle_hashes(data: bytes, size: int) -> np.ndarray:
+    """Hashes of a text's word shingles in order, repeats included; a shorter text is one shingle."""
+    words = data.lower().split()
+    if not words:
+        return np.zeros(1, np.uint64)
+    one = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    size = min(size, len(words))
+    out = one[: len(one) - size + 1]
+    for k in range(1, size):
+        out = _mix(out, one[k : len(one) - size + 1 + k])
+    return out
+
+
+def long_fingerprint(data: bytes, rule: Likeness) -> bytes:
+    hashes = shingle_hashes(data, rule.grain)
+    seeds = np.arange(1, rule.words + 1, dtype=np.uint64)
+    parts = [_mix(hashes[at : at + BLOCK, None], np.broadcast_to(seeds, (len(hashes[at : at + BLOCK]), rule.words))) for at in range(0, len(hashes), BLOCK)]
+    return majority(parts).astype("<u8").tobytes()
+
+
+def jaccard_links(ids: np.ndarray, sets: list[np.ndarray], alike: tuple[int, int]) -> list[tuple[np.ndarray, int]]:
+    """Links that connect the members as all their pairs that are near copies would."""
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    size = np.array([len(s) for s in sets])
+    own = np.split(code, np.cumsum(size)[:-1])
+    marked = np.zeros(code.max() + 1, bool)
+    found, rest, flat = [], np.arange(len(sets)), code
+    while len(rest) > 1:
+        front, flat, rest = [rest[0]], flat[size[rest[0]] :], rest[1:]
+        while front and len(rest):
+            x = front.pop()
+            marked[own[x]] = True
+            both = np.add.reduceat(marked[flat], np.cumsum(size[rest]) - size[rest], dtype=np.int64)
+            marked[own[x]] = False
+            near = alike[1] * both >= alike[0] * (size[x] + size[rest] - both)
+            if near.any():
+                reached = rest[near]
+                found.append((ids[reached], ids[x]))
+                flat, rest = flat[np.repeat(~near, size[rest])], rest[~near]
+                front.extend(reached)
+    return found
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, doc_id) sorted by these: (group, doc_id) of keys that several documents hold; keys with the same documents are one group."""
+    seen: set[int] = set()
+    for cols, at, large in _grouped(batches, 1, 1 << 16):
+        size = np.diff(at)
+        if large:
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1])], names=["group", "doc_id"])
+            continue
+        two = at[:-1][size == 2]
+        pair = cols[1][two], cols[1][two + 1]
+        name = _mix(pair[0].view(np.uint64), pair[1].view(np.uint64)).view(np.int64)
+        name, first = np.unique(name, return_index=True)
+        out = [(np.repeat(name, 2), np.stack([pair[0][first], pair[1][first]], 1).reshape(-1))]
+        for s, e in zip(at[:-1][size > 2].tolist(), at[1:][size > 2].tolist(), strict=True):
+            held = xxhash.xxh64_intdigest(cols[1][s:e].tobytes()) - (1 << 63)
+            if held not in seen:
+                if len(seen) > 1 << 18:
+                    seen.clear()
+                seen.add(held)
+                out.append((np.full(e - s, held), cols[1][s:e]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["group", "doc_id"])
+
+
+def _by_group(rows: DataFrame, value: str, linked: Callable[[np.ndarray, list[bytes]], list[tuple[np.ndarray, int]]]) -> DataFrame:
+    """(a, b): links between the documents of each group; rows: (group, doc_id, ``value``)."""
+
+    def batch(ids: list[int], values: list[bytes]) -> pa.RecordBatch:
+        found = linked(np.array(ids, np.int64), values)
+        a = np.concatenate([np.empty(0, np.int64), *[x for x, _ in found]])
+        b = np.concatenate([np.empty(0, np.int64), *[np.full(len(x), y, np.int64) for x, y in found]])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, values = None, [], []
+        for b in batches:
+            for group, i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if group != last and ids:
+                    if len(ids) > 1:
+                        yield batch(ids, values)
+                    ids, values = [], []
+                last = group
+                ids.append(i)
+                values.append(v.as_py())
+        if len(ids) > 1:
+            yield batch(ids, values)
+
+    return rows.select("group", "doc_id", value).repartition("group").sortWithinPartitions("group", "doc_id").mapInArrow(run, "a long, b long")
+
+
+def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Likeness = Likeness()) -> DataFrame:
+    """(a, b): links that connect the ids of near copies; rows without an id have none."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = _rows(df, id_col, text_col).filter("doc_id is not null")
+
+    def words(t: bytes) -> dict:
+        return {"fp": long_fingerprint(t, rule), "same": xxhash.xxh3_128_digest(b" ".join(t.lower().split()))}
+
+    kind = pa.struct([("fp", pa.binary()), ("same", pa.binary())])
+    made = cut(_per_text(rows, words, "made", kind, "struct<fp: binary, same: binary>").select("doc_id", "made.*"))
+    # texts of the same words are one, so that groups of copies are indexed once
+    first = made.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    copies = skew_join(made, first.filter("first < last").select("same", "first"), ["same"]).filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    prints = cut(skew_join(made, first.select("same", "first"), ["same"]).filter("doc_id = first").select("doc_id", "fp").dropDuplicates(["doc_id"]))
+
+    # words as longs: the halves of each are segments
+    half = lambda k, h: F.conv(F.substring(F.hex("fp"), 16 * k + 8 * h + 1, 8), 16, 10).cast("long")
+    segments = F.array(*[half(k, h) for k in range(rule.words) for h in range(2)])
+    held = prints.select("doc_id", segments.alias("segments")).repartition(parts, F.xxhash64("doc_id", F.lit(1)))
+    held = held.select(F.explode(signatures(F.col("segments"), rule.width)).alias("key"), "doc_id")
+    groups = held.repartition(parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_members, "group long, doc_id long")
+    groups = cut(groups.distinct())
+
+    def alike(ids: np.ndarray, values: list[bytes]) -> list[tuple[np.ndarray, int]]:
+        fps = np.frombuffer(b"".join(values), "<u8").reshape(len(values), -1)
+        return [(ids[x], int(ids[y])) for x, y in connect(fps, int(64 * rule.words * rule.share))]
+
+    # groups of documents whose whole fingerprints are near, then of those whose shingles are
+    near = cut(_by_group(groups.join(prints, "doc_id"), "fp", alike).distinct())
+    placed = components(near).select(F.col("root").alias("group"), F.col("node").alias("doc_id"))
+    some = rows.join(placed.select("doc_id"), "doc_id", "left_semi")
+    sets = _per_text(some.dropDuplicates(["doc_id"]), lambda t: np.unique(shingle_hashes(t, rule.shingle)).tobytes(), "items", pa.large_binary(), "binary")
+    linked = lambda ids, values: jaccard_links(ids, [np.frombuffer(v, np.uint64) for v in values], rule.alike)
+    return _by_group(placed.join(sets, "doc_id"), "items", linked).unionByName(copies).distinct()
+
+
+def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Likeness = Likeness()) -> DataFrame:
+    """The rows of ``df``, in its own columns, but those linked, over near copies, to one with a smaller id.
+
+    Rows without an id stay. A null text counts as empty; texts of the same words are near copies, those without words too. Of
+    rows that repeat an id one text is looked at, and all stay or go. An empty table gives an empty one.
+    """
+    found = components(near_links(df, id_col, text_col, rule))
+    drop = found.filter("node <> root").select(F.col("node").alias(id_col)).distinct()
+    return df.join(drop, id_col, "left_anti").select(*[f"`{c}`" for c in df.columns])
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df``, in its own columns, whose id is their component's; rows without an id stay."""
+    """The rows of ``df``, in its own columns, whose id is their fingerprint's component's; rows without an id stay."""
     found = near_duplicates(df, id_col, **options)
     drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(drop, id_col, "left_anti")
+    return df.join(drop, id_col, "left_anti").select(*[f"`{c}`" for c in df.columns])

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, components, exact_dedup, minhash, packing, quality, queries, repeats, sharding, simhash, toxicity, warc
+from corpusloom.llm import bpe, components, exact_dedup, packing, quality, queries, repeats, sharding, simhash, toxicity, warc
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -521,8 +521,6 @@ def _five(t):
 
 def test_near_copies(spark):
     """Near copies of five-word similarity 0.8 or more go, whatever their fingerprints; others stay."""
-    import corpus_pipeline as P
-
     random.seed(7)
     text = {}
     for base in range(0, 400, 10):
@@ -551,13 +549,13 @@ def test_near_copies(spark):
                 parent[high] = low
     assert far > 50
     docs = spark.createDataFrame(sorted(text.items()), "doc_id long, text string")
-    assert {r.doc_id for r in P.drop_near_copies(spark, docs, DATA).collect()} == {i for i in ids if find(i) == i}
+    assert {r.doc_id for r in simhash.drop_near(docs).collect()} == {i for i in ids if find(i) == i}
 
 
 def test_near_copies_odd_rows(odd, empty):
-    kept = minhash.drop_near(odd)
+    kept = simhash.drop_near(odd)
     assert kept.columns == odd.columns and sum(r.doc_id is None for r in kept.collect()) == sum(r.doc_id is None for r in odd.collect())
-    assert minhash.drop_near(empty).count() == 0
+    assert simhash.drop_near(empty).count() == 0
 
 
 def test_pipeline(spark):
