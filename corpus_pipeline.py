@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import exact_dedup as exact
-from corpusloom.llm import minhash, packing, repeats, toxicity
+from corpusloom.llm import packing, repeats, simhash, toxicity
 from corpusloom.llm.common import documents, scratch
 
 
@@ -22,7 +22,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles the one with the smallest id."""
-    return minhash.drop_near(docs)
+    return simhash.drop_near(docs)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
