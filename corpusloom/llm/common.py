@@ -45,6 +45,13 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as compressed columns in the shared folder and read again; cuts the lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, packing, quality, repeats, sharding, simhash, toxicity, warc
+from corpusloom.llm import bpe, debruijn, exact_dedup, packing, quality, repeats, sharding, simhash, toxicity, warc
 from corpusloom.llm.common import documents, scratch
 from corpusloom.llm.oracles import ORACLES
 
@@ -48,7 +48,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.mark_repeats(documents(spark, sf_dir), repeats.WORD_PASSAGES)
+    found = debruijn.mark_repeats(documents(spark, sf_dir))
     return found.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, components, exact_dedup, packing, quality, queries, repeats, sharding, simhash, toxicity, warc
+from corpusloom.llm import bpe, components, debruijn, exact_dedup, packing, quality, queries, repeats, sharding, simhash, toxicity, warc
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -365,7 +365,7 @@ def _repeats(rows, rule):
 def passages():
     random.seed(5)
     base = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{DATA}/documents.parquet").to_pylist()][:120]
-    rows = [*base, (1000, "a " * 300), (1001, "ab" * 200), (1002, None), (1003, ""), (1004, "x y " * 100), (None, base[3][1]), (7, base[5][1][:300] + "zz" + base[6][1][100:]), (1005, "a" * 49), (1006, "a" * 50), (1007, "a" * 51), (1008, base[9][1]), (1008, base[9][1])]
+    rows = [*base, (1010, "b " * 36), (1011, "q r " * 18 + "s"), (1000, "a " * 300), (1001, "ab" * 200), (1002, None), (1003, ""), (1004, "x y " * 100), (None, base[3][1]), (7, base[5][1][:300] + "zz" + base[6][1][100:]), (1005, "a" * 49), (1006, "a" * 50), (1007, "a" * 51), (1008, base[9][1]), (1008, base[9][1])]
     for _ in range(40):
         a, b = random.choice(base)[1], random.choice(base)[1]
         p, q = random.randrange(max(1, len(a) - 200)), random.randrange(max(1, len(b) - 200))
@@ -377,10 +377,14 @@ def passages():
 @pytest.mark.parametrize("kind", ["word", "byte"])
 @pytest.mark.parametrize(("step", "chunk"), [(1 << 18, 1 << 22), (100, 3000)])
 def test_repeats(spark, passages, kind, step, chunk):
-    known = repeats.WORD_PASSAGES if kind == "word" else repeats.BYTE_PASSAGES
-    rule = repeats.Rule(known.unit, known.length, known.anchor, known.earlier, step, chunk, 50_000)
     frame = spark.createDataFrame(passages, "doc_id long, text string").repartition(5)
-    got = repeats.mark_repeats(frame, rule).collect()
+    if kind == "word":
+        got = debruijn.mark_repeats(frame, debruijn.Graph(step=step, chunk_bytes=chunk)).collect()
+        rule = repeats.WORD_PASSAGES
+    else:
+        known = repeats.BYTE_PASSAGES
+        rule = repeats.Rule(known.unit, known.length, known.anchor, known.earlier, step, chunk, 50_000)
+        got = repeats.mark_repeats(frame, rule).collect()
     assert sorted(((r.doc_id, r.n_units, r.n_removed, bytes(r.kept)) for r in got), key=repr) == _repeats(passages, rule)
     for r in got:
         assert sum(e - s for s, e in zip(r.starts, r.ends, strict=True)) == r.n_removed
@@ -395,7 +399,7 @@ def test_drop_passages_keeps_characters(spark):
 
 
 def test_repeats_odd_rows(odd, empty):
-    assert repeats.mark_repeats(odd, repeats.WORD_PASSAGES).count() == odd.count()
+    assert debruijn.mark_repeats(odd).count() == odd.count() and debruijn.mark_repeats(empty).count() == 0
     out = repeats.drop_passages(odd.dropDuplicates(["doc_id", "text"]), repeats.BYTE_PASSAGES)
     assert out.columns == odd.columns and out.count() == odd.count() - 1
     assert repeats.mark_repeats(empty, repeats.BYTE_PASSAGES).count() == 0
