@@ -45,6 +45,14 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with an ending that keeps it (and what begins with it) apart from all columns of ``df``."""
+    taken, ending = [c.lower() for c in df.columns], ""
+    while any(t.startswith(f"__{n}{ending}") for t in taken for n in names):
+        ending += "_x"
+    return [f"__{n}{ending}" for n in names]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as compressed columns in the shared folder and read again; cuts the lineage."""
     path = scratch(df.sparkSession, name)

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, debruijn, exact_dedup, packing, quality, repeats, sharding, simhash, toxicity, warc
+from corpusloom.llm import bpe, debruijn, exact_dedup, packing, quality, sharding, simhash, suffixes, toxicity, warc
 from corpusloom.llm.common import documents, scratch
 from corpusloom.llm.oracles import ORACLES
 
@@ -62,7 +62,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.mark_repeats(documents(spark, sf_dir), repeats.BYTE_PASSAGES)
+    found = suffixes.mark_repeats(documents(spark, sf_dir))
     return found.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 

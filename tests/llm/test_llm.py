@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, components, debruijn, exact_dedup, packing, quality, queries, repeats, sharding, simhash, toxicity, warc
+from corpusloom.llm import bpe, components, debruijn, exact_dedup, packing, quality, queries, sharding, simhash, suffixes, toxicity, warc
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -341,23 +341,24 @@ def test_exact_odd_rows(odd, empty, bits):
 # 7 and 9
 
 
-def _repeats(rows, rule):
-    occ, units = collections.defaultdict(list), []
+def _repeats(rows, kind):
+    """By brute force: windows of 35 words found anywhere else, or of 50 bytes found in a document with a smaller id."""
+    occ, units, length = collections.defaultdict(list), [], 35 if kind == "word" else 50
     for k, (_, t) in enumerate(rows):
         data = (t or "").encode()
-        u = data.split() if rule.unit == "word" else [data[j : j + 1] for j in range(len(data))]
+        u = data.split() if kind == "word" else [data[j : j + 1] for j in range(len(data))]
         units.append(u)
-        for j in range(len(u) - rule.length + 1):
-            occ[tuple(u[j : j + rule.length])].append(k)
+        for j in range(len(u) - length + 1):
+            occ[tuple(u[j : j + length])].append(k)
     order = lambda i: 1 << 62 if i is None else i
     out = []
     for (i, _), u in zip(rows, units, strict=True):
         gone = [False] * len(u)
-        for j in range(len(u) - rule.length + 1):
-            held = occ[tuple(u[j : j + rule.length])]
-            if min(order(rows[x][0]) for x in held) < order(i) if rule.earlier else len(held) > 1:
-                gone[j : j + rule.length] = [True] * rule.length
-        out.append((i, len(u), sum(gone), (b" " if rule.unit == "word" else b"").join(x for x, g in zip(u, gone, strict=True) if not g)))
+        for j in range(len(u) - length + 1):
+            held = occ[tuple(u[j : j + length])]
+            if min(order(rows[x][0]) for x in held) < order(i) if kind == "byte" else len(held) > 1:
+                gone[j : j + length] = [True] * length
+        out.append((i, len(u), sum(gone), (b" " if kind == "word" else b"").join(x for x, g in zip(u, gone, strict=True) if not g)))
     return sorted(out, key=repr)
 
 
@@ -380,12 +381,9 @@ def test_repeats(spark, passages, kind, step, chunk):
     frame = spark.createDataFrame(passages, "doc_id long, text string").repartition(5)
     if kind == "word":
         got = debruijn.mark_repeats(frame, debruijn.Graph(step=step, chunk_bytes=chunk)).collect()
-        rule = repeats.WORD_PASSAGES
     else:
-        known = repeats.BYTE_PASSAGES
-        rule = repeats.Rule(known.unit, known.length, known.anchor, known.earlier, step, chunk, 50_000)
-        got = repeats.mark_repeats(frame, rule).collect()
-    assert sorted(((r.doc_id, r.n_units, r.n_removed, bytes(r.kept)) for r in got), key=repr) == _repeats(passages, rule)
+        got = suffixes.mark_repeats(frame, suffixes.Rule(step=step, chunk_bytes=chunk, bucket_bytes=50_000)).collect()
+    assert sorted(((r.doc_id, r.n_units, r.n_removed, bytes(r.kept)) for r in got), key=repr) == _repeats(passages, kind)
     for r in got:
         assert sum(e - s for s, e in zip(r.starts, r.ends, strict=True)) == r.n_removed
         assert all(e < s for e, s in zip(r.ends, r.starts[1:], strict=False))
@@ -394,15 +392,15 @@ def test_repeats(spark, passages, kind, step, chunk):
 def test_drop_passages_keeps_characters(spark):
     shared = "é" * 40
     rows = [(1, "aaa" + shared + "bbb", "en", "s", 1), (2, "cc" + shared + "dd", "en", "s", 1), (3, None, "en", "s", 1)]
-    out = {r.doc_id: r.text for r in repeats.drop_passages(spark.createDataFrame(rows, SCHEMA), repeats.BYTE_PASSAGES).collect()}
+    out = {r.doc_id: r.text for r in suffixes.drop_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out == {1: rows[0][1], 2: "ccdd", 3: None}
 
 
 def test_repeats_odd_rows(odd, empty):
     assert debruijn.mark_repeats(odd).count() == odd.count() and debruijn.mark_repeats(empty).count() == 0
-    out = repeats.drop_passages(odd.dropDuplicates(["doc_id", "text"]), repeats.BYTE_PASSAGES)
-    assert out.columns == odd.columns and out.count() == odd.count() - 1
-    assert repeats.mark_repeats(empty, repeats.BYTE_PASSAGES).count() == 0
+    out = suffixes.drop_passages(odd)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    assert suffixes.mark_repeats(empty).count() == 0 and suffixes.drop_passages(empty).count() == 0
 
 
 def test_word_repeats_query(same_as_sql):
@@ -575,7 +573,7 @@ def test_pipeline(spark):
         count = now.count()
     texts = [r.text for r in now.collect()]
     assert len({t for t in texts if len(t) >= 50}) == len([t for t in texts if len(t) >= 50])
-    left = _repeats([(r.doc_id, r.text) for r in now.collect()], repeats.BYTE_PASSAGES)
+    left = _repeats([(r.doc_id, r.text) for r in now.collect()], "byte")
     assert sum(r[2] for r in left) < sum(r[1] for r in left) // 50
     ids = {r.doc_id for r in now.collect()}
     assert {r.doc_id for r in P.STAGES[-1][1](spark, now, DATA).collect()} == ids
