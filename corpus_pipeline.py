@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import exact_dedup as exact
-from corpusloom.llm import packing, repeats, simhash, toxicity
+from corpusloom.llm import packing, simhash, suffixes, toxicity
 from corpusloom.llm.common import documents, scratch
 
 
@@ -27,7 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that documents with smaller ids have too."""
-    return repeats.drop_passages(docs, repeats.BYTE_PASSAGES)
+    return suffixes.drop_passages(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
