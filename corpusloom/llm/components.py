@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import cut, skew_join
 
 
+#: Edges of a checkpoint's part.
+ROWS = 100_000
+
+
 def _stars(directed: DataFrame, large: bool) -> DataFrame:
     """directed: (u, v). Large: links larger neighbours of u, small: smaller ones and u, to the least."""
     least = directed.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -33,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(seen) == sign or not seen["n"]:
             break
         sign = tuple(seen)
+        parts = -(-seen["n"] // ROWS)  # edges get fewer, not more: few of them need few files
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = cut(_stars(_stars(both, True), False))
+        now = cut(_stars(_stars(both, True), False).coalesce(parts))
     roots = now.select("v").distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
