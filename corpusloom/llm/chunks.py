@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Vocabulary, bucketed
+from corpusloom.llm.common import bucketed
 
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _POS = np.uint64((1 << 28) - 1)
@@ -47,6 +48,21 @@ def refine(bucket: np.ndarray, depth: int, *targets: int) -> list[np.ndarray]:
     return out
 
 
+def refine_at(bucket: np.ndarray, depth: int, target: int, at: np.ndarray) -> np.ndarray:
+    """What ``refine`` makes for ``target``, at the places ``at`` only."""
+    shifts = []
+    while 2 * depth <= target:
+        shifts.append(depth)
+        depth *= 2
+    if target > depth:
+        shifts.append(target - depth)
+
+    def value(level: int, place: np.ndarray) -> np.ndarray:
+        return mix(value(level - 1, place), value(level - 1, place + shifts[level - 1])) if level else bucket[place]
+
+    return value(len(shifts), at)
+
+
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     """Place of the leftmost least value in each run of ``width``."""
     key = (values & ~_POS) | np.arange(len(values), dtype=np.uint64)
@@ -68,8 +84,49 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(new)))
 
 
-#: Hashes of words a worker has met.
-words_met = Vocabulary(xxhash.xxh3_64_intdigest)
+#: Bytes between words.
+_GAP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Bytes hashed at once, and of a word that is hashed by itself.
+_BLOCK, _LONG = 1 << 15, 1 << 14
+_BYTES = np.random.default_rng(11).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64, and their inverses."""
+    inverse = np.uint64(pow(int(_P1), -1, 1 << 64))
+    out = []
+    for base in (_P1, inverse):
+        x = np.ones(1, np.uint64)
+        while len(x) < _BLOCK + _LONG + 1:
+            x = np.concatenate([x, x * (x[-1:] * base)])
+        out.append(x)
+    return out[0], out[1]
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a text, and where each begins and ends.
+
+    A word's hash is a polynomial in its bytes, taken from running sums, so no word is made into an object of its own.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(_GAP[raw].view(np.int8), prepend=np.int8(1), append=np.int8(1)))
+    begin, end = edge[::2], edge[1::2]
+    out = np.empty(len(begin), np.uint64)
+    power, inverse = _powers()
+    long_ = end - begin > _LONG
+    cut = np.searchsorted(begin, np.arange(0, len(raw) + _BLOCK, _BLOCK))
+    for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if e > s:
+            low, high = begin[s:e], np.where(long_[s:e], begin[s:e], end[s:e])
+            base, top = int(low[0]), int(high.max())
+            sums = np.zeros(top - base + 1, np.uint64)
+            np.cumsum(_BYTES[raw[base:top]] * power[: top - base], out=sums[1:])
+            h = (sums[high - base] - sums[low - base]) * inverse[low - base] + (high - low).astype(np.uint64)
+            out[s:e] = mix(h, h)
+    for i in np.flatnonzero(long_).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[begin[i] : end[i]])
+    return out, begin, end
 
 
 @dataclass
@@ -79,8 +136,7 @@ class Chunk:
     texts: list[bytes]
     starts: np.ndarray = field(default=None)  # of each document's units in the chunk's
     sizes: np.ndarray = field(default=None)
-    grams: list[np.ndarray] = field(default=None)
-    units: list = field(default=None)
+    words: bool = False  # whether units are words, or else bytes
 
 
 def pack_chunk(ids: list[int | None], texts: list[bytes]) -> bytes:
@@ -131,7 +187,6 @@ def each_chunk(df: DataFrame, schema: str, make: Callable[..., pa.RecordBatch |
                 made = make(*[c[i].as_py() for c in b.columns])
                 if made is not None and made.num_rows:
                     yield made
-        words_met.clear()  # a worker that waits for its next task holds no words
 
     return df.mapInArrow(run, schema)
 
@@ -144,20 +199,27 @@ def whole_characters(text: bytes, gone: np.ndarray) -> np.ndarray:
 
 
 def results(chunk: Chunk, covered: np.ndarray, characters: bool = False) -> pa.RecordBatch:
-    """Rows of RESULT, from whether each of the chunk's units is covered; ``units`` are lists of words, or else bytes."""
+    """Rows of RESULT, from whether each of the chunk's units is covered."""
     out: list[list] = [[] for _ in range(7)]
-    for d, text in enumerate(chunk.texts):
-        size, words = int(chunk.sizes[d]), chunk.units[d]
-        gone = covered[chunk.starts[d] : chunk.starts[d] + size]
-        if characters and gone.any():
-            gone = whole_characters(text, gone)
-        turn = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
-        if isinstance(words, bytes):
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if gone.any() else text
+    empty: list[int] = []
+    some = np.add.reduceat(np.append(covered, False), chunk.starts) > 0 if len(covered) and len(chunk.starts) else np.zeros(len(chunk.starts), bool)
+    for d, (text, size, start, any_) in enumerate(zip(chunk.texts, chunk.sizes.tolist(), chunk.starts.tolist(), some.tolist(), strict=True)):
+        starts, ends, removed = empty, empty, 0
+        if any_ and size:
+            gone = covered[start : start + size]
+            if characters:
+                gone = whole_characters(text, gone)
+            turn = np.diff(gone.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+            starts, ends, removed = np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), int(np.count_nonzero(gone))
+        if not chunk.words:
+            kept = text if not removed else b"".join(text[a:b] for a, b in zip([0, *ends], [*starts, size], strict=True))
         else:
-            kept = b" ".join([words[i] for i in np.flatnonzero(~gone).tolist()] if gone.any() else words)
+            words = text.split()
+            for a, b in zip(reversed(starts), reversed(ends), strict=True):
+                del words[a:b]
+            kept = b" ".join(words)
         h = xxhash.xxh64_intdigest(text, 42)
-        row = (None if chunk.null[d] else int(chunk.ids[d]), h - (1 << 64) if h >> 63 else h, size, int(gone.sum()), np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), kept)
+        row = (None if chunk.null[d] else int(chunk.ids[d]), h - (1 << 64) if h >> 63 else h, size, removed, starts, ends, kept)
         for x, y in zip(out, row, strict=True):
             x.append(y)
     kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]

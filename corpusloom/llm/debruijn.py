@@ -11,8 +11,8 @@ occurs twice or more, and a document is a walk over edges.
    nodes, its length, and a 128-bit digest of the words read at its coordinates. Paths are counted by these.
 4. The words of paths that occur twice or more are covered.
 
-Rows are combined within a chunk before they are shuffled, so a hot passage costs a row per chunk; aggregates combine
-again in each task, and joins back split hot keys.
+Rows are combined within a chunk before they are shuffled, so a hot passage costs a row or two per chunk. Anchors and paths
+are aggregated, which combines again in each task, and looked up by joins that split hot keys.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from corpusloom.llm.chunks import RESULT, Chunk, chunked, each_chunk, mix, refine, results, runs, sliding_argmin, unpack_chunk, words_met
+from corpusloom.llm.chunks import RESULT, Chunk, chunked, each_chunk, mix, refine, results, runs, sliding_argmin, unpack_chunk, word_hashes
 from corpusloom.llm.common import skew_join, stored
 
 #: Stand for what is before the first and after the last word.
@@ -38,17 +39,20 @@ class Graph:
 
     length: int = 35
     anchor: int = 10
-    step: int = 1 << 18
+    step: int = 1 << 15
     chunk_bytes: int = 4 << 20
 
 
 def read_words(docs: bytes) -> tuple[Chunk, np.ndarray]:
     """A chunk and the hashes of all its words, one document after the other."""
     chunk = unpack_chunk(docs)
-    chunk.units = [t.split() for t in chunk.texts]
-    chunk.sizes = np.array([len(u) for u in chunk.units], np.int64)
-    chunk.starts = np.cumsum(chunk.sizes) - chunk.sizes
-    hashes = np.fromiter((words_met[w] for u in chunk.units for w in u), np.uint64, int(chunk.sizes.sum()))
+    chunk.words = True
+    joined = b" ".join(chunk.texts)
+    hashes, begin, _ = word_hashes(joined)
+    length = np.fromiter(map(len, chunk.texts), np.int64, len(chunk.texts)) + 1
+    first = np.cumsum(length) - length  # of each text's bytes
+    chunk.starts = np.searchsorted(begin, first)
+    chunk.sizes = np.diff(np.append(chunk.starts, len(begin)))
     return chunk, hashes
 
 
@@ -132,21 +136,27 @@ class Walks:
 
     def digests(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of the words from each first to the end of each last window, read at these coordinates."""
-        out = bytearray()
+        out, held, words = bytearray(), -1, []
         doc = np.searchsorted(self.chunk.starts, low, "right") - 1 if len(low) else low
         for d, a, b in zip(doc.tolist(), (low - self.chunk.starts[doc]).tolist(), (high - self.chunk.starts[doc] + self.rule.length).tolist(), strict=True):
-            out += hashlib.blake2b(b" ".join(self.chunk.units[d][a:b]), digest_size=16).digest()
+            if d != held:
+                held, words = d, self.chunk.texts[d].split()
+            out += hashlib.blake2b(b" ".join(words[a:b]), digest_size=16).digest()
         pair = np.frombuffer(bytes(out), "<i8").reshape(-1, 2)
         return np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
 
 
 def _nodes(rule: Graph, number: int, docs: bytes, shared: list[int] | None) -> pa.RecordBatch:
-    """(node, around, chunk) of the chunk's walks; what is alike within it is one row."""
+    """(node, around, chunk) of the chunk's walks: for each node its least and, if it is another, its greatest surroundings."""
     walks = Walks(rule, docs, shared)
     around = walks.surroundings()
-    order = np.lexsort((around, walks.node))
-    first = order[runs(walks.node[order], around[order])[0]] if len(order) else order
-    return pa.RecordBatch.from_arrays([_signed(walks.node[first]), _signed(around[first]), pa.array(np.full(len(first), number))], names=["node", "around", "chunk"])
+    order = np.argsort(walks.node)
+    node, around = walks.node[order], around[order]
+    start, _ = runs(node) if len(node) else (order, order)
+    least, most = (f.reduceat(around, start) if len(start) else around for f in (np.minimum, np.maximum))
+    two = least != most
+    rows = [np.concatenate([node[start], node[start][two]]), np.concatenate([least, most[two]])]
+    return pa.RecordBatch.from_arrays([*map(_signed, rows), pa.array(np.full(len(rows[0]), number))], names=["node", "around", "chunk"])
 
 
 def _paths(rule: Graph, number: int, docs: bytes, shared: list[int] | None, branching: list[int] | None) -> pa.RecordBatch:
@@ -192,9 +202,11 @@ def mark_repeats(df: DataFrame, rule: Graph = Graph(), id_col: str = "doc_id", t
     shared = stored(told(skew_join(anchors, often, ["anchor"]), F.col("anchor"), "shared"), "shared")
     chunks = chunks.join(shared, "chunk", "left")
 
-    nodes = stored(each_chunk(chunks, "node long, around long, chunk long", lambda number, docs, shared: _nodes(rule, number, docs, shared)), "nodes")
-    branching = nodes.groupBy("node").agg(F.min("around").alias("x"), F.max("around").alias("y")).filter("x < y").select("node")
-    branching = stored(told(skew_join(nodes, branching, ["node"]).select("chunk", "node").distinct(), F.col("node"), "branching"), "branching")
+    # two rows a chunk and node at most, so the rows of a node are moved once and sorted, with room on disk
+    nodes = each_chunk(chunks, "node long, around long, chunk long", lambda number, docs, shared: _nodes(rule, number, docs, shared))
+    whole = W.partitionBy("node")
+    branching = nodes.withColumns({"x": F.min("around").over(whole), "y": F.max("around").over(whole)}).filter("x < y")
+    branching = stored(branching.groupBy("chunk").agg(F.collect_set("node").alias("branching")), "branching")
     chunks = chunks.join(branching, "chunk", "left")
 
     keys = ["path", "one", "two"]

@@ -7,10 +7,10 @@ uses the buckets of the last again (``refine``). What cannot repeat leaves early
 1. Initial buckets: of the suffixes in a window one is looked at, its anchor (the leftmost least ``anchor``-gram, so equal
    windows have equal anchors). Anchors are sorted; those in one place only leave, with all their windows.
 2. A run of neighbouring windows with one anchor is a segment. Segments are sorted by their anchor's bucket and by that of
-   the segment's ends. An anchor whose segments all fall into one refined bucket is settled.
-3. Of the others, a segment whose refined bucket another chunk has with a smaller id is settled as a copy.
-4. What is left is sorted suffix by suffix, by the bucket of its first half and by that of the later offset where the half ends.
-5. Each chunk joins what it was told with what repeats inside itself, and marks the covered bytes.
+   the segment's ends. One whose refined bucket holds a smaller document is settled as a copy; an anchor whose segments all
+   fall into one refined bucket is settled whole.
+3. What is left is sorted suffix by suffix, by the bucket of its first half and by that of the later offset where the half ends.
+4. Each chunk joins what it was told with what repeats inside itself, and marks the covered bytes.
 
 Documents are packed into compressed chunks. Of equal entries a chunk sends one, with the least document id; it is told a code per
 entry, in the order sent. So a hot passage costs one entry per chunk, not one per document, and unique text costs its anchors
@@ -19,7 +19,6 @@ only. Buckets of anchors have 48 bits, and a refined bucket is a pair of two suc
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.chunks import RESULT, Chunk, chunked, each_chunk, mix, refine, results, runs, sliding_argmin, unpack_chunk
+from corpusloom.llm.chunks import RESULT, Chunk, chunked, each_chunk, mix, refine, refine_at, results, runs, sliding_argmin, unpack_chunk
 from corpusloom.llm.common import cut, fresh
 
 _GRAM = 8
@@ -41,7 +40,7 @@ class Rule:
 
     length: int = 50
     anchor: int = 20
-    step: int = 1 << 18
+    step: int = 1 << 15
     chunk_bytes: int = 4 << 20
     bucket_bytes: int = 16 << 20
 
@@ -51,97 +50,76 @@ def grams(data: bytes) -> np.ndarray:
     return np.ndarray((len(data) - _GRAM + 1,), "<u8", data, strides=(1,)).copy() if len(data) >= _GRAM else np.empty(0, np.uint64)
 
 
-def read_bytes(docs: bytes) -> Chunk:
+def read_bytes(docs: bytes) -> tuple[Chunk, bytes]:
+    """A chunk, and its documents' bytes one after the other."""
     chunk = unpack_chunk(docs)
-    chunk.units = chunk.texts
-    chunk.sizes = np.array([len(t) for t in chunk.texts], np.int64)
+    chunk.sizes = np.fromiter(map(len, chunk.texts), np.int64, len(chunk.texts))
     chunk.starts = np.cumsum(chunk.sizes) - chunk.sizes
-    return chunk
+    return chunk, b"".join(chunk.texts)
 
 
 @dataclass
 class Segments:
     doc: np.ndarray  # index in the chunk
-    low: np.ndarray  # first window, in the document
+    low: np.ndarray  # first window, in the chunk
     high: np.ndarray  # last window
     anchor: np.ndarray  # 48 bits
     content: np.ndarray  # 48 bits, never 0
 
 
-def _pieces(rule: Rule, chunk: Chunk) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(document, first byte, buckets of q-grams) of runs of ``step`` windows."""
-    for d, n in enumerate(chunk.sizes.tolist()):
-        windows = n - rule.length + 1
-        for s in range(0, max(windows, 0), rule.step):
-            yield d, s, grams(chunk.texts[d][s : min(s + rule.step, windows) + rule.length - 1])
-
-
-def _joined(rule: Rule, chunk: Chunk) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Pieces put together to some ``step`` units: (q-grams, valid starts of windows, their documents, their windows in these)."""
-    held, size = [], 0
-
-    def out():
-        lengths = np.array([len(g) for *_, g in held])
-        windows = lengths - (rule.length - _GRAM)
-        at = np.cumsum(lengths) - lengths
-        index = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        docs = np.repeat(np.array([d for d, *_ in held]), windows)
-        return np.concatenate([g for *_, g in held]), index + np.repeat(at, windows), docs, index + np.repeat(np.array([s for _, s, _ in held]), windows)
-
-    for piece in _pieces(rule, chunk):
-        held.append(piece)
-        size += len(piece[2])
-        if size >= rule.step:
-            yield out()
-            held, size = [], 0
-    if held:
-        yield out()
-
-
-def segments(rule: Rule, chunk: Chunk) -> Segments:
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
-    for gram, start, doc, window in _joined(rule, chunk):
-        anchors, whole = refine(gram, _GRAM, rule.anchor, rule.length)
-        place = sliding_argmin(anchors, rule.length - rule.anchor + 1)[start]
-        begin = np.ones(len(start), bool)
-        begin[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
-        low = np.flatnonzero(begin)
-        high = np.append(low[1:], len(start)) - 1
-        content = mix(mix(whole[start[low]], whole[start[high]]), (high - low).astype(np.uint64)) >> np.uint64(16)
-        for x, y in zip(out, (doc[low], window[low], window[high], anchors[place[low]] >> np.uint64(16), np.maximum(content, np.uint64(1))), strict=True):
-            x.append(y)
-    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
-    return Segments(*[np.concatenate(x).astype(k) if x else np.empty(0, k) for x, k in zip(out, kinds, strict=True)])
-
-
-def windows_of(rule: Rule, chunk: Chunk, seg: Segments, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(segment index, window in its document, bucket of its first half, bucket at the later offset where it ends) for every window of
-    the chosen segments, which are in order."""
+_SHORT = np.uint64(16)
+
+
+def segments(rule: Rule, chunk: Chunk, data: bytes) -> Segments:
+    """Runs of windows with one anchor. The whole chunk is looked at, then runs are cut at the documents' last windows."""
+    reach = rule.length - rule.anchor + 1
+    total = len(data) - rule.length + 1
+    lows, names, wholes, last = [], [], [], -1
+    ends = chunk.starts + chunk.sizes - rule.length  # the documents' last windows
+    some = np.flatnonzero(chunk.sizes >= rule.length)
+    for s in range(0, max(total, 0), rule.step):
+        n = min(rule.step, total - s)
+        (anchors,) = refine(grams(data[s : s + n + rule.length - 1]), _GRAM, rule.anchor)
+        place = sliding_argmin(anchors, reach)
+        begin = np.flatnonzero(np.diff(place, prepend=last - s))
+        last = int(place[-1]) + s
+        lows.append(begin + s)
+        names.append(anchors[place[begin]])
+    if not len(some):
+        return Segments(*[np.empty(0, np.int64)] * 3, *[np.empty(0, np.uint64)] * 2)
+    low, name = np.concatenate(lows), np.concatenate(names)
+    high = np.append(low[1:], total) - 1
+    # the runs a document's windows fall into
+    first, final = np.searchsorted(low, chunk.starts[some], "right") - 1, np.searchsorted(low, ends[some], "right") - 1
+    count = final - first + 1
+    of = np.repeat(some, count)
+    run = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    low, high, name = np.maximum(low[run], chunk.starts[of]), np.minimum(high[run], ends[of]), name[run]
+    head = buckets_at(rule, data, low, rule.length)
+    content = mix(mix(head, buckets_at(rule, data, high, rule.length)), (high - low).astype(np.uint64)) >> _SHORT
+    return Segments(of, low, high, name >> _SHORT, np.maximum(content, np.uint64(1)))
+
+
+def buckets_at(rule: Rule, data: bytes, at: np.ndarray, *lengths: int) -> np.ndarray:
+    """Buckets of the grams of a length that start at the places, which ascend."""
+    (length,) = lengths
+    out = np.empty(len(at), np.uint64)
+    cut = np.searchsorted(at, np.arange(0, len(data) + rule.step, rule.step))
+    for k, (s, e) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+        if e > s:
+            base = k * rule.step
+            out[s:e] = refine_at(grams(data[base : base + rule.step + length]), _GRAM, length, at[s:e] - base)
+    return out
+
+
+def windows_of(rule: Rule, data: bytes, seg: Segments, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(segment index, window, bucket of its first half, bucket at the later offset where it ends) for every window of the chosen segments."""
     half = (rule.length + 1) // 2
     count = seg.high[chosen] - seg.low[chosen] + 1
     of = np.repeat(chosen, count)
     window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(seg.low[chosen], count)
-    docs = seg.doc[of]
-    first, later = np.empty(len(of), np.uint64), np.empty(len(of), np.uint64)
-    at, n = 0, len(of)
-    for gram, start, doc, win in _joined(rule, chunk):
-        if at == n:
-            break
-        # windows of a run are all in it and in the order of (document, window)
-        last_doc, last_win = doc[-1], win[-1]
-        end = at + int(np.searchsorted(docs[at:], last_doc, "left"))
-        stop = at + int(np.searchsorted(docs[at:], last_doc, "right"))
-        end += int(np.searchsorted(window[end:stop], last_win, "right"))
-        if end > at:
-            (bucket,) = refine(gram, _GRAM, half)
-            begin = np.searchsorted(doc, docs[at:end], "left")
-            place = start[begin + window[at:end] - win[begin]]
-            first[at:end], later[at:end] = bucket[place] >> _SHORT, bucket[place + rule.length - half] >> _SHORT
-            at = end
-    return of, window, first, later
-
-
-_SHORT = np.uint64(16)
+    first = buckets_at(rule, data, window, half)
+    return of, window, first >> _SHORT, buckets_at(rule, data, window + rule.length - half, half) >> _SHORT
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -213,32 +191,30 @@ def _said(buckets: int, key: np.ndarray, answers: dict[int, bytes]) -> np.ndarra
 
 ENTRIES = "bucket long, chunk long, entries binary"
 #: Rounds, widths of their entries' columns in bytes, and codes of the answers.
-SHARED, CONTENT, COPIES, WINDOWS = range(4)
-_WIDTHS = {SHARED: (6,), CONTENT: (6, 6, 8), COPIES: (6, 6, 8), WINDOWS: (6, 6, 8)}
+SHARED, COPIES, WINDOWS = range(3)
+_WIDTHS = {SHARED: (6,), COPIES: (6, 6, 8), WINDOWS: (6, 6, 8)}
 COVERED, MIXED = 1, 2
 
 
 def answer(kind: int, columns: list[np.ndarray]) -> np.ndarray:
     """A code for each entry (bucket, bucket refined by what is at later offsets, least document); those of one chunk differ in their buckets.
 
-    SHARED: 1 if another chunk has the bucket. CONTENT: MIXED unless the bucket's suffixes all fall into one refined bucket. Else, and in the
-    later rounds: COVERED if the refined bucket holds a smaller document than the entry's.
+    SHARED: 1 if another chunk has the bucket. Else: COVERED if the refined bucket holds a smaller document than the entry's. If it does
+    not, MIXED if the bucket's suffixes fall into several refined buckets.
     """
     order = np.lexsort(columns[1::-1])
     bucket = columns[0][order]
     code = np.zeros(len(order), np.uint8)
     if kind == SHARED:
-        start, count = runs(bucket)
+        _, count = runs(bucket)
         code[order] = np.repeat(count > 1, count)
         return code
     refined, least = columns[1][order], columns[2][order]
     start, count = runs(bucket, refined)
-    found = np.where(np.repeat(np.minimum.reduceat(least, start), count) < least, COVERED, 0).astype(np.uint8)
-    if kind == CONTENT:
-        start, count = runs(bucket)
-        one = (refined[start] == refined[start + count - 1]) & (refined[start] != 0)
-        found[np.repeat(~one & (count > 1), count)] = MIXED
-    code[order] = found
+    covered = np.repeat(np.minimum.reduceat(least, start), count) < least
+    start, count = runs(bucket)
+    mixed = np.repeat(refined[start] != refined[start + count - 1], count)
+    code[order] = np.where(covered, COVERED, np.where(mixed, MIXED, 0))
     return code
 
 
@@ -264,30 +240,40 @@ def _resolve(kind: int, entries: DataFrame) -> DataFrame:
     return entries.groupBy("bucket").applyInArrow(run, "chunk long, kind int, bucket long, codes binary")
 
 
-def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return runs(values) if len(values) else (np.empty(0, np.int64),) * 2
+class Entries:
+    """Different pairs of buckets of some suffixes, in ascending order, each with its least document; ``of`` tells each suffix's pair."""
+
+    def __init__(self, bucket: np.ndarray, refined: np.ndarray, rank: np.ndarray):
+        order = np.argsort(mix(bucket, refined))
+        start, count = runs(bucket[order], refined[order]) if len(order) else (order, order)
+        pairs = bucket[order[start]], refined[order[start]], np.minimum.reduceat(rank[order], start) if len(order) else rank
+        back = np.lexsort(pairs[1::-1])
+        place = np.empty(len(back), np.int64)
+        place[back] = np.arange(len(back))
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.repeat(place, count)
+        self.bucket, self.refined, self.least = (x[back] for x in pairs)
+
+    def columns(self) -> list[tuple[np.ndarray, int]]:
+        return [(self.bucket, 6), (self.refined, 6), (self.least, 8)]
 
 
 class _View:
     """A chunk, its segments, and what the rounds have said so far."""
 
-    def __init__(self, rule: Rule, buckets: int, number: int, docs: bytes, answers: list[dict] | None):
-        self.rule, self.buckets, self.number = rule, buckets, number
+    def __init__(self, rule: Rule, buckets: int, docs: bytes, answers: list[dict] | None):
+        self.rule, self.buckets = rule, buckets
         self.said: dict[int, dict[int, bytes]] = {k: {} for k in _WIDTHS}
         for a in answers or []:
             self.said[a["kind"]][a["bucket"]] = a["codes"]
-        self.chunk = read_bytes(docs)
-        self.seg = segments(rule, self.chunk)
-        self.rank = _rank(self.chunk)
-        self.own = self.rank[self.seg.doc]
-        self.order = np.lexsort((self.seg.content, self.seg.anchor))
-        anchor, content = self.seg.anchor[self.order], self.seg.content[self.order]
-        self.start, self.count = _groups(anchor)
-        self.group = np.empty(len(self.order), np.int64)
-        self.group[self.order] = np.repeat(np.arange(len(self.start)), self.count)
-        self.key = anchor[self.start]
-        self.uniform = content[self.start] == content[self.start + self.count - 1]
-        self.least = np.minimum.reduceat(self.own[self.order], self.start) if len(self.start) else np.empty(0, np.uint64)
+        self.chunk, self.data = read_bytes(docs)
+        self.seg = segments(rule, self.chunk, self.data)
+        self.own = _rank(self.chunk)[self.seg.doc]
+        order = np.argsort(self.seg.anchor)
+        self.start, self.count = runs(self.seg.anchor[order]) if len(order) else (order, order)
+        self.group = np.empty(len(order), np.int64)
+        self.group[order] = np.repeat(np.arange(len(self.start)), self.count)
+        self.key = self.seg.anchor[order][self.start]
 
     def _codes(self, kind: int, key: np.ndarray) -> np.ndarray:
         return _said(self.buckets, key, self.said[kind])
@@ -295,69 +281,59 @@ class _View:
     def shared(self) -> list[tuple[np.ndarray, int]]:
         return [(self.key, 6)]
 
-    def content(self) -> list[tuple[np.ndarray, int]]:
-        self.is_shared = np.flatnonzero(self._codes(SHARED, self.key) > 0)
-        at = self.is_shared
-        content = np.where(self.uniform[at], self.seg.content[self.order[self.start[at]]], np.uint64(0))
-        return [(self.key[at], 6), (content, 6), (self.least[at], 8)]
-
     def copies(self) -> list[tuple[np.ndarray, int]]:
-        keys = self.content()[0][0]
-        self.status = np.zeros(len(self.key), np.uint8)  # of anchors
-        self.status[self.is_shared] = self._codes(CONTENT, keys)
-        self.mixed = np.flatnonzero(self.status[self.group] == MIXED) if len(self.group) else self.group
-        entries, self.copy_order, self.copy_count = self._least(self.seg.anchor[self.mixed], self.seg.content[self.mixed], self.own[self.mixed])
-        return entries
+        self.common = np.flatnonzero((self._codes(SHARED, self.key) > 0)[self.group]) if len(self.group) else self.group
+        self.refined = Entries(self.seg.anchor[self.common], self.seg.content[self.common], self.own[self.common])
+        return self.refined.columns()
 
     def suffixes(self) -> np.ndarray:
-        """Segments that are sorted window by window; ``self.copied`` says of each segment whether it is settled as a copy."""
-        keys = self.copies()[0][0]
-        self.copied = np.zeros(len(self.seg.doc), np.uint8)
-        self.copied[self.mixed[self.copy_order]] = np.repeat(self._codes(COPIES, keys), self.copy_count)
-        return np.sort(self.mixed[self.copied[self.mixed] != COVERED])
-
-    @staticmethod
-    def _least(bucket: np.ndarray, refined: np.ndarray, rank: np.ndarray) -> tuple[list[tuple[np.ndarray, int]], np.ndarray, np.ndarray]:
-        """Different pairs of buckets, each with its least document; the order they come from, and how often each occurs."""
-        order = np.lexsort((rank, refined, bucket))
-        start, count = runs(bucket[order], refined[order]) if len(order) else (order, order)
-        first = order[start]
-        return [(bucket[first], 6), (refined[first], 6), (rank[first], 8)], order, count
+        """Segments that are sorted window by window; ``self.copied`` says of each segment whether another chunk settles it."""
+        key = self.copies()[0][0]
+        code = np.zeros(len(self.seg.doc), np.uint8)
+        code[self.common] = self._codes(COPIES, key)[self.refined.of]
+        self.copied = code == COVERED
+        return np.flatnonzero(code == MIXED)
 
     def windows(self) -> list[tuple[np.ndarray, int]]:
-        of, _, first, later = windows_of(self.rule, self.chunk, self.seg, self.suffixes())
-        return self._least(first, later, self.own[of])[0]
+        of, _, first, later = windows_of(self.rule, self.data, self.seg, self.suffixes())
+        return Entries(first, later, self.own[of]).columns()
 
     def covered(self) -> np.ndarray:
         """Whether each byte of the chunk is in a repeated window."""
         rule, seg, own = self.rule, self.seg, self.own
         sent = self.suffixes()
-        edge = np.zeros(int(self.chunk.sizes.sum()) + 1, np.int32)
+        edge = np.zeros(len(self.data) + 1, np.int32)
         if not len(seg.doc):
-            return np.zeros(len(edge) - 1, bool)
-        status, uniform, several = self.status[self.group], self.uniform[self.group], (self.count > 1)[self.group]
-        whole = (status == COVERED) | (self.copied > 0) | uniform & (self.least[self.group] < own)
-        base = self.chunk.starts[seg.doc]
-        np.add.at(edge, (base + seg.low)[whole], 1)
-        np.add.at(edge, (base + seg.high + rule.length)[whole], -1)
+            return np.zeros(len(self.data), bool)
+        # what several segments of an anchor say of each other within the chunk
+        near = np.flatnonzero((self.count > 1)[self.group])
+        inside = Entries(seg.anchor[near], seg.content[near], own[near])
+        whole = self.copied.copy()
+        whole[near] |= inside.least[inside.of] < own[near]
+        np.add.at(edge, seg.low[whole], 1)
+        np.add.at(edge, seg.high[whole] + rule.length, -1)
 
         # window by window: what is not settled, all else of its anchors to compare with, and what was sent
-        open_ = ~whole & ((status == MIXED) | (several & ~uniform))
+        several = np.zeros(len(self.start), bool)
+        start, count = runs(inside.bucket) if len(near) else (near, near)
+        several[np.searchsorted(self.key, inside.bucket[start])] = count > 1
+        open_ = ~whole & several[self.group]
+        open_[sent] |= ~whole[sent]
         anchors = np.zeros(len(self.start), bool)
         anchors[self.group[open_]] = True
         chosen = anchors[self.group]
         chosen[sent] = True
-        of, window, first, later = windows_of(rule, self.chunk, seg, np.flatnonzero(chosen))
-        hit = np.zeros(len(of), bool)
-        columns, order, count = self._least(first, later, own[of])
-        hit[order] = np.repeat(columns[2][0], count) < own[of[order]]
-        part = np.flatnonzero(np.isin(of, sent))
-        columns, order, count = self._least(first[part], later[part], own[of[part]])
+        of, window, first, later = windows_of(rule, self.data, seg, np.flatnonzero(chosen))
+        found = Entries(first, later, own[of])
+        hit = found.least[found.of] < own[of]
+        told = np.zeros(len(seg.doc), bool)
+        told[sent] = True
+        part = np.flatnonzero(told[of])
+        asked = Entries(first[part], later[part], own[of[part]])
         # what another chunk says of a window holds for all of this chunk's occurrences
-        hit[part[order]] |= np.repeat(self._codes(WINDOWS, columns[0][0]) > 0, count)
-        starts = (self.chunk.starts[seg.doc[of]] + window)[hit]
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + rule.length, -1)
+        hit[part] |= (self._codes(WINDOWS, asked.bucket) == COVERED)[asked.of]
+        np.add.at(edge, window[hit], 1)
+        np.add.at(edge, window[hit] + rule.length, -1)
         return np.cumsum(edge[:-1]) > 0
 
 
@@ -381,16 +357,16 @@ def mark_repeats(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
         return chunks.join(told, "chunk", "left")
 
     answers = None
-    for kind, send in ((SHARED, _View.shared), (CONTENT, _View.content), (COPIES, _View.copies), (WINDOWS, _View.windows)):
+    for kind, send in ((SHARED, _View.shared), (COPIES, _View.copies), (WINDOWS, _View.windows)):
 
         def entries(number: int, docs: bytes, told: list[dict] | None, send=send) -> pa.RecordBatch | None:
-            return _sent(number, buckets, send(_View(rule, buckets, number, docs, told)))
+            return _sent(number, buckets, send(_View(rule, buckets, docs, told)))
 
         said = cut(_resolve(kind, each_chunk(with_answers(answers), ENTRIES, entries)))
         answers = said if answers is None else answers.unionByName(said)
 
     def finish(number: int, docs: bytes, told: list[dict] | None) -> pa.RecordBatch:
-        view = _View(rule, buckets, number, docs, told)
+        view = _View(rule, buckets, docs, told)
         return results(view.chunk, view.covered(), characters)
 
     return each_chunk(with_answers(answers), RESULT, finish)
