@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,6 +83,20 @@ def points(value: Column) -> Column:
     return F.when(value.isNull(), "—").otherwise(F.format_string("%+.2f", value * 100.0))
 
 
+def metric_line(name: Column, mean_nll: Column, perplexity: Column, accuracy: Column) -> Column:
+    return F.format_string("%s: NLL=%.6f, PPL=%.4f, accuracy=%.2f%%", name, mean_nll, perplexity, accuracy * 100.0)
+
+
+def report_round(digits: int):
+    """Rounding for reports: of the exact binary value, halves to even, as Python's round does; on bounded aggregates."""
+
+    @F.pandas_udf("double")
+    def rounded(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if pd.isna(x) else round(x, digits))
+
+    return rounded
+
+
 def training_plan(rows: Column, per_device: int, devices: int, accumulation: int, epochs: float, warmup: float) -> list[Column]:
     """Micro-batches and optimizer steps of an epoch, steps of the run and of its warm-up."""
     micro = F.ceil(rows / (per_device * devices))

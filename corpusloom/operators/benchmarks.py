@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusloom.functions import ids, paths, text, tokens
+from corpusloom.operators.inventory import counts_of, cpp_only
 
 #: Size of the general benchmark, and the share of C files in what C++ leaves.
 GENERAL_SIZE, C_SHARE = 512, 0.65
@@ -38,16 +39,17 @@ def _kind():
 def general_benchmark(reps: DataFrame, size: int = GENERAL_SIZE) -> DataFrame:
     """All C++, then C and headers by quota in stable order; ``position`` is the order of the whole.
 
-    Of C and header files no more than ``size`` can be taken, so tasks keep that many of each kind before they
-    shuffle; C++ files, which are scarce, are all kept and counted. What is then ordered is the benchmark.
+    Of C and header files no more than ``size`` can be taken, so that many of each kind leave a task; C++ files, which are
+    scarce, are a group each, so all are kept. What is then counted and ordered is the benchmark.
     """
     rows = reps.withColumns({"kind": _kind(), "stable": ids.stable_order(F.col("id"))}).filter("kind is not null")
-    rows = rows.withColumn("__rank", F.row_number().over(W.partitionBy("kind").orderBy("stable"))).filter((F.col("kind") == "cpp") | (F.col("__rank") <= size))
-    left = F.lit(size) - F.count_if(F.col("kind") == "cpp").over(W.partitionBy(F.lit(1)))
+    own = F.when(F.col("kind") == "cpp", F.col("id"))
+    rows = rows.withColumn("__rank", F.row_number().over(W.partitionBy("kind", own).orderBy("stable", "id"))).filter(F.col("__rank") <= size)
+    left = F.greatest(F.lit(size) - F.count_if(F.col("kind") == "cpp").over(W.partitionBy(F.lit(1))), F.lit(0))
     c = F.rint(left * C_SHARE).cast("int")
     quota = F.when(F.col("kind") == "c", c).when(F.col("kind") == "header", left - c)
     out = rows.withColumn("__quota", quota).filter("__quota is null or __rank <= __quota").drop("__rank", "__quota")
-    return out.withColumn("position", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("stable"))).drop("kind", "stable")
+    return out.withColumn("position", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("stable", "id"))).drop("kind", "stable")
 
 
 def cpp_benchmark(rows: DataFrame) -> DataFrame:
@@ -59,6 +61,11 @@ def benchmark_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("examples"), F.count_distinct("source_path").alias("source_files"), average("prompt_tokens").alias("average_prompt_tokens"), average("completion_tokens").alias("average_completion_tokens"))
 
 
+def benchmark_counts(rows: DataFrame) -> DataFrame:
+    """(dimension, key, n): examples by language, and those of C++ files by priority."""
+    return counts_of(rows, {"language": F.col("language"), "cpp_priority": cpp_only(F.col("cpp_training_priority"))})
+
+
 def preview(rows: DataFrame) -> DataFrame:
     """The most typical readable example, or of all if none is readable."""
     shown = F.lit(False)

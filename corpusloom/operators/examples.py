@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 
 from corpusloom.functions import ids, text, tokens
 from corpusloom.functions.binding import let
+from corpusloom.operators.inventory import counts_of, cpp_only
+from corpusloom.operators.joins import first_per_key
 from corpusloom.operators.sampling import even_places, evenly_capped
 
 
@@ -40,9 +42,29 @@ def _capped(items: Column, split: Column, rules: ExampleRules) -> Column:
     return out
 
 
-def _counted(kept: Column) -> Column:
-    """Text of the tokens kept, and how many tokens that text has."""
-    return let(tokens.detokenize(kept), lambda t: F.struct(t.alias("text"), F.size(tokens.tokenize(t)).alias("n")))
+def _measured(lines: Column) -> Column:
+    """For each line how many tokens it adds to a text that goes on with it, and whether its first is one with the last of the line before."""
+    kind = lambda c: F.when(c.rlike(r"\w"), 1).when(c.rlike(r"\s"), 2).otherwise(3)
+    ends = F.transform(lines, lambda x: F.struct(F.size(tokens.tokenize(x)).alias("n"), kind(F.left(x, F.lit(1))).alias("first"), kind(F.right(x, F.lit(1))).alias("last")))
+
+    def net(all_: Column) -> Column:
+        joined = lambda x, i: F.when(i > 0, (F.get(all_, F.greatest(i - 1, F.lit(0)))["last"] == x["first"]).cast("int")).otherwise(0)
+        return F.transform(all_, lambda x, i: F.struct((x["n"] - joined(x, i)).alias("net"), joined(x, i).alias("joined")))
+
+    return let(ends, net)
+
+
+def _window(lines: Column, measured: Column, start: Column, count: Column, limit: int, keep) -> Column:
+    """struct(text, n) of ``count`` lines from ``start``, cut to ``limit`` tokens by ``keep`` if there are more.
+
+    Lines were counted once, so only a window that is too long is taken apart again. Tokens that are kept are runs of one
+    kind, so the text they make has just as many.
+    """
+    text_ = F.array_join(F.slice(lines, start + 1, count), "")
+    part = F.slice(measured, start + 1, count)
+    total = F.aggregate(part, F.lit(0), lambda acc, x: acc + x["net"]) + F.coalesce(F.get(part, F.lit(0))["joined"], F.lit(0))
+    cut = lambda n: F.when(n <= limit, text_).otherwise(tokens.detokenize(keep(tokens.tokenize(text_), limit)))
+    return let(total, lambda n: F.struct(cut(n).alias("text"), F.least(n, F.lit(limit)).alias("n")))
 
 
 def file_examples(files: DataFrame, rules: ExampleRules) -> DataFrame:
@@ -53,12 +75,12 @@ def file_examples(files: DataFrame, rules: ExampleRules) -> DataFrame:
     """
     body = text.normalize_source(text.decoded(F.col("content")))
 
-    def windows(lines: Column) -> Column:
+    def windows(lines: Column, measured: Column) -> Column:
         def example(cut: Column) -> Column:
             start = F.greatest(F.lit(0), cut - rules.context_lines)
-            prompt = tokens.keep_last(tokens.tokenize(F.array_join(F.slice(lines, start + 1, cut - start), "")), rules.max_prompt)
-            completion = tokens.keep_first(tokens.tokenize(F.array_join(F.slice(lines, cut + 1, F.lit(rules.completion_lines)), "")), rules.max_completion)
-            return F.struct(cut.alias("cut_line"), let(prompt, _counted).alias("p"), let(completion, _counted).alias("c"))
+            prompt = _window(lines, measured, start, cut - start, rules.max_prompt, tokens.keep_last)
+            completion = _window(lines, measured, cut, F.lit(rules.completion_lines), rules.max_completion, tokens.keep_first)
+            return F.struct(cut.alias("cut_line"), prompt.alias("p"), completion.alias("c"))
 
         cuts = text.candidate_cuts(F.size(lines), rules.minimum_cut, rules.stride, rules.completion_lines)
         return F.filter(F.transform(cuts, example), usable)
@@ -66,7 +88,7 @@ def file_examples(files: DataFrame, rules: ExampleRules) -> DataFrame:
     def usable(x: Column) -> Column:
         return (x["p"]["n"] >= rules.min_prompt) & (x["c"]["n"] >= rules.min_completion) & ~text.is_blank(x["p"]["text"]) & ~text.is_blank(x["c"]["text"])
 
-    all_ = let(text.lines(body), windows)
+    all_ = let(text.lines(body), lambda lines: let(_measured(lines), lambda measured: windows(lines, measured)))
     rows = files.withColumn("__examples", let(all_, lambda items: _capped(items, F.col("split"), rules))).drop("content")
     kept = [c for c in rows.columns if c != "__examples"]
     rows = rows.select(*kept, F.inline("__examples"))
@@ -88,24 +110,28 @@ def split_rank(split: Column) -> Column:
 
 
 def _place() -> Column:
-    """Place among the examples of a fingerprint, in order of split, path and cut."""
-    return F.row_number().over(W.partitionBy("fingerprint").orderBy(split_rank(F.col("split")), "source_path", "cut_line"))
+    return F.struct(split_rank(F.col("split")).alias("rank"), F.col("source_path").alias("path"), F.col("cut_line").alias("cut"))
 
 
 def claim(examples: DataFrame) -> DataFrame:
-    """``examples`` with ``claimed``: whether it is the first of its fingerprint."""
-    return examples.withColumn("claimed", _place() == 1)
+    """``examples`` with ``claimed``: whether it is the first of its fingerprint, in order of split, path and cut (which tell examples apart).
+
+    The first places are aggregated before they shuffle and looked up, so a fingerprint that many share is dealt over many tasks.
+    """
+    return first_per_key(examples, "fingerprint", _place(), "__first").withColumn("claimed", F.col("__first") == _place()).drop("__first")
 
 
 def cross_split_dedup(examples: DataFrame) -> DataFrame:
     """The first example of each fingerprint; tasks keep their own first ones before they shuffle."""
-    return examples.withColumn("__place", _place()).filter("__place = 1").drop("__place")
+    order = W.partitionBy("fingerprint").orderBy(split_rank(F.col("split")), "source_path", "cut_line")
+    return examples.withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place")
 
 
 def example_summary(claimed: DataFrame) -> DataFrame:
-    """Per split: rows, files, tokens, effective rows and removed duplicates, of ``claim``'s rows."""
+    """Per split: rows, files, tokens and their averages, effective rows and removed duplicates, of ``claim``'s rows."""
     own = F.col("claimed")
     number = lambda c: F.sum(F.when(own, F.col(c)).otherwise(0)).cast("long")
+    average = lambda c: number(c).cast("double") / F.greatest(F.count_if(own), F.lit(1)).cast("double")
     return claimed.groupBy("split").agg(
         F.count_if(own).alias("examples"),
         F.count_distinct(F.when(own, F.col("source_path"))).alias("source_files"),
@@ -113,9 +139,21 @@ def example_summary(claimed: DataFrame) -> DataFrame:
         number("prompt_tokens").alias("prompt_tokens"),
         number("completion_tokens").alias("completion_tokens"),
         number("training_repeat").alias("effective_examples"),
+        average("prompt_tokens").alias("average_prompt_tokens"),
+        average("completion_tokens").alias("average_completion_tokens"),
     )
 
 
+def example_counts(examples: DataFrame) -> DataFrame:
+    """(split, dimension, key, n): examples by language, and those of C++ files by priority."""
+    return counts_of(examples, {"language": F.col("language"), "cpp_priority": cpp_only(F.col("cpp_training_priority"))}, "split")
+
+
+def fingerprint_audit(examples: DataFrame) -> DataFrame:
+    """One row: examples, different fingerprints, and whether all differ."""
+    return examples.agg(F.count(F.lit(1)).alias("examples"), F.count_distinct("fingerprint").alias("fingerprints")).withColumn("unique", F.col("examples") == F.col("fingerprints"))
+
+
 def files_without_examples(files: DataFrame, examples: DataFrame) -> DataFrame:
     """Per split: files, and those that no example comes from."""
     has = examples.groupBy("source_path").agg(F.lit(True).alias("has")).withColumnRenamed("source_path", "path")

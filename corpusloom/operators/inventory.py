@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpusloom.functions import paths, text
 
@@ -32,11 +33,26 @@ def counts_by(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
+def counts_of(rows: DataFrame, dimensions: dict[str, Column], *by: str) -> DataFrame:
+    """(``by``, dimension, key, n) of several columns in one pass; null keys are not counted."""
+    pairs = F.inline(F.array(*[F.struct(F.lit(name).alias("dimension"), value.cast("string").alias("key")) for name, value in dimensions.items()]))
+    return rows.select(*by, pairs).filter("key is not null").groupBy(*by, "dimension", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cpp_only(value: Column) -> Column:
+    return F.when(F.col("extension").isin(*paths.CPP_EXTENSIONS), value)
+
+
 def all_counts(files: DataFrame) -> DataFrame:
     """(dimension, key, n) for extension, language and top-level directory in one pass."""
-    names = ("extension", "language", "top_level_directory")
-    pairs = F.inline(F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(n).alias("key")) for n in names]))
-    return files.select(pairs).groupBy("dimension", "key").agg(F.count(F.lit(1)).alias("n"))
+    return counts_of(files, {n: F.col(n) for n in ("extension", "language", "top_level_directory")})
+
+
+def most_common(rows: DataFrame, column: str, n: int | None = None) -> DataFrame:
+    """(``column``, n, position): counts from the largest, ties by key; the first ``n`` of them if given."""
+    counted = counts_by(rows, column).orderBy(F.desc("n"), column)
+    found = counted.limit(n) if n is not None else counted
+    return found.withColumn("position", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("n"), column)))
 
 
 def totals(files: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.scores import percent_reduction, reduction
+from corpusloom.functions.tokens import IGNORED
+from corpusloom.operators.inventory import counts_of
 
 #: Metric groups in report order.
 GROUPS = ("all_cpp", "high", "medium", "low", "unknown")
@@ -23,16 +25,16 @@ def example_metrics(scores: DataFrame) -> DataFrame:
 
 
 def micro(scores: DataFrame, *by: str) -> DataFrame:
-    """Token-weighted averages. Sums are of decimals, so they do not depend on the order of rows."""
+    """Token-weighted averages. Sums of NLL are of doubles: their last digits may depend on the order of rows."""
     sums = [
         F.count(F.lit(1)).alias("examples"),
         F.coalesce(F.sum("scored_tokens"), F.lit(0)).cast("long").alias("scored_tokens"),
         F.coalesce(F.sum("correct_tokens"), F.lit(0)).cast("long").alias("correct_tokens"),
-        F.sum(F.col("negative_log_likelihood").cast("decimal(18,6)")).alias("__nll"),
+        F.sum(F.col("negative_log_likelihood").cast("double")).alias("__nll"),
     ]
     rows = scores.groupBy(*by).agg(*sums) if by else scores.agg(*sums)
     mean = _ratio(F.col("__nll"), F.col("scored_tokens"))
-    return rows.withColumns({"negative_log_likelihood": F.col("__nll").cast("double"), "mean_negative_log_likelihood": mean, "perplexity": F.exp(mean), "token_accuracy": _ratio(F.col("correct_tokens"), F.col("scored_tokens"))}).drop("__nll")
+    return rows.withColumns({"negative_log_likelihood": F.col("__nll"), "mean_negative_log_likelihood": mean, "perplexity": F.exp(mean), "token_accuracy": _ratio(F.col("correct_tokens"), F.col("scored_tokens"))}).drop("__nll")
 
 
 def metric_groups(scores: DataFrame, *by: str) -> DataFrame:
@@ -56,11 +58,16 @@ def macro(scores: DataFrame, *by: str) -> DataFrame:
 
 
 def prediction_lift(base: DataFrame, tuned: DataFrame) -> DataFrame:
-    """Scores of two models on the same examples, and the second's lift; examples that one of them lacks are left out."""
+    """Scores of two models on the same examples, and the second's lift; an example that one of them lacks is an error."""
     names = ("mean_negative_log_likelihood", "token_accuracy", "matching_prefix_ratio", "token_edit_similarity")
     held = [c for c in names if c in base.columns and c in tuned.columns]
-    side = lambda df, tag: df.select("evaluation_key", *[F.col(c).alias(f"{tag}_{c}") for c in held])
-    rows = base.select("evaluation_key", *[c for c in ("source_path", "cpp_priority") if c in base.columns]).join(side(base, "base"), "evaluation_key").join(side(tuned, "tuned"), "evaluation_key")
+    also = [c for c in ("source_path", "cpp_priority") if c in base.columns]
+    left = base.select("evaluation_key", *also, *[F.col(c).alias(f"base_{c}") for c in held], F.lit(True).alias("__base"))
+    right = tuned.select("evaluation_key", *[F.col(c).alias(f"tuned_{c}") for c in held], F.lit(True).alias("__tuned"))
+    rows = left.join(right, "evaluation_key", "full")
+    lacking = F.when(F.col("__base").isNull(), "base").when(F.col("__tuned").isNull(), "tuned")
+    error = F.raise_error(F.concat(F.lit("no score of the "), lacking, F.lit(" model for "), F.coalesce(F.col("evaluation_key").cast("string"), F.lit("null"))))
+    rows = rows.filter(F.when(lacking.isNotNull(), error.cast("boolean")).otherwise(True)).drop("__base", "__tuned")
     b, t = (lambda c: F.col(f"base_{c}")), (lambda c: F.col(f"tuned_{c}"))
     out = {"mean_nll_reduction": b(names[0]) - t(names[0]), "mean_nll_reduction_percent": percent_reduction(b(names[0]), t(names[0])), "token_accuracy_delta": t(names[1]) - b(names[1])}
     out |= {f"{c}_delta": t(c) - b(c) for c in held[2:]}
@@ -85,6 +92,20 @@ def summary_lift(base: DataFrame, tuned: DataFrame) -> DataFrame:
     )
 
 
+def generation_lift(base: DataFrame, tuned: DataFrame) -> DataFrame:
+    """Changes from one row of macro averages to another."""
+    side = lambda df, tag: df.select(*[F.col(c).alias(f"{tag}_{c}") for c in MACRO])
+    rows = side(base, "base").crossJoin(side(tuned, "tuned"))  # one row each
+    return rows.select("*", *[(F.col(f"tuned_{c}") - F.col(f"base_{c}")).alias(f"{c}_delta") for c in MACRO])
+
+
+def composition(rows: DataFrame) -> DataFrame:
+    """(dimension, key, n) of resolved validation rows: languages, priorities and where these come from; under "source_files" how many there are."""
+    counts = counts_of(rows, {"language": F.coalesce("language", F.lit("none")), "cpp_priority": F.col("resolved_priority"), "priority_resolution": F.col("resolution")})
+    files = rows.agg(F.count_distinct("resolved_path").alias("n")).select(F.lit("source_files").alias("dimension"), F.lit("all").alias("key"), "n")
+    return counts.unionByName(files)
+
+
 def group_lift(groups: DataFrame, base: str = "base") -> DataFrame:
     """Per model and group, fractions of improvement over the base model; null where either has no example."""
     cols = ("examples", "mean_negative_log_likelihood", "perplexity", "token_accuracy")
@@ -114,3 +135,12 @@ def workers_agree(bases: DataFrame, relative: float = 1e-5, absolute: float = 1e
     mean = F.col("mean_negative_log_likelihood")
     spread = F.max(mean) - F.min(mean)
     return bases.agg((F.count_distinct("scored_tokens") <= 1).alias("same_tokens"), (spread <= F.greatest(F.lit(relative) * F.max(F.abs(mean)), F.lit(absolute))).alias("same_mean"))
+
+
+def first_batch_tokens(tokenized: DataFrame, order: list[str], size: int) -> DataFrame:
+    """One row: masked and supervised tokens of the first ``size`` rows; none supervised is an error."""
+    masked = F.size(F.filter("labels", lambda x: x == IGNORED))
+    batch = tokenized.orderBy(*order).limit(size)
+    found = batch.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(masked), F.lit(0)).cast("long").alias("masked_tokens"), F.coalesce(F.sum(F.size("labels") - masked), F.lit(0)).cast("long").alias("supervised_tokens"))
+    none = F.raise_error(F.lit("the first batch has no supervised token")).cast("boolean")
+    return found.filter(F.when(F.col("supervised_tokens") == 0, none).otherwise(True))

@@ -22,19 +22,58 @@ def evenly_capped(items: Column, limit: Column | int, places: Column) -> Column:
     return F.when(F.size(items) <= limit, items).otherwise(F.filter(items, lambda x, i: F.array_contains(places, i)))
 
 
-def even_sample(rows: DataFrame, order: list, limit: int, by: list[str] | None = None, single: str = "middle") -> DataFrame:
+#: Sampled keys that cut a table into ranges, and ranges.
+CUTS, RANGES = 4096, 64
+
+
+def numbered(rows: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """``rows`` with __at (place from 0 in ``order``, in the table or in each stratum) and __n (rows of it).
+
+    The order's columns are to tell rows apart. Keys of some CUTS rows, chosen by hash, cut the table into ranges; places are
+    counted within a range and added to the rows of the ranges before, so no task orders the whole table. The strata are few.
+    """
+    keys = by or []
+    key = F.struct(*order)
+    total = rows.count()
+    chosen = rows.select(*order).filter(F.pmod(F.xxhash64(*order), F.lit(max(1, total // CUTS))) == 0)
+    cuts = chosen.orderBy(*order).limit(2 * CUTS).collect()
+    kinds = [rows.schema[c].dataType for c in order]
+    bounds = [F.struct(*[F.lit(x).cast(t).alias(c) for x, t, c in zip(r, kinds, order, strict=True)]) for r in cuts[:: -(-len(cuts) // RANGES)][1:]] if cuts else []
+    held = F.size(F.filter(F.array(*bounds), lambda c: c <= key)) if bounds else F.lit(0)
+    ranged = rows.withColumn("__range", held)
+    counts = ranged.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__rows"))
+    before = W.partitionBy(*[F.col(c) for c in keys] or [F.lit(1)])
+    counts = counts.select(*[F.col(c).alias(f"__by_{c}") for c in keys], F.col("__range").alias("__of"), (F.sum("__rows").over(before.orderBy("__range")) - F.col("__rows")).alias("__before"), F.sum("__rows").over(before).alias("__n"))
+    same = F.col("__range") == F.col("__of")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    out = ranged.withColumn("__in", F.row_number().over(W.partitionBy(*keys, "__range").orderBy(*order)) - 1).join(F.broadcast(counts), same)  # ranges times strata
+    return out.withColumns({"__at": (F.col("__before") + F.col("__in")).cast("int"), "__n": F.col("__n").cast("int")}).drop("__range", "__of", "__in", "__before", *[f"__by_{c}" for c in keys])
+
+
+def even_sample(rows: DataFrame, order: list[str], limit: int, by: list[str] | None = None, single: str = "middle") -> DataFrame:
     """``limit`` evenly spaced rows of the table, or of each stratum."""
-    keys = [F.col(c) for c in by or []] or [F.lit(1)]
-    ranked = rows.withColumns({"__at": F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1, "__n": F.count(F.lit(1)).over(W.partitionBy(*keys)).cast("int")})
     keep = (F.col("__n") <= limit) | F.array_contains(even_places(F.col("__n"), limit, single), F.col("__at"))
-    return ranked.filter(keep).drop("__at", "__n")
+    return numbered(rows, order, by).filter(keep).drop("__at", "__n")
 
 
-def strided(rows: DataFrame, order: list, checks: int) -> DataFrame:
+def for_mode(rows: DataFrame, mode: str, order: list[str], limit: int, single: str = "first") -> DataFrame:
+    """All rows, or in a smoke run ``limit`` evenly spaced ones."""
+    if mode not in ("full", "smoke"):
+        raise ValueError(f"no such mode: {mode}")
+    return even_sample(rows, order, limit, single=single) if mode == "smoke" else rows
+
+
+def strided(rows: DataFrame, order: list[str], checks: int) -> DataFrame:
     """About ``checks`` rows at a regular stride."""
-    ranked = rows.withColumns({"__at": F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order)) - 1, "__n": F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))})
     step = F.greatest(F.lit(1), F.floor(F.col("__n") / F.greatest(F.least(F.lit(checks), F.col("__n")), F.lit(1))))
-    return ranked.filter(F.pmod("__at", step) == 0).drop("__at", "__n")
+    return numbered(rows, order).filter(F.pmod("__at", step) == 0).drop("__at", "__n")
+
+
+def evaluation_keys(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """``rows`` with benchmark_index (from 0 in ``order``) and evaluation_key, "name:00000"."""
+    out = numbered(rows, order).withColumnsRenamed({"__at": "benchmark_index"}).drop("__n")
+    return out.withColumns({"benchmark": F.lit(name), "evaluation_key": F.format_string(f"{name.replace('%', '%%')}:%05d", "benchmark_index")})
 
 
 def shuffled(rows: DataFrame, seed: int, *keys: str, limit: int | None = None) -> DataFrame:

@@ -6,12 +6,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpusloom.functions import paths
 from corpusloom.functions.ids import SEED, stable_order
+from corpusloom.operators.inventory import counts_of, cpp_only
 
+#: The splits.
 SPLITS = ("train", "validation", "evaluation")
 
 
@@ -33,11 +36,6 @@ def group_stats(files: DataFrame) -> DataFrame:
     )
 
 
-def room(target: Column, current: Column) -> Column:
-    """The share of a target that is left."""
-    return F.when(target <= 0, 0.0).otherwise((target - current) / F.nullif(target, F.lit(0.0)))
-
-
 def _place(rules: SplitRules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {s: [0, 0, 0] for s in SPLITS}
@@ -70,14 +68,14 @@ def _place(rules: SplitRules):
 def assign_groups(stats: DataFrame, rules: SplitRules) -> DataFrame:
     """(split_group, split): directories in order of scarce files and size, each to the split with most room.
 
-    The running totals make this one pass in order; it streams over the directories, one row each, in
-    constant memory.
+    Hashing and dealing into ranges of the order run in parallel. The running totals then make it one pass: a task
+    reads range after range, one row per directory, in constant memory.
     """
     totals = stats.agg(F.sum("bytes").alias("all_bytes"), F.sum("cpp_count").alias("all_cpp"), F.sum("high_cpp_count").alias("all_high"))
     name = F.col("split_group")
     rows = stats.crossJoin(F.broadcast(totals)).withColumns({"tie": stable_order(name, seed=rules.seed), **{f"tie_{s}": stable_order(name, s, seed=rules.seed) for s in SPLITS}})
-    rows = rows.coalesce(1).sortWithinPartitions(F.desc("high_cpp_count"), F.desc("cpp_count"), F.desc("bytes"), "tie")
-    return rows.mapInArrow(_place(rules), "split_group string, split string")
+    rows = rows.orderBy(F.desc("high_cpp_count"), F.desc("cpp_count"), F.desc("bytes"), "tie", "split_group")
+    return rows.coalesce(1).mapInArrow(_place(rules), "split_group string, split string")
 
 
 def split_files(files: DataFrame, rules: SplitRules | None = None) -> DataFrame:
@@ -88,16 +86,22 @@ def split_files(files: DataFrame, rules: SplitRules | None = None) -> DataFrame:
 
 
 def split_summary(files: DataFrame) -> DataFrame:
-    return files.groupBy("split").agg(
+    """Per split: files, directories, bytes and their share in percent, lines, C++ files."""
+    rows = files.groupBy("split").agg(
         F.count(F.lit(1)).alias("files"), F.count_distinct("split_group").alias("groups"), F.sum("size_bytes").alias("bytes"), F.sum("line_count").alias("lines"), F.count_if(F.col("extension").isin(*paths.CPP_EXTENSIONS)).alias("cpp_files")
     )
+    everything = F.sum("bytes").over(W.partitionBy(F.lit(1)))  # of three rows
+    return rows.withColumn("byte_percentage", F.lit(100.0) * F.col("bytes").cast("double") / everything.cast("double"))
+
+
+def split_counts(files: DataFrame) -> DataFrame:
+    """(split, dimension, key, n): files by extension, and C++ files by priority."""
+    return counts_of(files, {"extension": F.col("extension"), "cpp_priority": cpp_only(F.col("cpp_training_priority"))}, "split")
 
 
 def leaks(files: DataFrame) -> DataFrame:
-    """(kind, key, n): paths that repeat, and directories and contents in several splits; empty if all is well."""
-    repeated = files.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("path").alias("kind"), F.col("path").alias("key"), "n")
-    out = repeated
-    for kind, column in (("group", "split_group"), ("content", "sha256")):
-        spread = files.groupBy(column).agg(F.count_distinct("split").alias("n")).filter("n > 1")
-        out = out.unionByName(spread.select(F.lit(kind).alias("kind"), F.col(column).alias("key"), "n"))
-    return out
+    """(kind, key, n): paths that repeat, and directories and contents in several splits; empty if all is well. One pass over the files."""
+    names = {"path": "path", "group": "split_group", "content": "sha256"}
+    keys = F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("key")) for kind, c in names.items()]))
+    found = files.select("split", keys).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("rows"), F.size(F.collect_set("split")).cast("long").alias("splits"))
+    return found.select("kind", "key", F.when(F.col("kind") == "path", F.col("rows")).otherwise(F.col("splits")).alias("n")).filter("n > 1")

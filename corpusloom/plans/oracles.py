@@ -155,6 +155,20 @@ reps as (
     select *, row_number() over (partition by source_path order by case when cpp_training_priority = 'high' then 0 else 1 end, abs(prompt_tokens - 400), abs(completion_tokens - 80), {_hash16('id')}) as rn from held)
   where rn = 1)"""
 
+_GENERAL = f"""{_HELD},
+quotas as (
+  select *, row_number() over (partition by case when extension = '.c' then 1 when extension = '.h' then 2 else 0 end order by {_hash16('id')}) as rn,
+    greatest(512 - count(*) filter (extension in ('.cpp', '.hpp')) over (), 0) as room from reps),
+general as (
+  select * from quotas
+  where extension in ('.cpp', '.hpp') or (extension = '.c' and rn <= round_even(room * 0.65::double, 0)) or (extension = '.h' and rn <= room - round_even(room * 0.65::double, 0))),
+numbered as (select *, cast(row_number() over (order by source_path, cut_line) - 1 as integer) as benchmark_index from general),
+keyed as (
+  select *, 'general:' || lpad(cast(benchmark_index as varchar), 5, '0') as evaluation_key,
+    list_transform(regexp_extract_all(prompt, '\\w+|[^\\w\\s]+|\\s+'), lambda t: len(t)) as p, list_transform(regexp_extract_all(completion, '\\w+|[^\\w\\s]+|\\s+'), lambda t: len(t)) as c from numbered),
+forced as (
+  select evaluation_key, list_sum(c)::double / 16::double as negative_log_likelihood, cast(len(c) as bigint) as scored_tokens, cast(len(list_filter(c, lambda x: x % 2 = 0)) as bigint) as correct_tokens from keyed)"""
+
 _TRAIN = f"""{_EXAMPLES},
 weighted as (
   select *, case when language not in ('cpp', 'cpp_header') then 'non_cpp' else 'cpp_' || cpp_training_priority end as weight_group from kept where split = 'train'),
@@ -170,7 +184,7 @@ scores as (
     (8 + doc_id % 121) * (50 + (doc_id * 7) % 50 + adj) // 100 as correct_tokens
   from documents cross join (values {_MODELS}) m(model, step, adj)),
 grouped as (
-  select model, step, g as "group", count(*) as examples, sum(scored_tokens) as st, sum(correct_tokens) as co, sum((micro::double / 1e6)::decimal(18, 6))::double as nll
+  select model, step, g as "group", count(*) as examples, sum(scored_tokens) as st, sum(correct_tokens) as co, sum(micro::double / 1048576::double) as nll
   from (select *, unnest(['all_cpp', cpp_priority]) as g from scores) group by 1, 2, 3),
 groups as (
   select model, step, "group", examples, cast(st as bigint) as scored_tokens, cast(co as bigint) as correct_tokens, nll as negative_log_likelihood,
@@ -183,7 +197,7 @@ candidates as (
   from wide w cross join (select * from wide where model = 'base') b where w.model <> 'base'),
 placed as (select *, case when eligible then row_number() over (partition by eligible order by high_nll, all_nll, step nulls last) end as rank from candidates),
 pairs as (
-  select b.evaluation_key, b.source_path, b.cpp_priority, b.micro::double / 1e6 / b.scored_tokens::double as bn, t.micro::double / 1e6 / t.scored_tokens::double as tn,
+  select b.evaluation_key, b.source_path, b.cpp_priority, b.micro::double / 1048576::double / b.scored_tokens::double as bn, t.micro::double / 1048576::double / t.scored_tokens::double as tn,
     b.correct_tokens::double / b.scored_tokens::double as ba, t.correct_tokens::double / t.scored_tokens::double as ta
   from scores b join scores t using (evaluation_key) where b.model = 'base' and t.model = 'checkpoint-100'),
 lifted as (
@@ -198,15 +212,22 @@ replies as (
 coded as (
   select *, list_transform(string_split(replace(generated_text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: regexp_replace(x, '\\s+$', '')) as ls from replies)"""
 
+#: Edit distance of token lists, a row of the table at a time; what comes from the left is a running minimum.
 _SCORED = f"""{_TURNS},
-cut as (
-  select conv_id, turn, list_slice(regexp_extract_all(generated_text, '\\w+|[^\\w\\s]+|\\s+'), 1, 48) as g, list_slice(regexp_extract_all(reference_text, '\\w+|[^\\w\\s]+|\\s+'), 1, 48) as r from replies),
-pairs as (select *, array_to_string(g, '') as gt, array_to_string(r, '') as rt, list_distinct(g || r) as vocabulary from cut),
+pairs as (
+  select conv_id, turn, generated_text as gt, reference_text as rt, regexp_extract_all(generated_text, '\\w+|[^\\w\\s]+|\\s+') as g, regexp_extract_all(reference_text, '\\w+|[^\\w\\s]+|\\s+') as r from replies),
+edits as (
+  select conv_id, turn, g, r, 0::bigint as i, range(0, len(r) + 1) as d from pairs
+  union all
+  select conv_id, turn, g, r, i + 1, list_transform(range(0, len(r) + 1), lambda j: list_min(list_slice(a, 1, j + 1)) + j)
+  from (
+    select *, list_transform(range(0, len(r) + 1), lambda j: case when j = 0 then d[1] + 1 else least(d[j] + case when r[j] = g[i + 1] then 0 else 1 end, d[j + 1] + 1) end - j) as a
+    from edits where i < len(g))),
+distances as (select conv_id, turn, cast(d[len(r) + 1] as bigint) as d from edits where i = len(g)),
 lined as (
   select *, list_transform(string_split(gt, chr(10)), lambda x: regexp_replace(x, '\\s+$', '')) as gl, list_transform(string_split(rt, chr(10)), lambda x: regexp_replace(x, '\\s+$', '')) as rl,
-    cast(levenshtein(array_to_string(list_transform(g, lambda t: chr(cast(30 + list_position(vocabulary, t) as integer))), ''), array_to_string(list_transform(r, lambda t: chr(cast(30 + list_position(vocabulary, t) as integer))), '')) as bigint) as d,
     coalesce(list_position(list_transform(range(1, least(len(g), len(r)) + 1), lambda i: list_extract(g, i) = list_extract(r, i)), false) - 1, least(len(g), len(r))) as p
-  from pairs),
+  from pairs join distances using (conv_id, turn)),
 scored as (
   select conv_id, turn, gt = rt as exact_match,
     regexp_replace(regexp_replace(array_to_string(gl, chr(10)), '^\\n+', ''), '\\n+$', '') = regexp_replace(regexp_replace(array_to_string(rl, chr(10)), '^\\n+', ''), '\\n+$', '') as normalized_exact_match,
@@ -218,7 +239,7 @@ scored as (
 _ADAPTERS = """
 adapter_files as (
   select 'out/' || case when doc_id = 0 then 'final_adapter' else 'checkpoint-' || doc_id end as folder, f
-  from (select doc_id, unnest(['adapter_config.json', 'adapter_model.safetensors']) as f from documents where doc_id % 25 = 0) where not (doc_id % 125 = 50 and f = 'adapter_config.json')),
+  from (select doc_id, unnest(['adapter_config.json', 'adapter_model.safetensors']) as f from documents) where not (doc_id % 125 = 50 and f = 'adapter_config.json')),
 adapters as (
   select split_part(folder, '/', 2) as name, try_cast(regexp_extract(folder, 'checkpoint-(\\d+)$', 1) as integer) as step, folder as path,
     cast(row_number() over (order by try_cast(regexp_extract(folder, 'checkpoint-(\\d+)$', 1) as integer) nulls last, folder) - 1 as integer) as position
@@ -229,6 +250,13 @@ def _with(ctes: str, select: str, recursive: bool = False) -> str:
     return f"with {'recursive ' if recursive else ''}{ctes.strip()}\n{select}"
 
 
+def _counted(table: str, dimensions: dict[str, str], by: str = "") -> str:
+    """(by, dimension, key, n) of several columns of a table."""
+    names, values = ", ".join(f"'{d}'" for d in dimensions), ", ".join(f"cast({v} as varchar)" for v in dimensions.values())
+    own = f"{by}, " if by else ""
+    return f"select {own}dimension, key, count(*) as n from (select {own}unnest([{names}]) as dimension, unnest([{values}]) as key from {table}) where key is not null group by all"
+
+
 def _files(select: str) -> str:
     return _with(_FILES, select)
 
@@ -262,6 +290,7 @@ ORACLES: dict[str, str] = {
     **{f"inventory_by_{n}": _files(f"select {c}, count(*) as n from files group by 1") for n, c in (("extension", "extension"), ("language", "language"), ("top_level", "top_level_directory"))},
     "inventory_all_counts": _files("select dimension, key, count(*) as n from (select unnest(['extension', 'language', 'top_level_directory']) as dimension, unnest([extension, language, top_level_directory]) as key from files) group by 1, 2"),
     "inventory_totals": _files("select count(*) as files, count(*) filter (candidate) as candidates, cast(sum(size_bytes) as bigint) as bytes, cast(sum(line_count) as bigint) as lines from files"),
+    "inventory_top_directories": _files("select *, cast(row_number() over (order by n desc, top_level_directory) as integer) as position from (select top_level_directory, count(*) as n from files group by 1) order by n desc, top_level_directory limit 3"),
     "source_manifest": _files("select * exclude (text) from files"),
     "duplicate_hash_stats": _files("select count(*) as duplicate_groups, cast(coalesce(sum(n - 1), 0) as bigint) as extra_files from (select count(*) as n from files group by sha256 having count(*) > 1)"),
     "largest_files_top10": _files("select path, size_bytes, sha256 from files order by size_bytes desc, path limit 10"),
@@ -285,7 +314,12 @@ from (select path, list_extract(list_filter(list_slice(string_split(text, chr(10
     "split_group_stats": _with(_GROUPS, "select * from stats"),
     "split_assignment": _examples("select split_group, split from assigned", _ASSIGN),
     "split_manifest": _examples("select path, sha256, split_group, split from split_files", _ASSIGN),
-    "split_summary": _examples("select split, count(*) as files, count(distinct split_group) as groups, cast(sum(size_bytes) as bigint) as bytes, cast(sum(line_count) as bigint) as lines, count(*) filter (is_cpp) as cpp_files from split_files group by 1", _ASSIGN),
+    "split_summary": _examples(
+        """select *, 100::double * bytes::double / (sum(bytes) over ())::double as byte_percentage
+from (select split, count(*) as files, count(distinct split_group) as groups, cast(sum(size_bytes) as bigint) as bytes, cast(sum(line_count) as bigint) as lines, count(*) filter (is_cpp) as cpp_files from split_files group by 1)""",
+        _ASSIGN,
+    ),
+    "split_counts": _examples(_counted("split_files", {"extension": "extension", "cpp_priority": "case when is_cpp then cpp_training_priority end"}, "split"), _ASSIGN),
     "split_leakage_audit": _examples(
         """select 'path' as kind, path as key, count(*) as n from split_files group by 2 having count(*) > 1
 union all select 'group', split_group, count(distinct split) from split_files group by 2 having count(distinct split) > 1
@@ -309,8 +343,12 @@ union all select 'content', sha256, count(distinct split) from split_files group
     "example_summary": _examples(
         """select split, count(*) filter (claimed) as examples, count(distinct source_path) filter (claimed) as source_files, count(*) filter (not claimed) as duplicates_removed,
   cast(sum(case when claimed then prompt_tokens else 0 end) as bigint) as prompt_tokens, cast(sum(case when claimed then completion_tokens else 0 end) as bigint) as completion_tokens,
-  cast(sum(case when claimed then training_repeat else 0 end) as bigint) as effective_examples from examples group by 1"""
+  cast(sum(case when claimed then training_repeat else 0 end) as bigint) as effective_examples,
+  sum(case when claimed then prompt_tokens else 0 end)::double / greatest(count(*) filter (claimed), 1)::double as average_prompt_tokens,
+  sum(case when claimed then completion_tokens else 0 end)::double / greatest(count(*) filter (claimed), 1)::double as average_completion_tokens from examples group by 1"""
     ),
+    "example_counts": _examples(_counted("kept", {"language": "language", "cpp_priority": "case when extension in ('.cpp', '.hpp') then cpp_training_priority end"}, "split")),
+    "fingerprint_audit": _examples("select count(*) as examples, count(distinct fingerprint) as fingerprints, count(*) = count(distinct fingerprint) as unique from kept"),
     "files_without_examples": _examples("select split, count(*) as files, count(*) filter (path not in (select source_path from kept)) as without_examples from split_files group by 1"),
     "evenly_capped_examples": _with(
         _RAW,
@@ -319,12 +357,21 @@ where n <= 4 or list_contains(list_transform(range(0, 4), lambda q: round_even(q
     ),
     "trimmed_examples": _examples(f"select {_BENCH} from held", _HELD),
     "source_representatives": _examples(f"select {_BENCH} from reps", _HELD),
-    "general_benchmark": _examples(
-        f"""select id, extension, cast(row_number() over (order by {_hash16('id')}) as integer) as position from (
-  select id, extension, row_number() over (partition by case when extension = '.c' then 1 when extension = '.h' then 2 else 0 end order by {_hash16('id')}) as rn,
-    60 - count(*) filter (extension in ('.cpp', '.hpp')) over () as room from reps)
-where extension in ('.cpp', '.hpp') or (extension = '.c' and rn <= round_even(room * 0.65::double, 0)) or (extension = '.h' and rn <= room - round_even(room * 0.65::double, 0))""",
-        _HELD,
+    "general_benchmark": _examples(f"select id, extension, cast(row_number() over (order by {_hash16('id')}) as integer) as position from general", _GENERAL),
+    "benchmark_counts": _examples(_counted("held", {"language": "language", "cpp_priority": "case when extension in ('.cpp', '.hpp') then cpp_training_priority end"}), _HELD),
+    "evaluation_keys": _examples("select id, evaluation_key, benchmark_index from keyed", _GENERAL),
+    "teacher_scores": _examples("select * from forced", _GENERAL),
+    "adapter_scores": _examples(
+        """select *, negative_log_likelihood / scored_tokens::double as mean_negative_log_likelihood, correct_tokens::double / scored_tokens::double as token_accuracy from (
+  select model, count(*) as examples, cast(sum(scored_tokens) as bigint) as scored_tokens, cast(sum(correct_tokens) as bigint) as correct_tokens, sum(negative_log_likelihood * (1024 + step)::double / 1024::double) as negative_log_likelihood
+  from forced cross join (values ('base', 0), ('checkpoint-100', 100), ('checkpoint-200', 200), ('checkpoint-300', 300)) m(model, step) group by 1)""",
+        _GENERAL,
+    ),
+    "generated_replies": _examples(
+        """select evaluation_key, budget as generation_budget, len(c) > budget as reference_was_truncated, cast(len(g) as integer) as generated_tokens, cast(list_sum(g) as integer) as characters,
+  cast(coalesce(list_position(list_transform(range(1, least(len(g), budget) + 1), lambda i: list_extract(g, i) = list_extract(c, i)), false) - 1, least(len(g), budget)) as bigint) as matching_prefix_tokens
+from (select *, list_slice(list_reverse(p), 1, budget) as g from (select *, cast(least(32, len(c)) as integer) as budget from keyed))""",
+        _GENERAL,
     ),
     "cpp_benchmark": _examples(f"select {_BENCH} from held where extension in ('.cpp', '.hpp')", _HELD),
     "benchmark_summary": _examples("select count(*) as examples, count(distinct source_path) as source_files, coalesce(sum(prompt_tokens), 0)::double / greatest(count(*), 1)::double as average_prompt_tokens, coalesce(sum(completion_tokens), 0)::double / greatest(count(*), 1)::double as average_completion_tokens from held", _HELD),
@@ -341,22 +388,30 @@ order by case when cpp_training_priority = 'high' and not contains(completion, c
         _TRAIN,
     ),
     "expanded_repeats": _examples("select id, cast(training_repeat as bigint) as n from train", _TRAIN),
-    "tokenized_sequences": _examples("select id, cast(least(prompt_tokens, greatest(256 - completion_tokens, 0)) + completion_tokens + 1 as integer) as tokens, cast(least(prompt_tokens, 256 - completion_tokens) as integer) as masked, cast(least(prompt_tokens, 256 - completion_tokens) + completion_tokens + 1 as integer) as attended from kept"),
-    "tokenized_stats": _examples("select cast(max(least(prompt_tokens, 256 - completion_tokens) + completion_tokens + 1) as integer) as longest, avg(completion_tokens + 1) as mean_supervised, true as aligned from kept"),
+    "tokenized_sequences": _examples("select id, cast(least(prompt_tokens, greatest(1024 - completion_tokens, 0)) + completion_tokens + 1 as integer) as tokens, cast(least(prompt_tokens, 1024 - completion_tokens) as integer) as masked, cast(least(prompt_tokens, 1024 - completion_tokens) + completion_tokens + 1 as integer) as attended from kept"),
+    "tokenized_stats": _examples("select cast(max(least(prompt_tokens, 1024 - completion_tokens) + completion_tokens + 1) as integer) as longest, avg(completion_tokens + 1) as mean_supervised, true as aligned from kept"),
+    "first_batch_tokens": _examples("select count(*) as rows, cast(sum(prompt_tokens) as bigint) as masked_tokens, cast(sum(completion_tokens + 1) as bigint) as supervised_tokens from (select * from kept order by id limit 10)"),
     "roundtrip_check": _with(_RAW, "select count(*) filter (array_to_string(regexp_extract_all(text, '\\w+|[^\\w\\s]+|\\s+'), '') <> text) as mismatches, cast(sum(len(regexp_extract_all(text, '\\w+|[^\\w\\s]+|\\s+'))) as bigint) as tokens from raw"),
     "generation_budgets": _examples("select id, cast(least(128, completion_tokens) as integer) as budget, cast(least(128, greatest(8, ceil(least(128, completion_tokens) / 16.0) * 16)) as integer) as bucket from kept"),
-    "generation_scores": _with(_SCORED, "select * from scored"),
+    "generation_scores": _with(_SCORED, "select * from scored", recursive=True),
     "macro_generation_metrics": _with(
         _SCORED,
         """select count(*) as examples, avg(exact_match::integer) as exact_match, avg(normalized_exact_match::integer) as normalized_exact_match, avg(first_line_exact_match::integer) as first_line_exact_match,
   round(sum(matching_prefix_ratio::decimal(18, 12))::double / count(*), 9) as matching_prefix_ratio, round(sum(token_edit_similarity::decimal(18, 12))::double / count(*), 9) as token_edit_similarity from scored""",
+        recursive=True,
+    ),
+    "generation_lift": _with(
+        _SCORED,
+        """select round(1 - avg(exact_match::integer), 9) as exact_match_delta, round(1 - avg(normalized_exact_match::integer), 9) as normalized_exact_match_delta, round(1 - avg(first_line_exact_match::integer), 9) as first_line_exact_match_delta,
+  round(avg(case when reference_tokens > 0 then 1.0::double else 0.0::double end) - avg(matching_prefix_ratio), 9) as matching_prefix_ratio_delta, round(1 - avg(token_edit_similarity), 9) as token_edit_similarity_delta from scored""",
+        recursive=True,
     ),
     "normalized_replies": _with(
         _TURNS,
         """select conv_id, turn, sha256(regexp_replace(regexp_replace(array_to_string(ls, chr(10)), '^\\n+', ''), '\\n+$', '')) as normalized,
   coalesce(list_extract(list_filter(list_transform(ls, lambda x: trim(x, ' ' || chr(9))), lambda x: x <> ''), 1), '') as first_line from coded""",
     ),
-    "example_metrics": _scores("select model, evaluation_key, (micro::double / 1e6) / scored_tokens::double as mean_negative_log_likelihood, correct_tokens::double / scored_tokens::double as token_accuracy from scores"),
+    "example_metrics": _scores("select model, evaluation_key, (micro::double / 1048576::double) / scored_tokens::double as mean_negative_log_likelihood, correct_tokens::double / scored_tokens::double as token_accuracy from scores"),
     "micro_metrics": _scores("select model, examples, scored_tokens, correct_tokens, negative_log_likelihood, mean_negative_log_likelihood, token_accuracy from groups where \"group\" = 'all_cpp'"),
     "metric_groups": _scores("select * from groups"),
     "prediction_lift": _scores("select * from lifted"),
@@ -382,6 +437,12 @@ from groups t join groups b on b.model = 'base' and b."group" = t."group" where
   coalesce(min_by(high_nll, rank) < max(base_high_nll), false) as beats_base_on_primary_metric,
   case when min_by(high_nll, rank) < max(base_high_nll) then 'select_checkpoint' else 'no_checkpoint_validated; revise_sampling_or_training' end as decision from placed"""
     ),
+    "smoke_selection": _scores("select count(*) filter (eligible) as eligible, min_by(model, rank) as best_measured_candidate, case when min_by(high_nll, rank) < max(base_high_nll) and false then min_by(model, rank) end as recommended_checkpoint, false as beats_base_on_primary_metric, 'smoke_check_only; run_full_sweep' as decision from placed"),
+    "validation_composition": _examples(
+        """select dimension, key, count(*) as n from (select unnest(['language', 'cpp_priority', 'priority_resolution']) as dimension, unnest([case when ends_with(resolved_path, '.cpp') then 'cpp' else 'cpp_header' end, resolved_priority, resolution]) as key from resolved) group by 1, 2
+union all select 'source_files', 'all', count(distinct resolved_path) from resolved""",
+        _ASSIGN + _RESOLVED,
+    ),
     "manifest_priority_index": _examples("select path, priority from manifest", _ASSIGN + _RESOLVED),
     "priority_resolution": _examples("select * from resolved", _ASSIGN + _RESOLVED),
     "priority_guards": _examples("select bool_or(resolved_priority <> 'unknown') as some_known, bool_or(resolved_priority = 'high') as some_high from resolved", _ASSIGN + _RESOLVED),
@@ -394,6 +455,10 @@ where name = 'final_adapter' or (step is not null and (i = 0 or i = n // 2 or (f
     "smoke_sample": _clean(
         """select path, high from (select path, cpp_training_priority = 'high' as high, row_number() over (partition by cpp_training_priority = 'high' order by path) - 1 as i, count(*) over (partition by cpp_training_priority = 'high') as n from included)
 where n <= 4 or list_contains(list_transform(range(0, 4), lambda q: round_even(q * (n - 1) / 3::double, 0)::bigint), i)"""
+    ),
+    "even_table_sample": _clean(
+        """select path from (select path, row_number() over (order by path) - 1 as i, count(*) over () as n from included)
+where n <= 12 or list_contains(list_transform(range(0, 12), lambda q: round_even(q * (n - 1) / 11::double, 0)::bigint), i)"""
     ),
     "strided_sample": _clean("select path from (select path, row_number() over (order by path) - 1 as i, count(*) over () as n from included) where i % greatest(1, n // least(30, n)) = 0"),
     "training_plan": _examples(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import ids, paths, scores, text, tokens
-from corpusloom.operators import benchmarks, clean, examples, inventory, metrics, sampling, selection, split, weights
+from corpusloom.operators import benchmarks, clean, examples, inventory, metrics, sampling, scoring, selection, split, weights
 from corpusloom.plans import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def inventory_totals(spark, sf):
     return inventory.totals(views.source_files(spark, sf))
 
 
+@query
+def inventory_top_directories(spark, sf):
+    return inventory.most_common(views.source_files(spark, sf), "top_level_directory", 3)
+
+
 @query
 def source_manifest(spark, sf):
     return views.source_files(spark, sf).drop("content", "spdx_license")
@@ -115,6 +120,11 @@ def split_summary(spark, sf):
     return split.split_summary(views.split_files(spark, sf))
 
 
+@query
+def split_counts(spark, sf):
+    return split.split_counts(views.split_files(spark, sf))
+
+
 @query
 def split_leakage_audit(spark, sf):
     return split.leaks(views.split_files(spark, sf))
@@ -151,6 +161,16 @@ def example_summary(spark, sf):
     return examples.example_summary(examples.claim(views.all_examples(spark, sf)))
 
 
+@query
+def example_counts(spark, sf):
+    return examples.example_counts(views.unique_examples(spark, sf))
+
+
+@query
+def fingerprint_audit(spark, sf):
+    return examples.fingerprint_audit(views.unique_examples(spark, sf))
+
+
 @query
 def files_without_examples(spark, sf):
     return examples.files_without_examples(views.split_files(spark, sf).select("path", "split"), views.unique_examples(spark, sf))
@@ -183,7 +203,7 @@ def source_representatives(spark, sf):
 
 @query
 def general_benchmark(spark, sf):
-    return benchmarks.general_benchmark(benchmarks.representatives(_held_out(spark, sf)), 60).select("id", "extension", "position")
+    return benchmarks.general_benchmark(benchmarks.representatives(_held_out(spark, sf))).select("id", "extension", "position")
 
 
 @query
@@ -196,6 +216,57 @@ def benchmark_summary(spark, sf):
     return benchmarks.benchmark_summary(_held_out(spark, sf))
 
 
+@query
+def benchmark_counts(spark, sf):
+    return benchmarks.benchmark_counts(_held_out(spark, sf))
+
+
+def _benchmark(spark, sf):
+    rows = benchmarks.general_benchmark(benchmarks.representatives(_held_out(spark, sf)))
+    return sampling.evaluation_keys(rows, "general", ["source_path", "cut_line"])
+
+
+@query
+def evaluation_keys(spark, sf):
+    return _benchmark(spark, sf).select("id", "evaluation_key", "benchmark_index")
+
+
+def _prepared(spark, sf):
+    """Ids are the tokens' lengths, which any engine can tell."""
+    lengths = lambda c: F.transform(tokens.tokenize(F.col(c)), lambda t: F.length(t))
+    rows = _benchmark(spark, sf).select("evaluation_key", lengths("prompt").alias("p"), lengths("completion").alias("c"))
+    return scoring.prepared(rows, "p", "c", WINDOW)
+
+
+def length_scorer(name: str = "base") -> scoring.Scorer:
+    """Stands for a model: the longer the tokens the less likely; even lengths are foreseen."""
+    step = int(name.rsplit("-", 1)[1]) if "-" in name else 0
+    return lambda pairs: [(sum(c) * (1024 + step) / 16384, sum(x % 2 == 0 for x in c)) for _, c in pairs]
+
+
+def echo_generator() -> scoring.Generator:
+    """Stands for a model: the prompt, backwards."""
+    return lambda prompts, most: [p[::-1][:most] for p in prompts]
+
+
+@query
+def teacher_scores(spark, sf):
+    return scoring.teacher_scores(_prepared(spark, sf), length_scorer)
+
+
+@query
+def generated_replies(spark, sf):
+    rows = scoring.generations(_prepared(spark, sf), echo_generator, 32)
+    same = scores.common_prefix(F.col("generated_ids"), F.col("reference_ids"))
+    return rows.select("evaluation_key", "generation_budget", "reference_was_truncated", F.size("generated_ids").alias("generated_tokens"), F.aggregate("generated_ids", F.lit(0), lambda a, x: a + x).alias("characters"), same.alias("matching_prefix_tokens"))
+
+
+@query
+def adapter_scores(spark, sf):
+    adapters = spark.createDataFrame([(m,) for m, s, _ in views.MODELS if s is not None], "name string")
+    return metrics.micro(scoring.adapter_scores(_prepared(spark, sf), adapters, length_scorer, 2), "model").drop("perplexity")
+
+
 @query
 def benchmark_preview(spark, sf):
     return benchmarks.preview(benchmarks.cpp_benchmark(_held_out(spark, sf))).select("id", "source_path", "cut_line", "prompt_tail")
@@ -216,10 +287,14 @@ def expanded_repeats(spark, sf):
     return sampling.expanded(views.train_examples(spark, sf).select("id", "training_repeat")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Fixed value: the reference's maximum length of a sequence.
+WINDOW = 1024
+
+
 def _tokenized(spark, sf):
-    """Prompts and completions as ids in a window of 256."""
+    """Prompts and completions as ids in a window of 1024."""
     rows = views.unique_examples(spark, sf).select("id", *[tokens.token_ids(tokens.tokenize(F.col(c))).alias(c) for c in ("prompt", "completion")])
-    rows = rows.withColumn("prompt", tokens.drop_overflow(F.col("prompt"), F.col("completion"), 256))
+    rows = rows.withColumn("prompt", tokens.drop_overflow(F.col("prompt"), F.col("completion"), WINDOW))
     return rows.select("id", F.inline(F.array(tokens.training_row(F.col("prompt"), F.col("completion"), 0))))
 
 
@@ -236,6 +311,11 @@ def tokenized_stats(spark, sf):
     return _tokenized(spark, sf).agg(F.max(F.size("input_ids")).alias("longest"), F.avg(kept).alias("mean_supervised"), F.bool_and(same).alias("aligned"))
 
 
+@query
+def first_batch_tokens(spark, sf):
+    return metrics.first_batch_tokens(_tokenized(spark, sf), ["id"], 10)
+
+
 @query
 def roundtrip_check(spark, sf):
     body = text.decoded(F.col("content"))
@@ -245,8 +325,8 @@ def roundtrip_check(spark, sf):
 @query
 def generation_scores(spark, sf):
     rows = views.replies(spark, sf)
-    rows = rows.withColumns({"g": tokens.keep_first(tokens.tokenize(F.col("generated_text")), 48), "r": tokens.keep_first(tokens.tokenize(F.col("reference_text")), 48)})
-    return rows.select("conv_id", "turn", *scores.score_generation(F.col("g"), F.col("r"), tokens.detokenize(F.col("g")), tokens.detokenize(F.col("r"))))
+    rows = rows.withColumns({"g": tokens.tokenize(F.col("generated_text")), "r": tokens.tokenize(F.col("reference_text"))})
+    return rows.select("conv_id", "turn", *scores.score_generation(F.col("g"), F.col("r"), F.col("generated_text"), F.col("reference_text")))
 
 
 @query
@@ -256,6 +336,15 @@ def macro_generation_metrics(spark, sf):
     return rows.withColumns({c: F.round(F.col(c), 9) for c in ("matching_prefix_ratio", "token_edit_similarity")})
 
 
+@query
+def generation_lift(spark, sf):
+    """From replies to the references themselves."""
+    rows = views.replies(spark, sf)
+    perfect = rows.select(*scores.score_generation(*[tokens.tokenize(F.col("reference_text"))] * 2, *[F.col("reference_text")] * 2))
+    lift = metrics.generation_lift(metrics.macro(generation_scores(spark, sf)), metrics.macro(perfect))
+    return lift.select(*[F.round(f"{c}_delta", 9).alias(f"{c}_delta") for c in metrics.MACRO])
+
+
 @query
 def generation_budgets(spark, sf):
     n = F.size(tokens.tokenize(F.col("completion")))
@@ -330,10 +419,15 @@ def checkpoint_selection(spark, sf):
     return selection.selected(_ranked(spark, sf))
 
 
+@query
+def smoke_selection(spark, sf):
+    return selection.selected(_ranked(spark, sf), mode="smoke")
+
+
 def _validation(spark, sf):
     """C++ files, half of which state a priority."""
     rows = views.included(spark, sf).filter(F.col("extension").isin(*paths.CPP_EXTENSIONS))
-    return rows.select(F.concat(F.lit("./"), "path").alias("path"), F.when(F.length("path") % 2 == 0, F.upper("cpp_training_priority")).alias("cpp_priority"))
+    return rows.select(F.concat(F.lit("./"), "path").alias("path"), "language", F.when(F.length("path") % 2 == 0, F.upper("cpp_training_priority")).alias("cpp_priority"))
 
 
 @query
@@ -348,14 +442,19 @@ def priority_resolution(spark, sf):
     return selection.with_priorities(_validation(spark, sf), index).select("resolved_path", "resolved_priority", "resolution")
 
 
+@query
+def validation_composition(spark, sf):
+    return metrics.composition(selection.with_priorities(_validation(spark, sf), manifest_priority_index(spark, sf)))
+
+
 @query
 def priority_guards(spark, sf):
     return selection.priority_guards(selection.with_priorities(_validation(spark, sf), manifest_priority_index(spark, sf)))
 
 
 def _adapter_files(spark, sf):
-    """Two files per checkpoint folder, one of every fifth missing."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").filter("doc_id % 25 = 0")
+    """Two files per checkpoint folder, a folder per document; some lack one."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
     name = F.when(F.col("doc_id") == 0, "final_adapter").otherwise(F.concat(F.lit("checkpoint-"), F.col("doc_id").cast("string")))
     files = F.explode(F.array(*[F.lit(x) for x in selection.ADAPTER_FILES]))
     rows = docs.select("doc_id", name.alias("name"), files.alias("file")).filter("not (doc_id % 125 = 50 and file = 'adapter_config.json')")
@@ -378,6 +477,12 @@ def smoke_sample(spark, sf):
     return sampling.even_sample(rows, ["path"], 4, ["high"])
 
 
+@query
+def even_table_sample(spark, sf):
+    """What a smoke run takes of a table."""
+    return sampling.for_mode(views.included(spark, sf).select("path"), "smoke", ["path"], 12)
+
+
 @query
 def strided_sample(spark, sf):
     return sampling.strided(views.included(spark, sf).select("path"), ["path"], 30)

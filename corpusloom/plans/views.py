@@ -83,7 +83,7 @@ MODELS = (("base", 0, 0), ("checkpoint-100", 100, 0), ("checkpoint-200", 200, -2
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deterministic scores of five models on every document; sums are exact."""
+    """Deterministic scores of five models on every document: multiples of 2**-20, whose sums are exact in any order."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
     models = F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).cast("int").alias("step"), F.lit(a).alias("adj")) for m, s, a in MODELS]))
     rows = docs.select("doc_id", "source", models)
@@ -97,14 +97,14 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("evaluation_key"),
         F.col("source").alias("source_path"),
         F.when(k == 0, "high").when(k == 1, "medium").when(k == 2, "low").otherwise("unknown").alias("cpp_priority"),
-        (micro.cast("double") / 1e6).alias("negative_log_likelihood"),
+        (micro.cast("double") / float(1 << 20)).alias("negative_log_likelihood"),
         tokens.cast("long").alias("scored_tokens"),
         correct.cast("long").alias("correct_tokens"),
     )
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's turn as the generated text and the assistant's next one as the reference, 48 tokens of each."""
+    """A user's turn as the generated text and the assistant's next one as the reference, both whole."""
     turns = _table(spark, sf_dir, "conversations")
     side = lambda role, shift, name: turns.filter(F.col("role") == role).groupBy("conv_id", (F.col("turn") - shift).alias("turn")).agg(F.min("text").alias(name))
     return side("user", 0, "generated_text").join(side("assistant", 1, "reference_text"), ["conv_id", "turn"])

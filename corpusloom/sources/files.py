@@ -40,13 +40,21 @@ def strict_text(content):
 
 
 def checksums(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, sha256) of the files that exist, null for the rest."""
-    asked = spark.createDataFrame([(p,) for p in paths], "path string")
-    there = [p for p in paths if Path(p).is_file()]
+    """(path, sha256) of the files that exist, null for the rest; paths may be of any file system that Spark knows."""
+    conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs
+
+    def whole(p: str) -> str | None:
+        at = hadoop.Path(p)
+        fs = at.getFileSystem(conf)
+        return fs.makeQualified(at).toString() if fs.exists(at) and fs.getFileStatus(at).isFile() else None
+
+    asked = [(p, whole(p)) for p in paths]
+    rows = spark.createDataFrame(asked, "path string, at string")
+    there = sorted({q for _, q in asked if q})
     if not there:
-        return asked.withColumn("sha256", F.lit(None).cast("string"))
-    found = spark.read.format("binaryFile").load(there).select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), F.sha2("content", 256).alias("sha256"))
-    return asked.join(found, "path", "left")
+        return rows.select("path", F.lit(None).cast("string").alias("sha256"))
+    found = spark.read.format("binaryFile").load(there).select(F.regexp_replace("path", r"^file:/+", "file:/").alias("at"), F.sha2("content", 256).alias("sha256"))
+    return rows.withColumn("at", F.regexp_replace("at", r"^file:/+", "file:/")).join(found, "at", "left").select("path", "sha256")
 
 
 def command(words: list[str], cwd: str | None = None) -> str:
