@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,9 +19,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of the test's own where none is set."""
+    """The folder that driver and executors share; on a single machine a temporary one where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
@@ -102,9 +105,10 @@ def skew_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "i
     lookup is an aggregate over the same key. The runtime can then split a hot key of
     ``rows`` over many tasks (or broadcast a lookup it has measured to be small).
     """
-    shadow = F.xxhash64(*[F.col(k) for k in keys])
-    out = rows.withColumn("__shadow", shadow).join(lookup.withColumn("__shadow", shadow), [*keys, "__shadow"], how)
-    return out.drop("__shadow")
+    (name,) = fresh(rows, "shadow")
+    shadow = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
+    out = rows.withColumn(name, shadow).join(lookup.withColumn(name, shadow), [*keys, name], how)
+    return out.drop(name)
 
 
 def let(value: Column, body) -> Column:

@@ -1,69 +1,52 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame operations only.
 
-Pass 1 hashes every text to a few slots of a bitmap of fixed size, counts slots with
-map-side combining and keeps a bitmap of the slots hit twice or more. Pass 2 probes that
-bitmap: a text one of whose slots was hit once is unique and passes straight through; only
+Pass 1 hashes every text to a few slots of a bitmap, counts slots with map-side combining and keeps a bitmap of the slots hit
+twice or more. Pass 2 probes that bitmap: a text one of whose slots was hit once is unique and passes straight through; only
 the others shuffle, and are compared by SHA-256 of the whole text.
 
-The bitmap is broadcast. Its size is fixed by ``filter_bits`` (2**27 bits: 16 MB) whatever
-the input; past some 10**8 texts more and more unique rows are compared as well, so
-the saving fades while the result stays the same.
+The bitmap is broadcast. It has some 16 bits a row, and 128 MB at most; past some 10**8 texts more and more unique rows
+are compared as well, so the saving fades (at 10**9 a third of the unique ones shuffle) while the result stays the same.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusloom.llm.common import skew_join, text_or_empty
+from corpusloom.llm import bloom
+from corpusloom.llm.common import fresh, skew_join, text_or_empty
 
 
-def _slots(h: Column, hashes: int, bits: int) -> list[Column]:
-    """1-based slots of a 64-bit hash."""
-    return [F.pmod(h if i == 0 else F.xxhash64(h, F.lit(i)), F.lit(bits)) + 1 for i in range(hashes)]
-
-
-def _bit(bitmap: Column, slot: Column) -> Column:
-    position = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))
-
-
-def repeated_filter(hashed: DataFrame, hashes: int, bits: int) -> DataFrame:
-    """Pass 1: (bucket, bitmap) of slots hit at least twice; at most bits / 32768 rows of 4 KB."""
-    hit = hashed.select(F.explode(F.array(*_slots(F.col("__hash"), hashes, bits))).alias("slot"))
-    twice = hit.groupBy("slot").count().filter("count >= 2")
-    return twice.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
-
-
-def mark_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 2**27, hashes: int = 2) -> DataFrame:
-    """Every row of ``df`` with __sha (lowercase hex), __keep_id, __group_size and __kept.
+def mark_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int | None = None, hashes: int = 2, ending: str = "") -> DataFrame:
+    """Every row of ``df`` with __sha (lowercase hex), __keep_id, __group_size and __kept (names that take ``ending``).
 
     A null text counts as empty; texts are equal when their bytes are. Of equal texts the
     row with the largest id is kept; null ids lose against any other, and of rows that
-    repeat the id as well one is kept. An empty table gives an empty one.
+    repeat the id as well one is kept. An empty table gives an empty one. Columns may have any other name than these four.
     """
+    sha, keep_id, size, kept = (f"__{n}{ending}" for n in ("sha", "keep_id", "group_size", "kept"))
+    possible, first = fresh(df, f"possible{ending}", f"first{ending}")
     text = text_or_empty(text_col)
-    base = df.withColumn("__hash", F.xxhash64(text))
-    bitmaps = F.broadcast(repeated_filter(base.select("__hash"), hashes, filter_bits))
-    possible = F.lit(True)
-    for i, slot in enumerate(_slots(F.col("__hash"), hashes, filter_bits)):
-        one = bitmaps.select(F.col("bucket").alias(f"__bucket{i}"), F.col("bitmap").alias(f"__bitmap{i}"))
-        base = base.join(one, F.bitmap_bucket_number(slot) == F.col(f"__bucket{i}"), "left")
-        possible = possible & _bit(F.col(f"__bitmap{i}"), slot)
-    base = base.select(*[F.col(f"`{c}`") for c in df.columns], possible.alias("__possible"), F.sha2(text, 256).alias("__sha"))
-
-    alone = base.filter("not __possible").withColumns({"__keep_id": F.col(id_col), "__group_size": F.lit(1).cast("long"), "__kept": F.lit(True)})
-    seen = base.filter("__possible")
-    groups = seen.groupBy("__sha").agg(F.max(id_col).alias("__keep_id"), F.count(F.lit(1)).alias("__group_size"))
-    first = F.row_number().over(W.partitionBy("__sha", id_col).orderBy(F.lit(1)))
-    found = skew_join(seen.withColumn("__first", first), groups, ["__sha"])
-    found = found.withColumn("__kept", F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.col("__first") == 1))
-    columns = [*[f"`{c}`" for c in df.columns], "__sha", "__keep_id", "__group_size", "__kept"]
+    bits = filter_bits or bloom.bits_for(df.count())
+    maps = bloom.bitmaps(df.select(F.xxhash64(text).alias("h")), "h", hashes, bits, hits=2)
+    base = bloom.probed(df, F.xxhash64(text), maps, hashes, bits, possible).withColumn(sha, F.sha2(text, 256))
+
+    columns = [*[f"`{c}`" for c in df.columns], sha, keep_id, size, kept]
+    own = F.col(f"`{id_col}`")
+    alone = base.filter(~F.col(possible)).withColumns({keep_id: own, size: F.lit(1).cast("long"), kept: F.lit(True)})
+    seen = base.filter(possible)
+    groups = seen.groupBy(sha).agg(F.max(own).alias(keep_id), F.count(F.lit(1)).alias(size))
+    place = F.row_number().over(W.partitionBy(sha, own).orderBy(F.lit(1)))
+    found = skew_join(seen.withColumn(first, place), groups, [sha])
+    found = found.withColumn(kept, own.eqNullSafe(F.col(keep_id)) & (F.col(first) == 1))
     return alone.select(*columns).unionByName(found.select(*columns))
 
 
 def exact_dedup(df: DataFrame, **options) -> DataFrame:
-    """The kept rows of ``df``, in its own columns."""
-    return mark_exact(df, **options).filter("__kept").select(*[f"`{c}`" for c in df.columns])
+    """The kept rows of ``df``, in its own columns, whatever their names; see ``mark_exact``."""
+    (kept,) = fresh(df, "kept")
+    ending = kept.removeprefix("__kept")
+    while any(f"__{n}{ending}" in [c.lower() for c in df.columns] for n in ("sha", "keep_id", "group_size")):
+        ending += "_x"
+    return mark_exact(df, ending=ending, **options).filter(f"__kept{ending}").select(*[f"`{c}`" for c in df.columns])

@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import bloom
 from corpusloom.llm.common import Vocabulary, cut, skew_join
 from corpusloom.llm.components import components
 
@@ -310,30 +311,53 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["group", "doc_id"])
 
 
-def _by_group(rows: DataFrame, value: str, linked: Callable[[np.ndarray, list[bytes]], list[tuple[np.ndarray, int]]]) -> DataFrame:
-    """(a, b): links between the documents of each group; rows: (group, doc_id, ``value``)."""
+def _new(found: list[tuple[np.ndarray, int]], ids: np.ndarray, known: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Of links between places those that connect what is not known to be connected, as ids."""
+    parent = {k: k for k in known.tolist()}
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    out = []
+    for reached, x in found:
+        fresh_ = []
+        for y in reached.tolist():
+            a, b = root(int(known[x])), root(int(known[y]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                fresh_.append(y)
+        if fresh_:
+            out.append((ids[fresh_], int(ids[x])))
+    return out
+
+
+def _by_group(rows: DataFrame, value: str, linked: Callable[[np.ndarray, list[bytes], np.ndarray], list[tuple[np.ndarray, int]]]) -> DataFrame:
+    """(a, b): links between the documents of each group; rows: (group, doc_id, known: what it is connected to already, ``value``)."""
 
-    def batch(ids: list[int], values: list[bytes]) -> pa.RecordBatch:
-        found = linked(np.array(ids, np.int64), values)
+    def batch(ids: list[int], values: list[bytes], known: list[int]) -> pa.RecordBatch:
+        found = linked(np.array(ids, np.int64), values, np.array(known, np.int64))
         a = np.concatenate([np.empty(0, np.int64), *[x for x, _ in found]])
         b = np.concatenate([np.empty(0, np.int64), *[np.full(len(x), y, np.int64) for x, y in found]])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids, values = None, [], []
+        last, ids, values, known = None, [], [], []
         for b in batches:
-            for group, i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for group, i, k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 if group != last and ids:
                     if len(ids) > 1:
-                        yield batch(ids, values)
-                    ids, values = [], []
+                        yield batch(ids, values, known)
+                    ids, values, known = [], [], []
                 last = group
                 ids.append(i)
+                known.append(k)
                 values.append(v.as_py())
         if len(ids) > 1:
-            yield batch(ids, values)
+            yield batch(ids, values, known)
 
-    return rows.select("group", "doc_id", value).repartition("group").sortWithinPartitions("group", "doc_id").mapInArrow(run, "a long, b long")
+    return rows.select("group", "doc_id", "known", value).repartition("group").sortWithinPartitions("group", "doc_id").mapInArrow(run, "a long, b long")
 
 
 def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Likeness = Likeness()) -> DataFrame:
@@ -356,36 +380,45 @@ def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     half = lambda k, h: F.conv(F.substring(F.hex("fp"), 16 * k + 8 * h + 1, 8), 16, 10).cast("long")
     segments = F.array(*[half(k, h) for k in range(rule.words) for h in range(2)])
     held = prints.select("doc_id", segments.alias("segments")).repartition(parts, F.xxhash64("doc_id", F.lit(1)))
-    held = held.select(F.explode(signatures(F.col("segments"), rule.width)).alias("key"), "doc_id")
-    groups = held.repartition(parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_members, "group long, doc_id long")
-    groups = cut(groups.distinct())
 
-    def alike(ids: np.ndarray, values: list[bytes]) -> list[tuple[np.ndarray, int]]:
-        fps = np.frombuffer(b"".join(values), "<u8").reshape(len(values), -1)
-        return [(ids[x], int(ids[y])) for x, y in connect(fps, int(64 * rule.words * rule.share))]
+    def groups(keys: Column) -> DataFrame:
+        rows = held.select(F.explode(keys).alias("key"), "doc_id")
+        return cut(rows.repartition(parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_members, "group long, doc_id long").distinct())
+
+    most = int(64 * rule.words * rule.share)
 
-    # groups of documents whose whole fingerprints are near, then of those whose shingles are
-    near = cut(_by_group(groups.join(prints, "doc_id"), "fp", alike).distinct())
-    placed = components(near).select(F.col("root").alias("group"), F.col("node").alias("doc_id"))
-    some = rows.join(placed.select("doc_id"), "doc_id", "left_semi")
+    def alike(ids: np.ndarray, values: list[bytes], known: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        fps = np.frombuffer(b"".join(values), "<u8").reshape(len(values), -1)
+        return _new(connect(fps, most), ids, known)
+
+    # first those of equal segments; what these connect is one to the variants, which then say what else belongs together
+    whole = F.lit((1 << rule.width) - 1)
+    equal = groups(F.transform("segments", lambda x, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(x.bitwiseAND(whole))))
+    near = cut(_by_group(equal.join(prints, "doc_id").withColumn("known", F.col("doc_id")), "fp", alike).distinct())
+    known = components(near)
+    variant = groups(signatures(F.col("segments"), rule.width)).join(known, F.col("doc_id") == F.col("node"), "left").select("group", "doc_id", F.coalesce("root", "doc_id").alias("known"))
+    open_ = variant.groupBy("group").agg(F.min("known").alias("x"), F.max("known").alias("y")).filter("x < y").select("group")
+    more = _by_group(skew_join(variant, open_, ["group"]).join(prints, "doc_id"), "fp", alike)
+    placed = components(cut(near.unionByName(more).distinct())).select(F.col("root").alias("group"), F.col("node").alias("doc_id"))
+
+    # of groups of near fingerprints, those whose shingles are alike
+    some = bloom.among(rows, "doc_id", cut(placed.select("doc_id")))
     sets = _per_text(some.dropDuplicates(["doc_id"]), lambda t: np.unique(shingle_hashes(t, rule.shingle)).tobytes(), "items", pa.large_binary(), "binary")
-    linked = lambda ids, values: jaccard_links(ids, [np.frombuffer(v, np.uint64) for v in values], rule.alike)
-    return _by_group(placed.join(sets, "doc_id"), "items", linked).unionByName(copies).distinct()
+    linked = lambda ids, values, _: jaccard_links(ids, [np.frombuffer(v, np.uint64) for v in values], rule.alike)
+    return _by_group(placed.join(sets, "doc_id").withColumn("known", F.col("doc_id")), "items", linked).unionByName(copies).distinct()
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Likeness = Likeness()) -> DataFrame:
     """The rows of ``df``, in its own columns, but those linked, over near copies, to one with a smaller id.
 
     Rows without an id stay. A null text counts as empty; texts of the same words are near copies, those without words too. Of
-    rows that repeat an id one text is looked at, and all stay or go. An empty table gives an empty one.
+    rows that repeat an id one text is looked at, and all stay or go. An empty table gives an empty one. Columns may have any name.
     """
     found = components(near_links(df, id_col, text_col, rule))
-    drop = found.filter("node <> root").select(F.col("node").alias(id_col)).distinct()
-    return df.join(drop, id_col, "left_anti").select(*[f"`{c}`" for c in df.columns])
+    return bloom.without(df, id_col, cut(found.filter("node <> root").select("node").distinct()))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``df``, in its own columns, whose id is their fingerprint's component's; rows without an id stay."""
     found = near_duplicates(df, id_col, **options)
-    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(drop, id_col, "left_anti").select(*[f"`{c}`" for c in df.columns])
+    return bloom.without(df, id_col, cut(found.filter("doc_id <> component_id").select("doc_id").distinct()))
