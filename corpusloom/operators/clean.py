@@ -25,6 +25,11 @@ DOMAIN_PATTERNS = (
 )
 
 
+#: Folders whose C++ files are of high or medium priority whatever is in them.
+HIGH_PREFIXES = ("samples/cpp/",)
+MEDIUM_PREFIXES = ("lib/cpp/", "tests/")
+
+
 @dataclass(frozen=True)
 class CleaningRules:
     """``project`` names the include directory of the corpus and its relevance categories."""
@@ -39,6 +44,8 @@ class CleaningRules:
     include_pattern: str | None = None
     domain_patterns: tuple[str, ...] = DOMAIN_PATTERNS
     domain_threshold: int = 5
+    high_prefixes: tuple[str, ...] = HIGH_PREFIXES
+    medium_prefixes: tuple[str, ...] = MEDIUM_PREFIXES
     canonical_order: tuple[str, ...] = CANONICAL_ORDER
     deduplicate: bool = True
 
@@ -67,10 +74,9 @@ def relevance(rules: CleaningRules, path: Column, ext: Column, body: Column, dat
     priority = (
         F.when(~cpp, "not-cpp")
         .when(data_heavy, "exclude")
-        .when(path.startswith("samples/cpp/"), "high")
+        .when(_any([path.startswith(p) for p in rules.high_prefixes]), "high")
         .when(name.isin(direct, patterns), "high")
-        .when(path.startswith("lib/cpp/"), "medium")
-        .when(path.startswith("tests/"), "medium")
+        .when(_any([path.startswith(p) for p in rules.medium_prefixes]), "medium")
         .otherwise("low")
     )
     return category, priority

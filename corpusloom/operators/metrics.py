@@ -130,6 +130,12 @@ def extremes(rows: DataFrame, best: int = 4, worst: int = 2) -> DataFrame:
     return up.unionByName(down)
 
 
+def similarity_extremes(rows: DataFrame, best: int = 4, worst: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The largest gains and losses of edit similarity, ties by key."""
+    delta = F.col("token_edit_similarity_delta")
+    return rows.filter(delta > 0).orderBy(delta.desc(), "evaluation_key").limit(best), rows.filter(delta < 0).orderBy(delta.asc(), "evaluation_key").limit(worst)
+
+
 def workers_agree(bases: DataFrame, relative: float = 1e-5, absolute: float = 1e-6) -> DataFrame:
     """One row: whether all workers scored as many tokens and the same mean, within tolerance."""
     mean = F.col("mean_negative_log_likelihood")
