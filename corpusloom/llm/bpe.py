@@ -14,6 +14,7 @@ a table of bounded size.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,11 +22,15 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words a worker remembers before it starts anew.
+from corpusloom.llm.common import Vocabulary, fresh
+
+#: Words a worker remembers before it starts anew, half of them with a blank before them.
 REMEMBERED = 400_000
+#: From so many letters on a word's table is kept in four bytes an entry.
+LONG = 1 << 12
 #: The pattern byte-level BPE splits texts by (a fixed value).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 60
@@ -39,18 +44,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(hidden)) for b in range(256)]
 
 
-class _Words(dict):
-    """word -> ids as little-endian unsigned 32-bit integers, made on demand."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word):
-        self[word] = ids = self.make(word)
-        return ids
-
-
 class ByteBpe:
     """A byte-level BPE vocabulary in the tokenizers library's file format."""
 
@@ -80,7 +73,7 @@ class ByteBpe:
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words = regex.compile(WORDS)
         self.gaps = regex.compile(r"\s\s")
-        self.first, self.spaced = _Words(self._unit), _Words(lambda w: self._unit(" " + w))
+        self.first, self.spaced = Vocabulary(self._unit, REMEMBERED // 2), Vocabulary(lambda w: self._unit(" " + w), REMEMBERED // 2)
 
     def _spines(self, ids: dict, merges: list) -> None:
         """For each token that encodes to itself: its edge parts from the byte up, with the rank of the merge that swallows each."""
@@ -122,7 +115,7 @@ class ByteBpe:
         if letters in self.whole:
             return [self.whole[letters]]
         n, fits = len(letters), self.fits
-        last, begins = [-1] * (n + 1), [0] * (n + 1)
+        last, begins = ([-1] * (n + 1), [0] * (n + 1)) if n < LONG else (array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1))
         for end, (length, token) in self.automaton.iter(letters):
             if last[end + 1] >= 0:
                 continue
@@ -159,8 +152,6 @@ class ByteBpe:
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
-        if len(self.first) + len(self.spaced) > REMEMBERED:
-            self.forget()
         if self.gaps.search(text):
             return b"".join(map(self.first.__getitem__, self.words.findall(text)))
         # no two white spaces meet: a line end is a word, a blank belongs to what follows it
@@ -193,7 +184,7 @@ def vocabulary(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: pa.DataType, sql_kind: str, make, path: str) -> DataFrame:
+def _mapped(df: DataFrame, source: Column, target: str, kind: pa.DataType, sql_kind: str, make, path: str) -> DataFrame:
     """``df`` with a column ``target`` made row by row of ``source``, in Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +195,8 @@ def _mapped(df: DataFrame, source: str, target: str, kind: pa.DataType, sql_kind
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(map(make, part.column(part.num_columns - 1).to_pylist()), kind)], names=[*part.schema.names[:-1], target])
         vocabulary(path).forget()  # a worker that waits for its next task holds no words
 
-    kept = [f for f in df.schema.fields if f.name != target]
-    rows = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(source).alias("__in"))
+    kept = [f for f in df.schema.fields if f.name.lower() != target.lower()]
+    rows = df.select(*[F.col(f"`{f.name}`") for f in kept], source.alias(*fresh(df, "in")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return rows.mapInArrow(run, f"{schema}, `{target}` {sql_kind}" if schema else f"`{target}` {sql_kind}")
 
@@ -213,11 +204,12 @@ def _mapped(df: DataFrame, source: str, target: str, kind: pa.DataType, sql_kind
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with ``ids_col``: the text's ids as little-endian unsigned 32-bit integers in a binary.
 
-    A null text counts as empty and has no ids. A column of that name is replaced.
+    A null text counts as empty and has no ids. Malformed UTF-8 is replaced. A column of that name is replaced, others may have any name.
+    An empty table gives an empty one.
     """
-    return _mapped(df, text_col, ids_col, pa.binary(), "binary", lambda t: vocabulary(path).encode(t or ""), path)
+    return _mapped(df, F.make_valid_utf8(F.col(f"`{text_col}`").cast("string")), ids_col, pa.binary(), "binary", lambda t: vocabulary(path).encode(t or ""), path)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with ``text_col``: the text of the ids; bytes that are no UTF-8 become U+FFFD; null ids give an empty text."""
-    return _mapped(df, ids_col, text_col, pa.string(), "string", lambda i: vocabulary(path).decode(i or b""), path)
+    return _mapped(df, F.col(f"`{ids_col}`"), text_col, pa.string(), "string", lambda i: vocabulary(path).decode(i or b""), path)
