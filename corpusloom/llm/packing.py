@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words a worker remembers before it starts anew.
-REMEMBERED = 800_000
+#: Words a worker remembers before it starts anew, their letters, and the letters of a word that is not remembered.
+REMEMBERED, LETTERS, LONG = 800_000, 32 << 20, 1 << 12
 #: Tokens of a block, but for its last document.
 BLOCK_TOKENS = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -64,6 +64,7 @@ class WordTokens:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.odd = re.compile(r"[\x1c-\x1f]")  # white space to Python, not to the tokenizer
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -99,10 +100,21 @@ class WordTokens:
         whole = {i for i, t in enumerate(texts) if self.odd.search(t)}
         words = [[] if i in whole else t.split() for i, t in enumerate(texts)]
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        self._learn(list(set(chain.from_iterable(words)).difference(known)))
-        return [self._ids([t])[0] if i in whole else b"".join(map(known.__getitem__, x)) for i, (t, x) in enumerate(zip(texts, words, strict=True))]
+        if len(known) > REMEMBERED or self.held > LETTERS:
+            self.forget()
+        new = set(chain.from_iterable(words)).difference(known)
+        self._learn(list(new))
+        out = [self._ids([t])[0] if i in whole else b"".join(map(known.__getitem__, x)) for i, (t, x) in enumerate(zip(texts, words, strict=True))]
+        for w in [w for w in new if len(w) > LONG]:
+            known.pop(w, None)
+            known.pop(w[:-1], None)
+            new.remove(w)
+        self.held += sum(map(len, new))
+        return out
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
 
 
 @lru_cache(2)
@@ -144,7 +156,7 @@ def pack(
 
     A document is its text's ids and ``end_id``; a null or empty text is ``end_id`` alone. Rows that repeat an id
     are documents of their own. Sequence ids are unique, not gapless. An empty table gives no piece.
-    ``size`` is a power of two.
+    ``size`` is a power of two. Malformed UTF-8 is replaced. Other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +185,7 @@ def pack(
                         ids, data, held = [], [], 0
         if ids:
             yield block(ids, data)
-        vocabulary.known.clear()  # a worker that waits for its next task holds no words
+        vocabulary.forget()  # a worker that waits for its next task holds no words
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))
     return rows.mapInArrow(run, SCHEMA)
