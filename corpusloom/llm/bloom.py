@@ -53,18 +53,19 @@ def without(df: DataFrame, column: str, keys: DataFrame, hashes: int = 2) -> Dat
     Rows that the filter calls absent pass straight through; only the others shuffle and are compared.
     """
     (key,) = keys.columns
-    kept, maybe = _parted(df, column, keys, hashes)
+    kept, maybe = parted(df, column, keys, hashes)
     return kept.unionByName(maybe.join(keys, maybe[column] == keys[key], "left_anti"))
 
 
 def among(df: DataFrame, column: str, keys: DataFrame, hashes: int = 2) -> DataFrame:
     """The rows of ``df`` whose ``column`` is among the different values of the only one of ``keys``; only those that may be shuffle."""
     (key,) = keys.columns
-    maybe = _parted(df, column, keys, hashes)[1]
+    maybe = parted(df, column, keys, hashes)[1]
     return maybe.join(keys, maybe[column] == keys[key], "left_semi")
 
 
-def _parted(df: DataFrame, column: str, keys: DataFrame, hashes: int) -> tuple[DataFrame, DataFrame]:
+def parted(df: DataFrame, column: str, keys: DataFrame, hashes: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Rows that are certainly not among the keys, and those that may be."""
     (key,) = keys.columns
     bits = bits_for(keys.count())
     (flag,) = fresh(df, "maybe")

@@ -79,4 +79,13 @@ select doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n, 0) as bi
 from docs left join runs using (doc_id) left join kept using (doc_id)
 """
 
-ORACLES = {"op2_quality_rules": quality(), "op6_exact_dedup": EXACT, "op7_substring_dedup": WORD_REPEATS, "op9_suffix_array_dedup": BYTE_REPEATS}
+#: Base32 of a digest's 40 hex digits: each five of these are four letters.
+WARC = """
+with docs as (select page_id, coalesce(html, '') as t, sha1(coalesce(html, '')) as h, min(page_id) over (partition by coalesce(html, '')) as first from pages)
+select page_id, cast(octet_length(encode(t)) as bigint) as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(h, 1 + 5 * (i // 4), 5) as integer) >> (15 - 5 * (i % 4))) & 31 as integer), 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from docs
+"""
+
+ORACLES = {"op2_quality_rules": quality(), "op6_exact_dedup": EXACT, "op7_substring_dedup": WORD_REPEATS, "op8_warc": WARC, "op9_suffix_array_dedup": BYTE_REPEATS}

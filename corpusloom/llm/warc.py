@@ -7,6 +7,9 @@ files of failed attempts are not on the list. The reader plans a partition for e
 takes predicates on the record type and on headers, parses headers first, and inflates and
 checks a payload only for a record that passes them.
 
+A folder that has no such list is one of ordinary archives (``.warc.gz``, whose members need not carry lengths, or ``.warc``),
+which are read one file at a time.
+
 Files are opened through pyarrow's file systems, by URI: local and mounted folders, HDFS, S3, GCS.
 """
 
@@ -29,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from corpusloom.llm.common import skew_join, text_or_empty
+from corpusloom.llm import bloom
+from corpusloom.llm.common import cut, skew_join, text_or_empty
 
 READ_SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 WRITE_COLUMNS = ("record_id", "record_type", "target_uri", "refers_to", "payload")
@@ -148,53 +152,84 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Piece]:
+        import pyarrow.fs
+
         fs, root = filesystem(self.path)
-        with fs.open_input_stream(posixpath.join(root, LIST)) as f:
-            listed = json.loads(f.read())
+        at = posixpath.join(root, LIST)
+        if fs.get_file_info(at).is_file:
+            with fs.open_input_stream(at) as f:
+                listed = json.loads(f.read())
+        else:
+            found = fs.get_file_info(root)
+            files = [found] if found.is_file else fs.get_file_info(pyarrow.fs.FileSelector(root, recursive=True))
+            listed = sorted([posixpath.relpath(x.path, root) if x.path != root else "", x.size, [0]] for x in files if x.is_file and x.path.endswith((".warc.gz", ".warc")))
         return [Piece(name, a, b) for name, size, pieces in listed for a, b in zip(pieces, [*pieces[1:], size], strict=True)] or [Piece("", 0, 0)]
 
     def read(self, partition: Piece) -> Iterator[tuple]:
         if partition.start == partition.end:
             return
         fs, root = filesystem(self.path)
-        with fs.open_input_file(posixpath.join(root, partition.name)) as f:
+        with fs.open_input_file(posixpath.join(root, partition.name) if partition.name else root) as f:
             at = partition.start
             while at < partition.end:
-                row, at = self._record(f, at, partition.end)
+                row, at = (self._plain if partition.name.endswith(".warc") or root.endswith(".warc") else self._member)(f, at, partition.end)
                 if row:
                     yield row
 
-    def _record(self, f, at: int, end: int) -> tuple[tuple | None, int]:
+    def _plain(self, f, at: int, end: int) -> tuple[tuple | None, int]:
+        """A record that is not compressed: the headers say how long its block is."""
+        f.seek(at)
+        data = b""
+        while b"\r\n\r\n" not in data and f.tell() < end:
+            data += f.read(min(4096, end - f.tell()))
+        head, _, block = data.partition(b"\r\n\r\n")
+        values, named, wanted = self._headers(head)
+        length = int(named.get("content-length", 0))
+        after = at + len(head) + 4 + length
+        if wanted:
+            block = block[:length] if len(block) >= length else block + f.read(length - len(block))
+        f.seek(after)
+        while after < end and f.read(1) in (b"\r", b"\n"):
+            after += 1
+        return (self._row(values, block) if wanted else None), after
+
+    def _headers(self, head: bytes) -> tuple[dict, dict, bool]:
+        """The columns' values, all headers by lower-case name, and whether the record is wanted."""
+        named = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+        values = {c: named.get(h.lower()) for c, h in HEADERS.items()}
+        values["payload_digest"] = (values["payload_digest"] or "").removeprefix("sha1:") or None
+        return values, named, all(values[c] in v for c, v in self.wanted.items()) and all(values[c] is not None for c in self.present)
+
+    def _row(self, values: dict, block: bytes) -> tuple:
+        http, _, payload = block.partition(b"\r\n\r\n")
+        length = re.search(rb"(?mi)^Content-Length: *(\d+)", http)
+        if values["record_type"] != "response" or not self.payload:
+            payload = None
+        elif re.fullmatch("[A-Z2-7]{32}", values["payload_digest"] or "") and values["payload_digest"] != digest(payload):
+            raise ValueError(f"{values['record_id']}: the payload does not match its digest")
+        return (*values.values(), int(length[1]) if length else None, payload)
+
+    def _member(self, f, at: int, end: int) -> tuple[tuple | None, int]:
+        """A record in a gzip member of its own."""
         f.seek(at)
         inflate, data, raw = zlib.decompressobj(31), b"", f.read(min(4096, end - at))
         whole = struct.unpack_from("<I", raw, 16)[0] if raw[3:4] == b"\x04" and raw[12:14] == b"sl" else 0
-        read = len(raw)
         while b"\r\n\r\n" not in data and not inflate.eof and raw:  # the headers, and little more
             data += inflate.decompress(raw, START)
-            raw = inflate.unconsumed_tail or f.read(4096)
-            read = f.tell() - at
+            raw = inflate.unconsumed_tail or (b"" if inflate.eof else f.read(4096))
         head, _, block = data.partition(b"\r\n\r\n")
-        named = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:])
-        values = {c: named.get(h) for c, h in HEADERS.items()}
-        values["payload_digest"] = (values["payload_digest"] or "").removeprefix("sha1:") or None
-        wanted = all(values[c] in v for c, v in self.wanted.items()) and all(values[c] is not None for c in self.present)
+        values, named, wanted = self._headers(head)
         if not wanted and whole:
             return None, at + whole
         parts = [block]
-        while not inflate.eof:
+        while not inflate.eof and raw:
             chunk = inflate.decompress(raw, 1 << 20)
             parts += [chunk] if wanted else []
             raw = inflate.unconsumed_tail or (b"" if inflate.eof else f.read(1 << 20))
-        read = f.tell() - at - len(inflate.unused_data)
-        if not wanted:
-            return None, at + read
-        http, _, payload = b"".join(parts)[: int(named["Content-Length"])].partition(b"\r\n\r\n")
-        length = re.search(rb"(?mi)^Content-Length: (\d+)", http)
-        if values["record_type"] != "response" or not self.payload:
-            payload = None
-        elif values["payload_digest"] != digest(payload):
-            raise ValueError(f"{values['record_id']}: the payload does not match its digest")
-        return (*values.values(), int(length[1]) if length else None, payload), at + (whole or read)
+        if not inflate.eof:
+            raise ValueError(f"{values['record_id']}: the member at {at} breaks off")
+        after = at + (whole or f.tell() - at - len(inflate.unused_data))
+        return (self._row(values, b"".join(parts)[: int(named.get("content-length", 0))]) if wanted else None), after
 
 
 class WarcSource(DataSource):
@@ -223,22 +258,34 @@ def register(spark: SparkSession) -> None:
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Columns to write, one record per page: of equal payloads of ``least_bytes`` or more, that with the smallest id is the response and the others revisit it.
 
-    A null page counts as an empty payload, a null url is left out. Rows that repeat the smallest id are responses too.
+    A null page counts as an empty payload, a null url is left out, a null id comes after all others. Rows that repeat the smallest id are
+    responses too. Malformed UTF-8 is replaced. Other columns are not looked at. An empty table gives no record. Only rows
+    whose payload a bitmap may hold twice are shuffled with it.
     """
-    payload = text_or_empty(html_col).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("target_uri"), payload.alias("payload"), F.sha2(payload, 256).alias("key"))
-    first = rows.groupBy("key").agg(F.min("id").alias("first"))
-    rows = skew_join(rows, first, ["key"])
+    payload = F.encode(F.make_valid_utf8(text_or_empty(html_col)), "UTF-8")
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("target_uri"), payload.alias("payload"), F.sha2(payload, 256).alias("key"))
+    first = cut(rows.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first"))
+    alone, maybe = bloom.parted(rows, "key", first.select("key"))
+    found = skew_join(maybe, first, ["key"], "left")
+    one = alone.withColumn("first", F.col("id")).unionByName(found.withColumn("first", F.coalesce("first", "id")))
     revisit = (F.octet_length("payload") >= least_bytes) & ~F.col("id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
-    return rows.select(name("id").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.when(revisit, name("first")).alias("refers_to"), "payload")
+    return one.select(name("id").alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), "target_uri", F.when(revisit, name("first")).alias("refers_to"), "payload")
 
 
 def write_archives(rows: DataFrame, path: str) -> None:
+    """Write records (WRITE_COLUMNS; others are left out) to archives below ``path``, one per task, beside those that are there.
+
+    A null payload counts as empty, null headers are left out. An empty table leaves an empty list.
+    """
     register(rows.sparkSession)
     rows.select(*WRITE_COLUMNS).write.format("warc").mode("append").save(path)
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The records (READ_SCHEMA) of a folder of archives, or of one file; payloads of responses only, and none at all without ``payload``.
+
+    Filters on the record type and the headers are applied before payloads are inflated.
+    """
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
