@@ -39,7 +39,15 @@ def odd(spark):
     base = "the quick brown fox jumps over the lazy dog and runs away from here"
     long_ = " ".join(f"w{i % 997}x{i}" for i in range(60_000))
     rows = [(1, base, "en", "a", 3), (2, base, "en", "a", 3), (2, base, "en", "a", 3), (3, None, None, None, None), (4, "", "en", "b", 0), (None, base, "en", "b", 1), (5, long_, "en", "a", 5), (6, " \t\n", "de", "a", 2), (7, base + " x", "en", "a", 1), (8, "a b", "en", "a", 1)]
-    return spark.createDataFrame(rows, SCHEMA).withColumns({"kept": F.lit("k"), "ids": F.lit("i"), "__sha": F.lit("s"), "shard": F.lit(9)}).drop("__sha")
+    return spark.createDataFrame(rows, SCHEMA).withColumns({n: F.lit(n) for n in OWN_NAMES})
+
+
+#: Names that the operators give to columns of their own.
+OWN_NAMES = """
+kept ids decoded shard slot rank size curve cell bucket part row first root node group key fp n x y a b large known shared branching repeated anchor around path chunk docs bytes bucket_id sequence_id
+__sha __kept __keep_id __group_size __hash __possible __first __shadow __bucket __bitmap __bucket0 __bitmap0 __maybe __id __own __own_ __id_ __null __left __in __rejected __grade __severity __p_toxic __text
+stratum quality n_words n_lines rejected_by base_failed total before inside at short longer edge
+""".split()
 
 
 @pytest.fixture(scope="module")
@@ -136,6 +144,38 @@ def test_quality_odd_rows(spark, odd, empty):
     assert quality.quality_verdicts(empty, labels).count() == 0
 
 
+def test_quality_rules_all_fire_and_equal_sql(spark):
+    """Labelled texts on which each rule finds a cutoff, against the same SQL."""
+    import duckdb
+    import pyarrow as pa
+
+    random.seed(10)
+    word = lambda n=5: "".join(random.choices("abcdefghijklmnop", k=n))
+    good = lambda: "\n".join(" ".join(word() for _ in range(8)) for _ in range(6))
+    junk = {
+        "symbols": lambda: " ".join(word() + "%%" for _ in range(40)),
+        "dup_lines": lambda: "\n".join([" ".join(word() for _ in range(3))] * 3 + [" ".join(word() for _ in range(60))]),
+        "long_words": lambda: " ".join(word(35) for _ in range(20)),
+        "short_words": lambda: " ".join(random.choice("abcdefgh") + random.choice(["", "", "i"]) for _ in range(60)),
+    }
+    rows, labels = [], []
+    for lang in ("en", "de"):
+        for i in range(3000):
+            kind = random.choice([*junk]) if i % 4 == 0 else None
+            rows.append((len(rows), junk[kind]() if kind else good(), lang, kind))
+            labels.append((rows[-1][0], int(kind is None)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kind string")
+    out = quality.quality_verdicts(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    kind = {r[0]: r[3] for r in rows}
+    fired = collections.Counter((kind[r.doc_id], x) for r in out for x in r.rejected_by)
+    assert {k for k, x in fired if k == x} == set(junk)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "lang": [r[2] for r in rows]}))
+    con.register("labels", pa.table({"doc_id": [x[0] for x in labels], "quality": [x[1] for x in labels]}))
+    want = {r[0]: r[1:] for r in con.sql(f"select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from ({queries.ORACLES['op2_quality_rules']})").fetchall()}
+    assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in out} == want
+
+
 def test_quality_query(same_as_sql):
     same_as_sql(queries.op2_quality_rules, queries.ORACLES["op2_quality_rules"])
 
@@ -167,6 +207,55 @@ def test_shards(spark, bucket):
     assert [r.curve for r in order] == sorted(r.curve for r in rows)
 
 
+def test_shard_query_by_brute_force(spark):
+    """Codes, curve, shards and slots of the query, from plain Python over the whole table."""
+    docs = pq.read_table(f"{DATA}/documents.parquet").to_pylist()
+    rows = {r.doc_id: r for r in queries.op3_hilbert_sharding(spark, DATA).collect()}
+    size = {d["doc_id"]: len((d["text"] or "").encode()) + 16 for d in docs}
+    assert {i: (r["size"], r.text_crc32) for i, r in rows.items()} == {d["doc_id"]: (size[d["doc_id"]], zlib.crc32((d["text"] or "").encode())) for d in docs}
+
+    def codes(values):
+        """Quantiles as the least value that a share of the rows does not pass, and how many of these a value reaches."""
+        held, n = sorted(values), len(values)
+        cuts = [held[max(0, -(-n * k // 32) - 1)] for k in range(1, 32)]
+        return [sum(c <= v for c in cuts) for v in values]
+
+    axes = [codes([(d["lang"] or "").encode() for d in docs]), codes([(d["source"] or "").encode() for d in docs]), codes([size[d["doc_id"]] for d in docs])]
+    index = sharding.hilbert_index(np.array(axes).T, sharding.BITS).tolist()
+    assert {d["doc_id"]: c for d, c in zip(docs, index, strict=True)} == {i: r.curve for i, r in rows.items()}
+    order = sorted(rows.values(), key=lambda r: (r.shard, r.slot))
+    total, at = len(docs), 0
+    for shard in range(40):
+        n = total // 40 + (shard < total % 40)
+        assert [(r.shard, r.slot) for r in order[at : at + n]] == [(shard, k) for k in range(n)]
+        at += n
+    assert [r.curve for r in order] == sorted(r.curve for r in order)
+    assert {(r.law, r.grown_shard) for r in order} == {("rows", None)}
+
+
+def test_equal_texts_lie_near_each_other(spark):
+    rows = [(i, f"text {i % 50}" if i % 3 else "the same", "en", "s", 1) for i in range(3000)]
+    found = sharding.assign_shards(spark.createDataFrame(rows, SCHEMA), 4, bucket=16).collect()
+    place = {r.doc_id: (r.shard, r.slot) for r in found}
+    order = {i: k for k, i in enumerate(sorted(place, key=place.get))}
+    same = sorted(order[i] for i in range(0, 3000, 3))
+    assert len(same) == 1000 and same[-1] - same[0] < 1000 + 4 * 16 + 200
+
+
+def test_shards_prune_by_several_columns(spark, tmp_path):
+    """Ranges in the manifest let a reader pass over most shards, whichever column it asks for."""
+    random.seed(8)
+    rows = [(i, "x" * random.randrange(1, 4000), random.choice(["de", "en", "es", "fr"]), f"src{random.randrange(20)}", 1) for i in range(4000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    manifest = sharding.write_shards(docs, str(tmp_path / "p"), 64).cache()
+    read = lambda **w: sharding.shards_to_read(manifest, **w).count()
+    assert read(lang=("en", "en")) <= 32 and read(source=("src7", "src7")) <= 32 and read(size=(16, 400)) <= 32
+    assert read(lang=("en", "en"), size=(16, 400)) <= 16
+    kept = {r.shard for r in sharding.shards_to_read(manifest, lang=("en", "en"), size=(16, 400)).collect()}
+    back = spark.read.parquet(str(tmp_path / "p")).filter("lang = 'en' and octet_length(text) + 16 <= 400")
+    assert {r.shard for r in back.select("shard").distinct().collect()} <= kept
+
+
 def test_shards_odd_rows(spark, odd, empty, tmp_path):
     rows = sharding.assign_shards(odd, 40).collect()
     assert sorted(r.shard for r in rows) == list(range(len(rows))) and all(r.slot == 0 for r in rows)
@@ -293,9 +382,25 @@ def test_packing_query(spark):
     _check_packed(queries.op5_packing(spark, DATA).collect(), ids)
 
 
-def test_assignment_balances_cost():
+def _best_fit(lengths, size):
+    """Longest pieces first to the fullest sequence with room: as tight, but not after cost."""
+    pieces = sorted(((n % size, d) for d, n in enumerate(lengths) if n % size), reverse=True)
+    total = sum(n for n, _ in pieces)
+    room, cost = [size] * (total // size) + [total % size], collections.Counter()
+    for n, _ in pieces:
+        while n:
+            fits = [i for i, r in enumerate(room) if r >= n]
+            at = min(fits, key=lambda i: room[i]) if fits else max(range(len(room)), key=lambda i: room[i])
+            put = min(n, room[at])
+            cost[at] += put + put * put / 4096
+            room[at], n = room[at] - put, n - put
+    return np.array([c for i, c in cost.items() if i < total // size])
+
+
+@pytest.mark.parametrize(("longest", "gain"), [(1500, 10), (3000, 1.2)])
+def test_assignment_balances_cost(longest, gain):
     random.seed(2)
-    lengths = [random.randrange(1, 9000) for _ in range(800)]
+    lengths = [random.randrange(1, longest) for _ in range(800)]
     rows = packing.assign(lengths, 4096, 1.0, 1 / 4096)
     filled, cost = collections.Counter(), collections.Counter()
     for _, _, n, q, _ in rows:
@@ -303,6 +408,8 @@ def test_assignment_balances_cost():
         cost[q] += n + n * n / 4096
     assert sum(filled.values()) == sum(lengths)
     assert all(n == 4096 or n & (n - 1) == 0 for n in filled.values())
+    own, other = np.array([c for q, c in cost.items() if filled[q] == 4096]), _best_fit(lengths, 4096)
+    assert len(own) == len(other) and own.std() * gain < other.std() and own.min() > other.min() and own.max() <= other.max()
     assert packing.assign([], 4096, 1.0, 1.0) == []
 
 
@@ -323,7 +430,7 @@ def test_exact_query(same_as_sql):
 @pytest.mark.parametrize("bits", [2**27, 64])
 def test_exact_odd_rows(odd, empty, bits):
     """A filter of 64 bits calls nearly all rows possible copies; the result is the same."""
-    rows = exact_dedup.mark_exact(odd, filter_bits=bits).collect()
+    rows = exact_dedup.mark_exact(odd.drop("__sha", "__keep_id", "__group_size", "__kept"), filter_bits=bits).collect()
     assert len(rows) == odd.count()
     of = collections.defaultdict(list)
     for r in rows:
@@ -334,8 +441,9 @@ def test_exact_odd_rows(odd, empty, bits):
         best = max((r.doc_id for r in group if r.doc_id is not None), default=None)
         assert {r["__keep_id"] for r in group} == {best}
         assert next(r for r in group if r["__kept"]).doc_id == best
-    assert exact_dedup.exact_dedup(odd, filter_bits=bits).columns == odd.columns
-    assert exact_dedup.mark_exact(empty).count() == 0
+    kept = exact_dedup.exact_dedup(odd, filter_bits=bits)
+    assert kept.columns == odd.columns and kept.count() == len(of) and {r["__hash"] for r in kept.collect()} == {"__hash"}
+    assert exact_dedup.exact_dedup(empty).count() == 0
 
 
 # 7 and 9
@@ -428,6 +536,48 @@ def test_warc_query(spark):
     assert {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in queries.op8_warc(spark, DATA).collect()} == want
 
 
+def test_warc_query_equals_sql(same_as_sql):
+    same_as_sql(queries.op8_warc, queries.ORACLES["op8_warc"])
+
+
+def test_warc_reads_ordinary_archives(spark, tmp_path):
+    """Members without lengths and records that are not compressed, of several types, without a list of archives."""
+    page = "<p>é</p>".encode() * 3000
+    http = b"HTTP/1.1 200 OK\r\ncontent-length: " + str(len(page)).encode() + b"\r\n\r\n" + page
+
+    def plain(kind, name, block, *more):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{name}>", *more, f"content-length:{len(block)}"]
+        return b"WARC/1.0\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    records = [plain("warcinfo", "i", b"software: x\r\n"), plain("request", "q", b"GET / HTTP/1.1\r\n\r\n"), plain("response", "r", http, f"WARC-Payload-Digest: sha1:{warc.digest(page)}"), plain("response", "s", http), plain("metadata", "m", b"")]
+    (tmp_path / "in" / "more").mkdir(parents=True)
+    (tmp_path / "in" / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "in" / "more" / "b.warc").write_bytes(b"".join(records))
+    (tmp_path / "in" / "readme.txt").write_text("no archive")
+    for path, n in ((tmp_path / "in", 2), (tmp_path / "in" / "a.warc.gz", 1), (tmp_path / "in" / "more", 1)):
+        rows = warc.read_archives(spark, f"file://{path}").collect()
+        assert sorted(r.record_id for r in rows) == sorted(["<urn:i>", "<urn:q>", "<urn:r>", "<urn:s>", "<urn:m>"] * n)
+        assert {bytes(r.payload) for r in rows if r.record_type == "response"} == {page}
+        assert warc.read_archives(spark, f"file://{path}").filter("record_type = 'response'").count() == 2 * n
+    bad = plain("response", "x", http, f"WARC-Payload-Digest: sha1:{'A' * 32}")
+    (tmp_path / "bad.warc").write_bytes(bad)
+    with pytest.raises(Exception, match="does not match"):
+        warc.read_archives(spark, f"file://{tmp_path}/bad.warc").collect()
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(records[2])[:-40])
+    with pytest.raises(Exception, match="breaks off|does not match"):
+        warc.read_archives(spark, f"file://{tmp_path}/cut.warc.gz").collect()
+
+
+def test_warc_odd_rows(spark, tmp_path):
+    """Repeated rows, null ids, nulls and columns named like the operator's own."""
+    rows = [(1, "u", "same"), (1, "u", "same"), (2, "u", "same"), (None, None, "same"), (3, None, None), (4, "v", ""), (None, "w", "alone")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({n: F.lit(n) for n in ("id", "key", "payload", "first", "n", "__maybe", "record_id", "target_uri")})
+    warc.write_archives(warc.records(pages), f"file://{tmp_path}/o")
+    found = sorted((r.record_id, r.record_type, r.refers_to) for r in warc.read_archives(spark, f"file://{tmp_path}/o").collect())
+    name = lambda i: f"<urn:page:{i}>"
+    assert found == sorted([(name(1), "response", None)] * 2 + [(name(2), "revisit", name(1)), (name(""), "revisit", name(1)), (name(3), "response", None), (name(4), "revisit", name(3)), (name(""), "response", None)], key=lambda r: (r[0], r[1], r[2]))
+
+
 def test_warc_archives(spark, tmp_path):
     rows = [(1, "http://x/\r\nEvil: 1", "a" * 70_000 + "é"), (2, None, None), (3, "http://y", "a" * 70_000 + "é"), (4, "http://z", "q"), (None, "http://n", "q")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -490,6 +640,61 @@ def test_ordinal_fit_orders_grades():
     assert np.mean(np.array(guess) == grades) > 0.95
 
 
+def test_ordinal_fit_equals_a_plain_optimiser():
+    """The penalised likelihood, written out from its definition, has its maximum where the fit ends."""
+    random.seed(9)
+    rows = [sorted(random.sample(range(6), random.randrange(4))) for _ in range(200)]
+    grades = np.array([min(2, max(0, round(sum(f < 2 for f in r) + random.gauss(0, 0.6)))) for r in rows])
+    w, t = toxicity.fit_ordinal(rows, grades, 6, 3, l2=0.1, steps=4000, rate=0.05)
+
+    def loss(p):
+        total = 0.05 * sum(x * x for x in p[:6])
+        cuts = [-np.inf, p[6], p[7], np.inf]
+        for r, g in zip(rows, grades, strict=True):
+            s = sum(p[f] for f in r)
+            total -= np.log(1 / (1 + np.exp(-(s - cuts[g]))) - 1 / (1 + np.exp(-(s - cuts[g + 1]))))
+        return total
+
+    best = np.concatenate([w, t])
+    low = loss(best)
+    step = 0.5
+    p = np.concatenate([np.zeros(6), [0.0, 1.0]])
+    value = loss(p)
+    while step > 1e-5:  # coordinate search from elsewhere
+        moved = False
+        for i in range(8):
+            for d in (step, -step):
+                q = p.copy()
+                q[i] += d
+                if q[6] < q[7] and loss(q) < value:
+                    p, value, moved = q, loss(q), True
+        step = step if moved else step / 2
+    assert low == pytest.approx(value, abs=1e-3) and np.abs(best - p).max() < 0.05
+
+
+def test_scores_by_brute_force(spark):
+    """Severity, odds, grade and verdict of the query's operator, from sums over each text's words."""
+    import re
+
+    model = toxicity.OrdinalModel({b"die": 1.5, b"the": -0.7, b"und": 0.4, b"abc": 2.0, b"schpf-": 0.9}, [0.3, 2.1])
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    for r in toxicity.score_toxicity(docs, model).collect():
+        words = {w for w in re.split(rb"[^0-9a-z\x80-\xff]+", (r.text or "").encode().lower()) if w}
+        words |= {w[:5] + b"-" for w in words if len(w) > 5}
+        s = sum(v for w, v in model.weights.items() if w in words)
+        p = [1 / (1 + np.exp(-(s - t))) for t in model.thresholds]
+        assert r["__severity"] == pytest.approx(sum(p)) and r["__p_toxic"] == pytest.approx(p[0])
+        assert (r["__grade"], r["__rejected"]) == (sum(x >= 0.5 for x in p), p[0] >= 0.5)
+
+
+def test_toxicity_takes_grades_as_they_are(spark):
+    rows = [(i, "bad worse " * (i % 3 == 2) + "bad " * (i % 3 == 1) + f"plain words {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert {r["__grade"] == r.doc_id % 3 for r in toxicity.score_toxicity(docs, model).collect()} == {True}
+
+
 def test_toxicity_on_held_out_documents(spark):
     data = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{data}/labels.parquet")
@@ -507,10 +712,10 @@ def test_toxicity_odd_rows(spark, odd, empty):
     model = toxicity.fit_toxicity(odd, labels)
     assert model.thresholds == [] and toxicity.drop_toxic(odd, model).count() == odd.count()
     model = toxicity.OrdinalModel({b"fox": 9.0}, [1.0, 10.0])
-    out = toxicity.score_toxicity(odd, model)
+    out = toxicity.score_toxicity(odd.drop("__severity", "__p_toxic", "__grade", "__rejected"), model)
     assert out.filter("__rejected").count() == 5 and out.filter("__grade > 1").count() == 0
     assert toxicity.drop_toxic(empty, model).count() == 0
-    assert toxicity.drop_toxic(odd, model).columns == odd.columns
+    assert toxicity.drop_toxic(odd, model).columns == odd.columns and toxicity.drop_toxic(odd, model).count() == odd.count() - 5
 
 
 # pipeline
@@ -560,6 +765,23 @@ def test_near_copies_odd_rows(odd, empty):
     assert simhash.drop_near(empty).count() == 0
 
 
+def test_stages_on_odd_rows(spark, odd, empty, tmp_path):
+    """Nulls, empties, repeated rows, a long text and columns of any name go through every stage; an empty table stays empty."""
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, 1), (2, 0), (None, 0), (8, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in P.STAGES:
+        found, none = stage(spark, odd, str(tmp_path)), stage(spark, empty, str(tmp_path))
+        assert none.count() == 0, name
+        if name == "packing":
+            assert found.filter("start = 0").count() == odd.count()
+        else:
+            assert found.columns == odd.columns and {r["__hash"] for r in found.collect()} == {"__hash"}, name
+            texts = {r.text for r in found.collect()}
+            assert found.count() == {"toxicity": 10, "exact_dedup": 6, "near_dedup": 5, "passage_dedup": 10}[name], (name, found.count())
+            assert None in texts or name == "exact_dedup", name
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
