@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Vocabulary, fresh
+from corpusloom.llm.common import Vocabulary, at_rest, fresh
 
 #: Words a worker remembers before it starts anew, half of them with a blank before them.
 REMEMBERED = 400_000
@@ -194,6 +194,7 @@ def _mapped(df: DataFrame, source: Column, target: str, kind: pa.DataType, sql_k
                 part = b.slice(s, step)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(map(make, part.column(part.num_columns - 1).to_pylist()), kind)], names=[*part.schema.names[:-1], target])
         vocabulary(path).forget()  # a worker that waits for its next task holds no words
+        at_rest()
 
     kept = [f for f in df.schema.fields if f.name.lower() != target.lower()]
     rows = df.select(*[F.col(f"`{f.name}`") for f in kept], source.alias(*fresh(df, "in")))

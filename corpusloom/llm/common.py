@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +95,11 @@ class Vocabulary(dict):
         self.held = 0
 
 
+def at_rest() -> None:
+    """For the end of a task: a worker that waits for its next one gives back what its batches took."""
+    pa.default_memory_pool().release_unused()
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -27,8 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import at_rest
+
 #: Words a worker remembers before it starts anew, their letters, and the letters of a word that is not remembered.
-REMEMBERED, LETTERS, LONG = 800_000, 32 << 20, 1 << 12
+REMEMBERED, LETTERS, LONG = 400_000, 16 << 20, 1 << 12
 #: Tokens of a block, but for its last document.
 BLOCK_TOKENS = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -186,6 +188,7 @@ def pack(
         if ids:
             yield block(ids, data)
         vocabulary.forget()  # a worker that waits for its next task holds no words
+        at_rest()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))
     return rows.mapInArrow(run, SCHEMA)

@@ -69,7 +69,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    found = toxicity.score_toxicity(docs, model)
+    found = toxicity.score_toxicity(docs, model, keep=["doc_id"])
     return found.select("doc_id", F.col("__severity").alias("severity"), F.col("__grade").alias("grade"), F.col("__p_toxic").alias("p_toxic"), F.col("__rejected").alias("rejected"))
 
 

@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bloom
-from corpusloom.llm.common import Vocabulary, cut, skew_join
+from corpusloom.llm.chunks import word_hashes
+from corpusloom.llm.common import at_rest, cut, skew_join
 from corpusloom.llm.components import components
 
 BITS = 3
@@ -74,6 +75,7 @@ def _per_text(df: DataFrame, value: Callable[[bytes], object], name: str, kind:
                 part = b.slice(s, 512)
                 made = pa.array([value(t.as_py() or b"") for t in part.column(1).cast(pa.large_binary())], kind)
                 yield pa.RecordBatch.from_arrays([part.column(0), made], names=["doc_id", name])
+        at_rest()
 
     return df.mapInArrow(run, f"doc_id long, {name} {sql}")
 
@@ -242,16 +244,12 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return z * _P1 ^ z >> np.uint64(29)
 
 
-_words = Vocabulary(xxhash.xxh3_64_intdigest)
-
-
 def shingle_hashes(data: bytes, size: int) -> np.ndarray:
     """Hashes of a text's word shingles in order, repeats included; a shorter text is one shingle."""
-    words = data.lower().split()
-    if not words:
+    one = word_hashes(data.lower())[0]
+    if not len(one):
         return np.zeros(1, np.uint64)
-    one = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    size = min(size, len(words))
+    size = min(size, len(one))
     out = one[: len(one) - size + 1]
     for k in range(1, size):
         out = _mix(out, one[k : len(one) - size + 1 + k])

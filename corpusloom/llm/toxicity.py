@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, fresh
+from corpusloom.llm.common import at_rest, cut, fresh
 
 _SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -29,9 +29,9 @@ _SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 STEMS = (5,)
 
 
-def words_of(text: str | None) -> set[bytes]:
-    """Different words (runs of letters, digits and characters beyond ASCII, A-Z lower-cased), and the beginnings of longer ones with a hyphen."""
-    words = set((text or "").encode().lower().translate(_SPACES).split())
+def words_of(text: bytes | None) -> set[bytes]:
+    """Different words (runs of letters, digits and bytes beyond ASCII, A-Z lower-cased), and the beginnings of longer ones with a hyphen."""
+    words = set((text or b"").lower().translate(_SPACES).split())
     return words.union(*({w[:n] + b"-" for w in words if len(w) > n} for n in STEMS))
 
 
@@ -87,7 +87,7 @@ def sample_labelled(df: DataFrame, labels: DataFrame, max_train: int, id_col: st
     """(text, label) of at most ``max_train`` labelled rows, chosen by a hash of the id."""
     one = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("__label"))
     chosen = one.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_train)
-    rows = df.select(F.col(id_col).alias("doc_id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return cut(rows.join(F.broadcast(chosen), "doc_id").select("text", F.col("__label").alias("label")))
 
 
@@ -136,27 +136,32 @@ def fit_toxicity(
     return OrdinalModel({w: float(weights[i]) for w, i in at.items() if abs(weights[i]) > 1e-3}, [float(t) for t in thresholds])
 
 
-def score_toxicity(df: DataFrame, model: OrdinalModel, text_col: str = "text", cutoff: float = 0.5, ending: str = "") -> DataFrame:
-    """``df`` with __severity (expected grade), __p_toxic (P(grade > 0)), __grade (grades exceeded with at least even odds) and __rejected
-    (names that take ``ending``).
+def score_toxicity(df: DataFrame, model: OrdinalModel, text_col: str = "text", cutoff: float = 0.5, ending: str = "", keep: list[str] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with __severity (expected grade), __p_toxic (P(grade > 0)), __grade (grades exceeded with at least even
+    odds) and __rejected (names that take ``ending``).
 
-    Null and empty texts have no word and the score 0. Malformed UTF-8 is replaced. Repeated rows get the same. An empty table gives an
-    empty one. Columns may have any other name than these four.
+    Null and empty texts have no word and the score 0. Texts are looked at as bytes, well-formed or not. Repeated rows get the same. An
+    empty table gives an empty one. Columns may have any other name than these four.
     """
     made = [f"__{n}{ending}" for n in ("severity", "p_toxic", "grade", "rejected")]
+    held = list(df.columns) if keep is None else keep
+    # a text that goes back is sent once; else, or where it is no string, it goes along last
+    own = text_col in held and df.schema[text_col].dataType.typeName() == "string"
+    place = held.index(text_col) if own else len(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)
-                odds = [model.exceed(model.score(words_of(t))) for t in part.column(part.num_columns - 1).to_pylist()]
+                odds = [model.exceed(model.score(words_of(t.as_py()))) for t in part.column(place).cast(pa.large_binary())]
                 new = [pa.array([float(sum(p)) for p in odds], pa.float64()), pa.array([p[0] if p else 0.0 for p in odds], pa.float64()), pa.array([sum(x >= 0.5 for x in p) for p in odds], pa.int32()), pa.array([bool(p and p[0] >= cutoff) for p in odds], pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names=[*part.schema.names[:-1], *made])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(held)], *new], names=[*part.schema.names[: len(held)], *made])
+        at_rest()
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    types = ", ".join(f"`{n}` {t}" for n, t in zip(made, ("double", "double", "int", "boolean"), strict=True))
-    (name,) = fresh(df, "in")
-    return df.withColumn(name, F.make_valid_utf8(F.col(f"`{text_col}`").cast("string"))).mapInArrow(run, f"{kept}, {types}")
+    columns = [F.col(f"`{c}`") for c in held]
+    sent = df.select(*columns) if own else df.select(*columns, F.col(f"`{text_col}`").cast("string").alias(*fresh(df, "in")))
+    kept = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in held)
+    return sent.mapInArrow(run, kept + ", ".join(f"`{n}` {t}" for n, t in zip(made, ("double", "double", "int", "boolean"), strict=True)))
 
 
 def drop_toxic(df: DataFrame, model: OrdinalModel, **options) -> DataFrame:
