@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Vocabulary, at_rest, fresh
+from corpusloom.llm.common import Vocabulary, at_rest, fresh, small_batches
 
 #: Words a worker remembers before it starts anew, half of them with a blank before them.
 REMEMBERED = 400_000
@@ -196,6 +196,7 @@ def _mapped(df: DataFrame, source: Column, target: str, kind: pa.DataType, sql_k
         vocabulary(path).forget()  # a worker that waits for its next task holds no words
         at_rest()
 
+    small_batches(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name.lower() != target.lower()]
     rows = df.select(*[F.col(f"`{f.name}`") for f in kept], source.alias(*fresh(df, "in")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)

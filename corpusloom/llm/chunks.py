@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import at_rest, bucketed
+from corpusloom.llm.common import at_rest, bucketed, small_batches
 
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _POS = np.uint64((1 << 28) - 1)
@@ -175,6 +175,7 @@ def chunked(df: DataFrame, chunk_bytes: int, id_col: str, text_col: str) -> Data
             yield out()
         at_rest()
 
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))
     return bucketed(rows.mapInArrow(run, "chunk long, bytes long, docs binary"), "chunk", "chunks")
 
@@ -190,6 +191,7 @@ def each_chunk(df: DataFrame, schema: str, make: Callable[..., pa.RecordBatch |
                     yield made
         at_rest()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

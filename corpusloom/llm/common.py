@@ -95,6 +95,16 @@ class Vocabulary(dict):
         self.held = 0
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of texts hold 4 MB, where the session leaves it at the 64 MB that Spark has by itself.
+
+    A batch stands in memory several times, in the JVM and in the worker; 10,000 rows of long texts would else not be bounded by much.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "").rstrip("b") == str(64 << 20):
+        spark.conf.set(name, str(4 << 20))
+
+
 def at_rest() -> None:
     """For the end of a task: a worker that waits for its next one gives back what its batches took."""
     pa.default_memory_pool().release_unused()

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import at_rest
+from corpusloom.llm.common import at_rest, small_batches
 
 #: Words a worker remembers before it starts anew, their letters, and the letters of a word that is not remembered.
 REMEMBERED, LETTERS, LONG = 400_000, 16 << 20, 1 << 12
@@ -190,5 +190,6 @@ def pack(
         vocabulary.forget()  # a worker that waits for its next task holds no words
         at_rest()
 
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))
     return rows.mapInArrow(run, SCHEMA)

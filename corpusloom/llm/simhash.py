@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import bloom
 from corpusloom.llm.chunks import word_hashes
-from corpusloom.llm.common import at_rest, cut, skew_join
+from corpusloom.llm.common import at_rest, cut, skew_join, small_batches
 from corpusloom.llm.components import components
 
 BITS = 3
@@ -77,6 +77,7 @@ def _per_text(df: DataFrame, value: Callable[[bytes], object], name: str, kind:
                 yield pa.RecordBatch.from_arrays([part.column(0), made], names=["doc_id", name])
         at_rest()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, f"doc_id long, {name} {sql}")
 
 
@@ -194,11 +195,19 @@ def _fp_links(keys: int, group: int | None) -> Callable:
     return run
 
 
+def dealt_signatures(prints: DataFrame, parts: int) -> DataFrame:
+    """(key, fp): the 64 signatures of each fingerprint.
+
+    A few bytes become 64 times as many: the tasks are set by number, dealt by an expression of their own so that no earlier
+    exchange can stand in.
+    """
+    return prints.select("fp").repartition(parts, F.xxhash64("fp", F.lit(1))).select(F.explode(signatures(_halves(F.col("fp")), 32)).alias("key"), "fp")
+
+
 def links(prints: DataFrame, group: int = 4096) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints (fp) as all those within BITS bits would."""
-    # a few bytes become 64 times as many: the tasks are set by number, dealt by an expression of their own so that no earlier exchange can stand in
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = prints.select("fp").repartition(parts, F.xxhash64("fp", F.lit(1))).select(F.explode(signatures(_halves(F.col("fp")), 32)).alias("key"), "fp")
+    held = dealt_signatures(prints, parts)
     found = cut(held.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_fp_links(1, group), "a long, b long, large long"))
     finer = found.filter("large is not null").select(F.col("large").alias("key"), F.explode(_finer(F.col("large"), F.col("a"))).alias("sub"), F.col("a").alias("fp"))
     finer = finer.repartition(parts, "key", "sub").sortWithinPartitions("key", "sub", "fp").mapInArrow(_fp_links(2, None), "a long, b long, large long")

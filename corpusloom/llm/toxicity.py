@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import at_rest, cut, fresh
+from corpusloom.llm.common import at_rest, cut, fresh, small_batches
 
 _SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -100,6 +100,7 @@ def fit_toxicity(
     that among clean ones by ``min_z`` standard errors; of these the ``max_words`` clearest. Without labels of both
     kinds the model is empty and rejects nothing.
     """
+    small_batches(df.sparkSession)
     train = sample_labelled(df, labels, max_train, id_col, text_col, label_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +159,7 @@ def score_toxicity(df: DataFrame, model: OrdinalModel, text_col: str = "text", c
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(held)], *new], names=[*part.schema.names[: len(held)], *made])
         at_rest()
 
+    small_batches(df.sparkSession)
     columns = [F.col(f"`{c}`") for c in held]
     sent = df.select(*columns) if own else df.select(*columns, F.col(f"`{text_col}`").cast("string").alias(*fresh(df, "in")))
     kept = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in held)

@@ -312,6 +312,14 @@ def test_links_lose_nothing(spark, group):
     assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values() if len(x) > 1}
 
 
+def test_signatures_are_made_in_tasks_set_by_number(spark):
+    """The exchange of fingerprints that are unique by an aggregate over them is one that the plan cannot leave out."""
+    prints = spark.range(1000).select((F.col("id") % 900).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    dealt = simhash.dealt_signatures(prints, 7)
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
+    assert dealt.rdd.getNumPartitions() == 7
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5000, 5000), (None, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
