@@ -126,4 +126,26 @@ def cleaned(files: DataFrame, rules: CleaningRules) -> DataFrame:
     return out.withColumn("included", F.col("exclusion_reason").isNull()).drop("__key", "__shadow", "__best", "__n")
 
 
-__all__ = ["CANONICAL_ORDER", "DOMAIN_PATTERNS", "CleaningRules", "canonical_key", "classified", "cleaned", "relevance"]
+def exclusions(rows: DataFrame) -> DataFrame:
+    """(exclusion_reason, n) of the files that are out."""
+    return rows.filter("not included").groupBy("exclusion_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """One row: files kept and out, bytes and lines kept."""
+    own = F.col("included")
+    kept = lambda c: F.sum(F.when(own, F.col(c)).otherwise(0))
+    return rows.agg(F.count_if(own).alias("files"), F.count_if(~own).alias("excluded"), kept("size_bytes").alias("bytes"), kept("line_count").alias("lines"))
+
+
+def by_tier(rows: DataFrame) -> DataFrame:
+    """(directory_tier, n, bytes) of the files kept."""
+    return rows.filter("included").groupBy("directory_tier").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes"))
+
+
+def by_cpp_priority(rows: DataFrame) -> DataFrame:
+    """(cpp_relevance, cpp_training_priority, n) of the C++ files kept."""
+    return rows.filter(F.col("included") & F.col("extension").isin(*paths.CPP_EXTENSIONS)).groupBy("cpp_relevance", "cpp_training_priority").agg(F.count(F.lit(1)).alias("n"))
+
+
+__all__ = ["by_cpp_priority", "by_tier", "exclusions", "totals", "CANONICAL_ORDER", "DOMAIN_PATTERNS", "CleaningRules", "canonical_key", "classified", "cleaned", "relevance"]

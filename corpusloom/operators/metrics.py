@@ -143,6 +143,13 @@ def workers_agree(bases: DataFrame, relative: float = 1e-5, absolute: float = 1e
     return bases.agg((F.count_distinct("scored_tokens") <= 1).alias("same_tokens"), (spread <= F.greatest(F.lit(relative) * F.max(F.abs(mean)), F.lit(absolute))).alias("same_mean"))
 
 
+def tokenized_stats(tokenized: DataFrame) -> DataFrame:
+    """One row: the longest sequence, the mean of supervised tokens, and whether ids, labels and mask of all rows are of one length."""
+    kept = F.size(F.filter("labels", lambda x: x != IGNORED))
+    same = (F.size("input_ids") == F.size("labels")) & (F.size("input_ids") == F.size("attention_mask"))
+    return tokenized.agg(F.max(F.size("input_ids")).alias("longest"), F.avg(kept).alias("mean_supervised"), F.bool_and(same).alias("aligned"))
+
+
 def first_batch_tokens(tokenized: DataFrame, order: list[str], size: int) -> DataFrame:
     """One row: masked and supervised tokens of the first ``size`` rows; none supervised is an error."""
     masked = F.size(F.filter("labels", lambda x: x == IGNORED))

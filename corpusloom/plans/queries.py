@@ -81,23 +81,22 @@ def clean_manifest(spark, sf):
 
 @query
 def exclusions_by_reason(spark, sf):
-    return views.cleaned(spark, sf).filter("not included").groupBy("exclusion_reason").agg(F.count(F.lit(1)).alias("n"))
+    return clean.exclusions(views.cleaned(spark, sf))
 
 
 @query
 def clean_totals(spark, sf):
-    own = F.col("included")
-    return views.cleaned(spark, sf).agg(F.count_if(own).alias("files"), F.count_if(~own).alias("excluded"), F.sum(F.when(own, F.col("size_bytes")).otherwise(0)).alias("bytes"), F.sum(F.when(own, F.col("line_count")).otherwise(0)).alias("lines"))
+    return clean.totals(views.cleaned(spark, sf))
 
 
 @query
 def clean_by_tier(spark, sf):
-    return views.included(spark, sf).groupBy("directory_tier").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("bytes"))
+    return clean.by_tier(views.cleaned(spark, sf))
 
 
 @query
 def clean_cpp_priority(spark, sf):
-    return views.included(spark, sf).filter(F.col("extension").isin(*paths.CPP_EXTENSIONS)).groupBy("cpp_relevance", "cpp_training_priority").agg(F.count(F.lit(1)).alias("n"))
+    return clean.by_cpp_priority(views.cleaned(spark, sf))
 
 
 @query
@@ -306,9 +305,7 @@ def tokenized_sequences(spark, sf):
 
 @query
 def tokenized_stats(spark, sf):
-    kept = F.size(F.filter("labels", lambda x: x != tokens.IGNORED))
-    same = (F.size("input_ids") == F.size("labels")) & (F.size("input_ids") == F.size("attention_mask"))
-    return _tokenized(spark, sf).agg(F.max(F.size("input_ids")).alias("longest"), F.avg(kept).alias("mean_supervised"), F.bool_and(same).alias("aligned"))
+    return metrics.tokenized_stats(_tokenized(spark, sf))
 
 
 @query
