@@ -101,7 +101,7 @@ def small_batches(spark: SparkSession) -> None:
     A batch stands in memory several times, in the JVM and in the worker; 10,000 rows of long texts would else not be bounded by much.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, "").rstrip("b") == str(64 << 20):
+    if spark.conf.get(name).rstrip("b") == str(64 << 20):
         spark.conf.set(name, str(4 << 20))
 
 
