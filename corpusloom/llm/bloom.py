@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, fresh
+from corpusloom.llm.common import compact, fresh
 
 #: Bits of a filter: some 16 a row, between these limits (128 KB and 128 MB).
 LEAST_BITS, MOST_BITS, BITS_A_ROW = 1 << 20, 1 << 30, 16
@@ -27,7 +27,7 @@ def bitmaps(hashed: DataFrame, column: str, hashes: int, bits: int, hits: int =
     """(bucket, bitmap) of the slots hit at least ``hits`` times; at most bits / 32768 rows of 4 KB. Slots are counted before they shuffle."""
     hit = hashed.select(F.explode(F.array(*slots(F.col(column), hashes, bits))).alias("slot"))
     some = hit.groupBy("slot").count().filter(F.col("count") >= hits)
-    return cut(some.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")))
+    return compact(some.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")), 2000)
 
 
 def _bit(bitmap: Column, slot: Column) -> Column:

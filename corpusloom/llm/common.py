@@ -110,6 +110,19 @@ def at_rest() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def compact(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` checkpointed in parts of some ``rows`` rows, where there are more parts than that takes: few rows need few files.
+
+    It is made in as many tasks as its plan has, and kept until it is counted and written.
+    """
+    shared_folder(df.sparkSession)
+    held = df.persist()
+    try:
+        return held.coalesce(max(1, -(-held.count() // rows))).checkpoint(eager=True)
+    finally:
+        held.unpersist()
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import bloom
 from corpusloom.llm.chunks import word_hashes
-from corpusloom.llm.common import at_rest, cut, skew_join, small_batches
-from corpusloom.llm.components import components
+from corpusloom.llm.common import at_rest, compact, cut, skew_join, small_batches
+from corpusloom.llm.components import components, roots
 
 BITS = 3
 BLOCK = 1 << 14
@@ -208,7 +208,7 @@ def links(prints: DataFrame, group: int = 4096) -> DataFrame:
     """(a, b): links that connect the distinct fingerprints (fp) as all those within BITS bits would."""
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = dealt_signatures(prints, parts)
-    found = cut(held.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_fp_links(1, group), "a long, b long, large long"))
+    found = compact(held.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_fp_links(1, group), "a long, b long, large long"))
     finer = found.filter("large is not null").select(F.col("large").alias("key"), F.explode(_finer(F.col("large"), F.col("a"))).alias("sub"), F.col("a").alias("fp"))
     finer = finer.repartition(parts, "key", "sub").sortWithinPartitions("key", "sub", "fp").mapInArrow(_fp_links(2, None), "a long, b long, large long")
     return found.filter("large is null").select("a", "b").unionByName(finer.select("a", "b")).distinct()
@@ -224,8 +224,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = cut(fingerprints(df, id_col, text_col, size))
     prints = docs.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(prints.select("fp"), group)).withColumnRenamed("node", "fp")
-    placed = cut(prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    linked = components(links(prints.select("fp"), group)).withColumnRenamed("node", "fp")
+    placed = compact(prints.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = skew_join(placed, names, ["root"]).select("fp", "component_id")
     return skew_join(docs, named, ["fp"]).select("doc_id", "fp", "component_id")
@@ -272,8 +272,8 @@ def long_fingerprint(data: bytes, rule: Likeness) -> bytes:
     return majority(parts).astype("<u8").tobytes()
 
 
-def jaccard_links(ids: np.ndarray, sets: list[np.ndarray], alike: tuple[int, int]) -> list[tuple[np.ndarray, int]]:
-    """Links that connect the members as all their pairs that are near copies would."""
+def jaccard_links(sets: list[np.ndarray], alike: tuple[int, int]) -> list[tuple[np.ndarray, int]]:
+    """Places of members and of one that each of them is alike: links that connect them as all their pairs that are near copies would."""
     code = np.unique(np.concatenate(sets), return_inverse=True)[1]
     size = np.array([len(s) for s in sets])
     own = np.split(code, np.cumsum(size)[:-1])
@@ -289,37 +289,42 @@ def jaccard_links(ids: np.ndarray, sets: list[np.ndarray], alike: tuple[int, int
             near = alike[1] * both >= alike[0] * (size[x] + size[rest] - both)
             if near.any():
                 reached = rest[near]
-                found.append((ids[reached], ids[x]))
+                found.append((reached, int(x)))
                 flat, rest = flat[np.repeat(~near, size[rest])], rest[~near]
                 front.extend(reached)
     return found
 
 
+GROUPS = "group long, doc_id long, known long"
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, doc_id) sorted by these: (group, doc_id) of keys that several documents hold; keys with the same documents are one group."""
+    """Of rows (key, doc_id, known) sorted by these, GROUPS of keys whose documents are not all known to be connected; keys with the same documents are one group."""
     seen: set[int] = set()
-    for cols, at, large in _grouped(batches, 1, 1 << 16):
+    names = [x.split()[0] for x in GROUPS.split(", ")]
+    for (key, doc, known), at, large in _grouped(batches, 1, 1 << 16):
         size = np.diff(at)
         if large:
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1])], names=["group", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, doc, known)], names=names)
             continue
         two = at[:-1][size == 2]
-        pair = cols[1][two], cols[1][two + 1]
-        name = _mix(pair[0].view(np.uint64), pair[1].view(np.uint64)).view(np.int64)
+        two = two[known[two] != known[two + 1]]
+        name = _mix(doc[two].view(np.uint64), doc[two + 1].view(np.uint64)).view(np.int64)
         name, first = np.unique(name, return_index=True)
-        out = [(np.repeat(name, 2), np.stack([pair[0][first], pair[1][first]], 1).reshape(-1))]
+        pairs = np.stack([two[first], two[first] + 1], 1).reshape(-1)
+        out = [(np.repeat(name, 2), doc[pairs], known[pairs])]
         for s, e in zip(at[:-1][size > 2].tolist(), at[1:][size > 2].tolist(), strict=True):
-            held = xxhash.xxh64_intdigest(cols[1][s:e].tobytes()) - (1 << 63)
-            if held not in seen:
+            held = xxhash.xxh64_intdigest(doc[s:e].tobytes()) - (1 << 63)
+            if held not in seen and (known[s:e] != known[s]).any():
                 if len(seen) > 1 << 18:
                     seen.clear()
                 seen.add(held)
-                out.append((np.full(e - s, held), cols[1][s:e]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["group", "doc_id"])
+                out.append((np.full(e - s, held), doc[s:e], known[s:e]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
 
 
-def _new(found: list[tuple[np.ndarray, int]], ids: np.ndarray, known: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """Of links between places those that connect what is not known to be connected, as ids."""
+def _new(found: list[tuple[np.ndarray, int]], known: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of links between places those that connect what is not known to be connected, as ids of what is known."""
     parent = {k: k for k in known.tolist()}
 
     def root(k: int) -> int:
@@ -327,48 +332,52 @@ def _new(found: list[tuple[np.ndarray, int]], ids: np.ndarray, known: np.ndarray
             parent[k] = k = parent[parent[k]]
         return k
 
-    out = []
+    a, b = [], []
     for reached, x in found:
-        fresh_ = []
         for y in reached.tolist():
-            a, b = root(int(known[x])), root(int(known[y]))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                fresh_.append(y)
-        if fresh_:
-            out.append((ids[fresh_], int(ids[x])))
-    return out
+            p, q = root(int(known[x])), root(int(known[y]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                a.append(int(known[y]))
+                b.append(int(known[x]))
+    return a, b
+
 
+def _least(found: list[tuple[np.ndarray, int]], ids: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of links between places: each id that is connected to a smaller one, and the smallest."""
+    if not found:
+        return [], []
+    x = np.concatenate([r for r, _ in found])
+    nodes, low = roots(ids[x], ids[np.repeat([y for _, y in found], [len(r) for r, _ in found])])
+    return nodes[low < nodes].tolist(), low[low < nodes].tolist()
 
-def _by_group(rows: DataFrame, value: str, linked: Callable[[np.ndarray, list[bytes], np.ndarray], list[tuple[np.ndarray, int]]]) -> DataFrame:
-    """(a, b): links between the documents of each group; rows: (group, doc_id, known: what it is connected to already, ``value``)."""
 
-    def batch(ids: list[int], values: list[bytes], known: list[int]) -> pa.RecordBatch:
-        found = linked(np.array(ids, np.int64), values, np.array(known, np.int64))
-        a = np.concatenate([np.empty(0, np.int64), *[x for x, _ in found]])
-        b = np.concatenate([np.empty(0, np.int64), *[np.full(len(x), y, np.int64) for x, y in found]])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+def _by_group(rows: DataFrame, value: str, linked: Callable[[np.ndarray, list[bytes], np.ndarray], tuple[list[int], list[int]]]) -> DataFrame:
+    """(a, b) that ``linked`` makes of each group's ids, values and what is known of them; rows: GROUPS and ``value``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids, values, known = None, [], [], []
-        for b in batches:
-            for group, i, k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                if group != last and ids:
-                    if len(ids) > 1:
-                        yield batch(ids, values, known)
-                    ids, values, known = [], [], []
-                last = group
-                ids.append(i)
-                known.append(k)
-                values.append(v.as_py())
-        if len(ids) > 1:
-            yield batch(ids, values, known)
+        last, held = None, []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                ids, known, values = zip(*held, strict=True)
+                a, b = linked(np.array(ids, np.int64), list(values), np.array(known, np.int64))
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for group, i, k, v in zip(*[batch.column(c).to_pylist() for c in range(3)], batch.column(3), strict=True):
+                if group != last:
+                    yield from made()
+                    last, held = group, []
+                held.append((i, k, v.as_py()))
+        yield from made()
 
     return rows.select("group", "doc_id", "known", value).repartition("group").sortWithinPartitions("group", "doc_id").mapInArrow(run, "a long, b long")
 
 
-def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Likeness = Likeness()) -> DataFrame:
-    """(a, b): links that connect the ids of near copies; rows without an id have none."""
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Likeness = Likeness()) -> DataFrame:
+    """(doc_id, first): the ids that are linked over near copies to a smaller one, and the smallest; rows without an id have none."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _rows(df, id_col, text_col).filter("doc_id is not null")
@@ -380,39 +389,41 @@ def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     made = cut(_per_text(rows, words, "made", kind, "struct<fp: binary, same: binary>").select("doc_id", "made.*"))
     # texts of the same words are one, so that groups of copies are indexed once
     first = made.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copies = skew_join(made, first.filter("first < last").select("same", "first"), ["same"]).filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    prints = cut(skew_join(made, first.select("same", "first"), ["same"]).filter("doc_id = first").select("doc_id", "fp").dropDuplicates(["doc_id"]))
+    copies = skew_join(made, first.filter("first < last").select("same", "first"), ["same"]).filter("doc_id <> first").select("doc_id", "first")
+    prints = compact(skew_join(made, first.select("same", "first"), ["same"]).filter("doc_id = first").select("doc_id", "fp").dropDuplicates(["doc_id"]), 20_000)
 
     # words as longs: the halves of each are segments
     half = lambda k, h: F.conv(F.substring(F.hex("fp"), 16 * k + 8 * h + 1, 8), 16, 10).cast("long")
     segments = F.array(*[half(k, h) for k in range(rule.words) for h in range(2)])
-    held = prints.select("doc_id", segments.alias("segments")).repartition(parts, F.xxhash64("doc_id", F.lit(1)))
-
-    def groups(keys: Column) -> DataFrame:
-        rows = held.select(F.explode(keys).alias("key"), "doc_id")
-        return cut(rows.repartition(parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_members, "group long, doc_id long").distinct())
-
+    held = prints.select("doc_id", segments.alias("segments"))
     most = int(64 * rule.words * rule.share)
 
-    def alike(ids: np.ndarray, values: list[bytes], known: np.ndarray) -> list[tuple[np.ndarray, int]]:
-        fps = np.frombuffer(b"".join(values), "<u8").reshape(len(values), -1)
-        return _new(connect(fps, most), ids, known)
+    def alike(ids: np.ndarray, values: list[bytes], known: np.ndarray) -> tuple[list[int], list[int]]:
+        return _new(connect(np.frombuffer(b"".join(values), "<u8").reshape(len(values), -1), most), known)
+
+    def found(held: DataFrame, keys: Column) -> DataFrame:
+        """The least document of what equal keys and near fingerprints connect, of each that is connected; held: (doc_id, segments, known)."""
+        dealt = held.repartition(parts, F.xxhash64("doc_id", F.lit(1))).select(F.explode(keys).alias("key"), "doc_id", "known")
+        groups = dealt.repartition(parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_members, GROUPS).distinct()
+        return components(_by_group(groups.join(prints, "doc_id"), "fp", alike))
 
     # first those of equal segments; what these connect is one to the variants, which then say what else belongs together
     whole = F.lit((1 << rule.width) - 1)
-    equal = groups(F.transform("segments", lambda x, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(x.bitwiseAND(whole))))
-    near = cut(_by_group(equal.join(prints, "doc_id").withColumn("known", F.col("doc_id")), "fp", alike).distinct())
-    known = components(near)
-    variant = groups(signatures(F.col("segments"), rule.width)).join(known, F.col("doc_id") == F.col("node"), "left").select("group", "doc_id", F.coalesce("root", "doc_id").alias("known"))
-    open_ = variant.groupBy("group").agg(F.min("known").alias("x"), F.max("known").alias("y")).filter("x < y").select("group")
-    more = _by_group(skew_join(variant, open_, ["group"]).join(prints, "doc_id"), "fp", alike)
-    placed = components(cut(near.unionByName(more).distinct())).select(F.col("root").alias("group"), F.col("node").alias("doc_id"))
+    equal = F.transform("segments", lambda x, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(x.bitwiseAND(whole)))
+    near = found(held.withColumn("known", F.col("doc_id")), equal)
+    known = held.join(near, held["doc_id"] == near["node"], "left").select("doc_id", "segments", F.coalesce("root", "doc_id").alias("known"))
+    more = found(known, signatures(F.col("segments"), rule.width)).select(F.col("node").alias("known"), F.col("root").alias("group"))
+    placed = known.select("doc_id", "known").join(more, "known", "left").select(F.coalesce("group", "known").alias("group"), "doc_id", "known")
+    several = placed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
+    placed = compact(skew_join(placed, several, ["group"]).select("group", "doc_id", "known"))
 
     # of groups of near fingerprints, those whose shingles are alike
-    some = bloom.among(rows, "doc_id", cut(placed.select("doc_id")))
+    some = bloom.among(rows, "doc_id", placed.select("doc_id"))
     sets = _per_text(some.dropDuplicates(["doc_id"]), lambda t: np.unique(shingle_hashes(t, rule.shingle)).tobytes(), "items", pa.large_binary(), "binary")
-    linked = lambda ids, values, _: jaccard_links(ids, [np.frombuffer(v, np.uint64) for v in values], rule.alike)
-    return _by_group(placed.join(sets, "doc_id").withColumn("known", F.col("doc_id")), "items", linked).unionByName(copies).distinct()
+    linked = lambda ids, values, _: _least(jaccard_links([np.frombuffer(v, np.uint64) for v in values], rule.alike), ids)
+    least = compact(_by_group(placed.join(sets, "doc_id"), "items", linked).select(F.col("a").alias("doc_id"), F.col("b").alias("least")))
+    copied = copies.join(least.withColumnRenamed("doc_id", "first"), "first", "left").select("doc_id", F.coalesce("least", "first").alias("first"))
+    return least.withColumnRenamed("least", "first").unionByName(copied)
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Likeness = Likeness()) -> DataFrame:
@@ -421,11 +432,10 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     Rows without an id stay. A null text counts as empty; texts of the same words are near copies, those without words too. Of
     rows that repeat an id one text is looked at, and all stay or go. An empty table gives an empty one. Columns may have any name.
     """
-    found = components(near_links(df, id_col, text_col, rule))
-    return bloom.without(df, id_col, cut(found.filter("node <> root").select("node").distinct()))
+    return bloom.without(df, id_col, compact(near_copies(df, id_col, text_col, rule).select(F.col("doc_id").alias("node")).distinct()))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``df``, in its own columns, whose id is their fingerprint's component's; rows without an id stay."""
     found = near_duplicates(df, id_col, **options)
-    return bloom.without(df, id_col, cut(found.filter("doc_id <> component_id").select("doc_id").distinct()))
+    return bloom.without(df, id_col, compact(found.filter("doc_id <> component_id").select("doc_id").distinct()))

@@ -282,7 +282,8 @@ def test_fingerprint(texts):
 
 
 @pytest.mark.parametrize("group", [4096, 4])
-def test_links_lose_nothing(spark, group):
+def test_links_lose_nothing(spark, group, monkeypatch):
+    monkeypatch.setattr(components, "ROWS", 100_000 if group > 4 else 10)
     random.seed(4)
     values = set()
     for _ in range(25):
@@ -320,7 +321,9 @@ def test_signatures_are_made_in_tasks_set_by_number(spark):
     assert dealt.rdd.getNumPartitions() == 7
 
 
-def test_components_of_chains_and_hubs(spark):
+@pytest.mark.parametrize("rows", [100_000, 50])
+def test_components_of_chains_and_hubs(spark, monkeypatch, rows):
+    monkeypatch.setattr(components, "ROWS", rows)
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5000, 5000), (None, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{i: 1000 for i in range(1000, 1300)}}
