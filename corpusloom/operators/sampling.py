@@ -29,21 +29,22 @@ CUTS, RANGES = 4096, 64
 def numbered(rows: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
     """``rows`` with __at (place from 0 in ``order``, in the table or in each stratum) and __n (rows of it).
 
-    The order's columns are to tell rows apart. Keys of some CUTS rows, chosen by hash, cut the table into ranges; places are
-    counted within a range and added to the rows of the ranges before, so no task orders the whole table. The strata are few.
+    The order's columns are to tell rows apart. Keys of CUTS rows, those of the least hash, cut the table into ranges; places are
+    counted within a range and added to the rows of the ranges before, so no task orders a large table. The strata are few.
     """
     keys = by or []
     key = F.struct(*order)
-    total = rows.count()
-    chosen = rows.select(*order).filter(F.pmod(F.xxhash64(*order), F.lit(max(1, total // CUTS))) == 0)
-    cuts = chosen.orderBy(*order).limit(2 * CUTS).collect()
+    cuts = rows.select(*order).orderBy(F.xxhash64(*order), *order).limit(CUTS).collect()
+    stratum = W.partitionBy(*[F.col(c) for c in keys] or [F.lit(1)])
+    if len(cuts) < CUTS:  # no more rows than that, so they are one range
+        return rows.withColumns({"__at": F.row_number().over(stratum.orderBy(*order)) - 1, "__n": F.count(F.lit(1)).over(stratum).cast("int")})
+    cuts = sorted(cuts, key=lambda r: [(x is not None, x) for x in r])
     kinds = [rows.schema[c].dataType for c in order]
-    bounds = [F.struct(*[F.lit(x).cast(t).alias(c) for x, t, c in zip(r, kinds, order, strict=True)]) for r in cuts[:: -(-len(cuts) // RANGES)][1:]] if cuts else []
-    held = F.size(F.filter(F.array(*bounds), lambda c: c <= key)) if bounds else F.lit(0)
+    bounds = [F.struct(*[F.lit(x).cast(t).alias(c) for x, t, c in zip(r, kinds, order, strict=True)]) for r in cuts[:: -(-len(cuts) // RANGES)][1:]]
+    held = F.size(F.filter(F.array(*bounds), lambda c: c <= key))
     ranged = rows.withColumn("__range", held)
     counts = ranged.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__rows"))
-    before = W.partitionBy(*[F.col(c) for c in keys] or [F.lit(1)])
-    counts = counts.select(*[F.col(c).alias(f"__by_{c}") for c in keys], F.col("__range").alias("__of"), (F.sum("__rows").over(before.orderBy("__range")) - F.col("__rows")).alias("__before"), F.sum("__rows").over(before).alias("__n"))
+    counts = counts.select(*[F.col(c).alias(f"__by_{c}") for c in keys], F.col("__range").alias("__of"), (F.sum("__rows").over(stratum.orderBy("__range")) - F.col("__rows")).alias("__before"), F.sum("__rows").over(stratum).alias("__n"))
     same = F.col("__range") == F.col("__of")
     for c in keys:
         same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
