@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import at_rest, small_batches
 
 #: Words a worker remembers before it starts anew, their letters, and the letters of a word that is not remembered.
-REMEMBERED, LETTERS, LONG = 400_000, 16 << 20, 1 << 12
+REMEMBERED, LETTERS, LONG = 600_000, 24 << 20, 1 << 12
 #: Tokens of a block, but for its last document.
 BLOCK_TOKENS = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
