@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Vocabulary, at_rest, fresh, small_batches
 
-#: Words a worker remembers before it starts anew, half of them with a blank before them.
-REMEMBERED = 400_000
+#: Words a worker remembers before it starts anew: those with a blank before them, and the others.
+REMEMBERED, OTHERS = 400_000, 100_000
 #: From so many letters on a word's table is kept in four bytes an entry.
 LONG = 1 << 12
 #: The pattern byte-level BPE splits texts by (a fixed value).
@@ -73,7 +73,7 @@ class ByteBpe:
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words = regex.compile(WORDS)
         self.gaps = regex.compile(r"\s\s")
-        self.first, self.spaced = Vocabulary(self._unit, REMEMBERED // 2), Vocabulary(lambda w: self._unit(" " + w), REMEMBERED // 2)
+        self.first, self.spaced = Vocabulary(self._unit, OTHERS), Vocabulary(lambda w: self._unit(" " + w), REMEMBERED)
 
     def _spines(self, ids: dict, merges: list) -> None:
         """For each token that encodes to itself: its edge parts from the byte up, with the rank of the merge that swallows each."""
